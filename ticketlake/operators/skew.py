@@ -1,0 +1,38 @@
+"""Joins that keep working when one key holds a large share of the rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+SLICES = 64
+HOT_ROWS = 1_000_000
+
+
+def _slice_of(facts: DataFrame, slices: int):
+    # a hash of the row, so a lost task that runs again puts it in the same slice
+    return F.pmod(F.xxhash64(*facts.columns), F.lit(slices)).cast("int")
+
+
+def lookup_join(facts: DataFrame, lookup: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Inner join of narrow ``facts`` to wide ``lookup`` rows, with hot keys spread over slices.
+
+    ``facts`` must be a written table: it is counted first. Keys with ``hot_rows`` rows or more
+    are at most ``rows / hot_rows`` many; only they are broadcast, and only their lookup rows copied.
+    """
+    if facts.count() < hot_rows:
+        return facts.join(lookup, key)
+    hot = facts.groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") >= hot_rows)
+    hot = F.broadcast(hot.select(key, F.lit(True).alias("_hot")))
+    spread = F.when(F.col("_hot"), _slice_of(facts, SLICES)).otherwise(0)
+    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SLICES - 1))).otherwise(F.array(F.lit(0)))
+    left = facts.join(hot, key, "left").withColumn("_slice", spread).drop("_hot")
+    right = lookup.join(hot, key, "left").withColumn("_slice", F.explode(copies)).drop("_hot")
+    return left.join(right, [key, "_slice"]).drop("_slice")
+
+
+def salted_join(facts: DataFrame, lookup: DataFrame, key: str, salts: int = 16) -> DataFrame:
+    """Inner join to a narrow ``lookup`` that is far smaller than the facts: every key is salted."""
+    left = facts.withColumn("_slice", _slice_of(facts, salts))
+    right = lookup.withColumn("_slice", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return left.join(right, [key, "_slice"]).drop("_slice")

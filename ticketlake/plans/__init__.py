@@ -1,0 +1,4 @@
+"""All named queries; importing this package registers them."""
+
+from ticketlake.plans import profiling, retrieval  # noqa: F401
+from ticketlake.plans.registry import ORACLES, QUERIES  # noqa: F401
