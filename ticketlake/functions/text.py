@@ -78,3 +78,9 @@ def fill_template(template: Column | str, values: Column) -> Column:
             text, F.concat(F.lit("{"), e["key"], F.lit("}")), F.coalesce(e["value"], F.lit(""))
         ),
     )
+
+
+def sort_scores(scores: Column | str) -> Column:
+    """Entries of a score map, highest first, ties by key."""
+    order = F.array_sort(F.transform(F.map_entries(_col(scores)), lambda e: F.struct(-e["value"], e["key"])))
+    return F.transform(order, lambda e: F.struct(e["key"].alias("key"), (-e["col1"]).alias("value")))

@@ -12,8 +12,6 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -245,6 +243,9 @@ def knn_cells(
     seed: int = 7,
 ) -> DataFrame:
     """Approximate: k-means cells, each query searches its ``n_probe`` nearest cells."""
+    from pyspark.ml.clustering import KMeans  # here, so that Python workers need not load it
+    from pyspark.ml.functions import array_to_vector
+
     carry = list(carry)
     corpus = corpus.select("neighbour_id", "vector", *carry)
     n_cells = min(n_cells or _cells_for(corpus.count(), cell_rows), MAX_CELLS)

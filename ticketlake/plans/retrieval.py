@@ -422,7 +422,7 @@ def _(spark, d):
     flags, truth = in_index_flags(spark, d)
     first = flags.filter("relevance = 1").groupBy("query_id").agg(F.min("rank").alias("first"))
     ranks = truth.join(first, "query_id", "left").select(F.coalesce(1.0 / F.col("first"), F.lit(0.0)).alias("rr"))
-    return profile.histogram(ranks, "rr", 20)
+    return profile.histogram(cut_lineage(ranks, "ranks"), "rr", 20)
 
 
 @query(
