@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from ticketlake.operators.features import TfidfVocabulary
 
+ROWS_PER_TASK = 10_000
+
 
 def class_weights(df: DataFrame, label: str) -> DataFrame:
     """Balanced weight of each class: rows / (classes * rows of the class)."""
@@ -49,6 +51,9 @@ class TicketClassifier:
             words = words or TfidfVocabulary.fit(train, key, text)
             features = words.vectors(train.select(key, text, label), key, text)
         rows = features.select("features", F.col(label).alias("truth"))
+        n_rows = rows.count()
+        # every iteration is a job, so small training sets should not be cut into many tasks
+        rows = rows.coalesce(-(-n_rows // ROWS_PER_TASK) or 1)
         if balanced:
             # one row per class, a bounded table
             rows = rows.join(F.broadcast(class_weights(rows, "truth").select("truth", "weight")), "truth")
@@ -56,7 +61,7 @@ class TicketClassifier:
             featuresCol="features",
             labelCol="code",
             family="multinomial",
-            regParam=1.0 / (c * rows.count()),
+            regParam=1.0 / (c * n_rows),
             elasticNetParam=0.0,
             standardization=False,
             maxIter=max_iter,

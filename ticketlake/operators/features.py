@@ -12,12 +12,20 @@ from ticketlake.schema import VOCABULARY_SIZE
 from ticketlake.session import cut_lineage, fresh_path
 
 
-def term_counts(df: DataFrame, key: str, words: Column) -> DataFrame:
-    """``key, term, tf``; documents are spread by key once, and everything per document stays local after that."""
+def term_counts(df: DataFrame, key: str, text: str, pairs: bool = True) -> DataFrame:
+    """``key, term, tf`` of words and, with ``pairs``, of neighbouring words.
+
+    Whole texts are spread by key once, and every later step per document stays where it is.
+    The number of partitions is explicit, so that the many terms of a text are not squeezed
+    into the few partitions its bytes would fill. ``explode_outer`` keeps the optimizer from
+    tokenising a second time just to skip empty texts.
+    """
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    words = df.select(key, text).repartition(partitions, key).select(key, tokens(text).alias("words"))
+    terms = ngrams("words") if pairs else F.col("words")
     return (
-        df.select(key, words.alias("words"))
-        .repartition(key)
-        .select(key, F.explode("words").alias("term"))
+        words.select(key, F.explode_outer(terms).alias("term"))
+        .filter(F.col("term").isNotNull())
         .groupBy(key, "term")
         .agg(F.count("*").alias("tf"))
     )
@@ -62,7 +70,7 @@ class TfidfVocabulary:
     @classmethod
     def fit(cls, df: DataFrame, key: str, text: str, size: int = VOCABULARY_SIZE) -> "TfidfVocabulary":
         n = F.lit(df.count())
-        chosen = vocabulary(term_counts(df, key, ngrams(tokens(text))), size)
+        chosen = vocabulary(term_counts(df, key, text), size)
         # at most ``size`` rows, so numbering them in one task is fine
         numbered = chosen.withColumn("idx", F.row_number().over(Window.orderBy("term")) - 1)
         terms = cut_lineage(numbered.select("term", "idx", smooth_idf(n, F.col("df")).alias("idf")), "vocabulary")
@@ -70,7 +78,7 @@ class TfidfVocabulary:
 
     def vectors(self, df: DataFrame, key: str, text: str) -> DataFrame:
         """``df`` with a sparse ``features`` vector per row, written once for the training passes."""
-        weights = tfidf(term_counts(df, key, ngrams(tokens(text))), key, self.terms)
+        weights = tfidf(term_counts(df, key, text), key, self.terms)
         by_row = weights.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("idx", "weight"))).alias("cells"))
         empty = F.array().cast("array<struct<idx:int,weight:double>>")
         cells = F.coalesce(F.col("cells"), empty)
@@ -100,7 +108,7 @@ class HashedTfidf:
     def _buckets(df: DataFrame, key: str, text: str, dim: int) -> DataFrame:
         number = F.conv(F.left(F.md5("term"), F.lit(8)), 16, 10).cast("bigint")
         return (
-            term_counts(df, key, tokens(text))
+            term_counts(df, key, text, pairs=False)
             .groupBy(key, F.pmod(number, F.lit(dim)).cast("int").alias("term"))
             .agg(F.sum("tf").alias("tf"))
         )

@@ -84,7 +84,7 @@ def _(spark, d):
 
 @query("vocabulary", TICKETS + GRAMS_CTE + "SELECT term, total, df FROM vocab")
 def _(spark, d):
-    return vocabulary(term_counts(descriptions(spark, d), "ticket_id", tx.ngrams(tx.tokens("description"))))
+    return vocabulary(term_counts(descriptions(spark, d), "ticket_id", "description"))
 
 
 @query(
@@ -99,7 +99,7 @@ def _(spark, d):
 )
 def _(spark, d):
     df = descriptions(spark, d)
-    counts = term_counts(df, "ticket_id", tx.ngrams(tx.tokens("description")))
+    counts = term_counts(df, "ticket_id", "description")
     n = df.agg(F.count("*")).scalar()
     terms = vocabulary(counts).select("term", smooth_idf(n, F.col("df")).alias("idf"))
     return tfidf(counts, "ticket_id", terms).select("ticket_id", "term", F.round("weight", 6).alias("weight"))
@@ -180,7 +180,7 @@ def load_overlap_scorer():
 
     def score(queries: list[str], documents: list[str]) -> np.ndarray:
         pairs = [(words(q), words(x)) for q, x in zip(queries, documents)]
-        return np.round([len(a & b) / len(a | b) for a, b in pairs], 6)
+        return np.array([len(a & b) / len(a | b) for a, b in pairs])
 
     return score
 
@@ -193,10 +193,10 @@ def load_overlap_scorer():
       list_distinct(string_split(lower(coalesce(c.resolution, '')), ' ')) AS b
       FROM h JOIN opened q ON q.ticket_id = h.query_id JOIN corpus c ON c.ticket_id = h.ticket_id),
     scored AS (SELECT query_id, ticket_id, rank AS retrieval_rank,
-      round(len(list_intersect(a, b)) / (len(a) + len(b) - len(list_intersect(a, b))), 6) AS rerank_score FROM sets),
+      len(list_intersect(a, b)) / (len(a) + len(b) - len(list_intersect(a, b))) AS rerank_score FROM sets),
     ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, retrieval_rank) AS rank
       FROM scored)
-    SELECT query_id, ticket_id, retrieval_rank, rerank_score, rank FROM ranked WHERE rank <= 5""",
+    SELECT query_id, ticket_id, retrieval_rank, round(rerank_score, 6) AS rerank_score, rank FROM ranked WHERE rank <= 5""",
 )
 def _(spark, d):
     rows = vector_tickets(spark, d, "description", "resolution")
@@ -204,7 +204,8 @@ def _(spark, d):
     asked = as_queries(rows.filter(F.col("status").isin(OPEN_STATUSES)))
     scorer = hooks.pair_scorer(load_overlap_scorer)
     best = rr.rerank(rt.retrieve_ids(asked, corpus, 20), asked, corpus, 5, scorer=scorer)
-    return best.select("query_id", "ticket_id", "retrieval_rank", "rerank_score", "rank")
+    score = F.round("rerank_score", 6).alias("rerank_score")
+    return best.select("query_id", "ticket_id", "retrieval_rank", score, "rank")
 
 
 def load_confidence_writer():
@@ -371,7 +372,7 @@ def fit(train: DataFrame, words: TfidfVocabulary, label: str, balanced: bool = F
 
 
 def quality(model: TicketClassifier, rows: DataFrame, label: str, name: str) -> DataFrame:
-    predicted = model.score(rows, "prediction").select(F.col(label).alias("truth"), "prediction")
+    predicted = model.score(rows, "guess").select(F.col(label).alias("truth"), F.col("guess").alias("prediction"))
     return predicted.select(F.lit(name).alias("model"), F.lit(label).alias("target"), "truth", "prediction")
 
 
