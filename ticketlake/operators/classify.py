@@ -82,11 +82,11 @@ class TicketClassifier:
         classes = F.array(*[F.lit(x) for x in self.labels])
         return (
             scoring.transform(features)
-            .withColumn("p", probabilities)
-            .withColumn(f"{prefix}_scores", F.map_from_arrays(classes, F.transform("p", lambda x: F.round(x, 3))))
-            .withColumn(f"{prefix}_confidence", F.round(F.array_max("p"), 3))
+            .withColumn("_probabilities", probabilities)
+            .withColumn(f"{prefix}_scores", F.map_from_arrays(classes, F.transform("_probabilities", lambda x: F.round(x, 3))))
+            .withColumn(f"{prefix}_confidence", F.round(F.array_max("_probabilities"), 3))
             .withColumnRenamed("label", prefix)
-            .drop("rawPrediction", "probability", "prediction", "p")
+            .drop("rawPrediction", "probability", "prediction", "_probabilities")
         )
 
     def predict(self, df: DataFrame, prefix: str, key: str = "ticket_id", text: str = "description") -> DataFrame:
