@@ -6,7 +6,16 @@ from check_oracle import compare, connect
 from __spark_entry__ import entry, oracle_sql, queries
 
 ORACLES = oracle_sql()
-NO_SQL = {"knn_cells", "knn_lsh", "embed_search", "classify_fit_eval", "classify_batch", "classify_weighted", "stream_classify"}
+NO_SQL = {
+    "knn_cells",
+    "knn_lsh",
+    "knn_recall",
+    "embed_search",
+    "classify_fit_eval",
+    "classify_batch",
+    "classify_weighted",
+    "stream_classify",
+}
 
 
 @pytest.fixture(scope="module")

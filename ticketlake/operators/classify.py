@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from ticketlake.operators.features import TfidfVocabulary
 
-ROWS_PER_TASK = 10_000
+ROWS_PER_TASK = 2_000
+TOLERANCE = 1e-4
 
 
 def class_weights(df: DataFrame, label: str) -> DataFrame:
@@ -65,6 +66,7 @@ class TicketClassifier:
             elasticNetParam=0.0,
             standardization=False,
             maxIter=max_iter,
+            tol=TOLERANCE,
             **({"weightCol": "weight"} if balanced else {}),
         )
         indexer = StringIndexer(inputCol="truth", outputCol="code", stringOrderType="alphabetAsc").fit(rows)

@@ -28,6 +28,7 @@ def split(
 
     Rows are ranked by seeded hash without sorting a whole class in one task: counts per hash
     bucket find the bucket where the cut falls, and only that bucket's rows are ranked.
+    ``df`` is read three times, twice for its keys only: pass a table, not a costly plan.
     """
     hashed = df.withColumn("h", seeded_hash(key, seed)).withColumn("bucket", F.left("h", F.lit(_BUCKET_DIGITS)))
     class_key = F.col(by) if by else F.lit("all")

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ticketlake.session import cut_lineage
 
-BLOCK_ROWS = 4096  # rows of either side in one group
+BLOCK_ROWS = 2048  # rows of either side in one group
 CELL_ROWS = 16_384  # corpus rows a cell is meant to hold
 MAX_CELLS = 1024  # bounds everything kept per cell on the driver or broadcast
 _SLACK = 1e-9  # relative rounding of a squared distance in product form
@@ -39,12 +39,20 @@ def _squared_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2.0 * (a @ b.T)
 
 
+def _without_spare_copies(corpus: pd.DataFrame, k: int) -> pd.DataFrame:
+    """At most k rows of one vector, those with the smallest ids: more copies never make a list of k."""
+    corpus = corpus.sort_values("neighbour_id", kind="stable", ignore_index=True)
+    copies = corpus["corpus_vector"].map(lambda v: v.tobytes())
+    return corpus[copies.groupby(copies).cumcount() < k]
+
+
 def _block_top_k(k: int, columns: list[str], carry: list[str]):
     """Group function: the k nearest rows of one corpus block for each query of one query block."""
 
     def nearest(queries: pd.DataFrame, corpus: pd.DataFrame) -> pd.DataFrame:
         if queries.empty or corpus.empty:
             return pd.DataFrame(columns=columns)
+        corpus = _without_spare_copies(corpus, k)
         q, c = _matrix(queries["vector"]), _matrix(corpus["corpus_vector"])
         rough = _squared_distances(q, c)
         if len(c) > k:
@@ -59,9 +67,7 @@ def _block_top_k(k: int, columns: list[str], carry: list[str]):
             step = q[row, i] - c[col, i]
             distance += step * step
         ids = corpus["neighbour_id"].to_numpy()
-        id_rank = np.empty(len(ids), dtype=np.int64)
-        id_rank[np.argsort(ids, kind="stable")] = np.arange(len(ids))
-        order = np.lexsort((id_rank[col], distance, row))
+        order = np.lexsort((col, distance, row))  # corpus rows are in id order
         row, col, distance = row[order], col[order], distance[order]
         keep = np.arange(len(row)) - np.searchsorted(row, row, side="left") < k
         row, col = row[keep], col[keep]

@@ -116,6 +116,16 @@ def _(spark, d):
     return hits.select("query_id", "rank", "neighbour_id", F.round("distance", 6).alias("distance"))
 
 
+@query("knn_recall")
+def _(spark, d):
+    """Share of the exact ten neighbours that each approximate search finds."""
+    queries, corpus = all_vectors(spark, d)
+    exact = cut_lineage(vector.knn_exact(queries, corpus, 10), "exact-neighbours")
+    cells = vector.recall_at_k(vector.knn_cells(queries, corpus, 10, n_cells=16, n_probe=6), exact)
+    lsh = vector.recall_at_k(vector.knn_lsh(queries, corpus, 10, tables=12, bits=4), exact)
+    return cells.withColumn("method", F.lit("cells")).unionByName(lsh.withColumn("method", F.lit("lsh")))
+
+
 @query(
     "knn_where",
     VECTORS

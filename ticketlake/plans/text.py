@@ -359,9 +359,8 @@ def _(spark, d):
 def training_tables(spark, d) -> tuple[DataFrame, DataFrame, TfidfVocabulary]:
     """Clean tickets split 80/20, with features from the training words only."""
     rows = clean_tickets(tickets(spark, d, "doc_id", "ticket_id", "description", "category", "priority", "status", "subject", "resolution"))
-    split = cut_lineage(
-        sampling.split(rows.select("ticket_id", "description", "category", "priority", "status")), "split"
-    )
+    rows = cut_lineage(rows.select("ticket_id", "description", "category", "priority", "status"), "clean-tickets")
+    split = cut_lineage(sampling.split(rows), "split")
     words = TfidfVocabulary.fit(split.filter("NOT is_test"), "ticket_id", "description")
     features = words.vectors(split, "ticket_id", "description")
     return features.filter("NOT is_test"), features, words
