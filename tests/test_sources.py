@@ -69,6 +69,11 @@ def test_stream_equals_batch(spark):
     out = jobs.apply_stream(stream, lambda batch: batch.withColumn("y", F.col("x") * 2), "stream-test-out")
     assert sorted(map(tuple, out.collect())) == sorted(map(tuple, df.withColumn("y", F.col("x") * 2).collect()))
 
+    empty = session.fresh_path(spark, "stream-empty")
+    df.limit(0).write.parquet(empty)
+    nothing = jobs.apply_stream(spark.readStream.schema(df.schema).parquet(empty), lambda batch: batch, "stream-empty-out")
+    assert nothing.count() == 0 and nothing.columns == df.columns
+
 
 def test_shared_folder_comes_from_the_session(spark):
     base = spark.conf.get(session.CHECKPOINT_CONF, None) or session.shared_dir(spark)

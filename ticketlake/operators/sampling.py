@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ticketlake.session import cut_lineage
+
 _BUCKET_DIGITS = 4  # 65,536 buckets of the md5 space
+_MAX_CLASSES = 100_000  # broadcast one cut row per class up to here
 
 
 def seeded_hash(key: str, seed: int) -> Column:
@@ -30,35 +33,41 @@ def split(
     bucket find the bucket where the cut falls, and only that bucket's rows are ranked.
     ``df`` is read three times, twice for its keys only: pass a table, not a costly plan.
     """
-    hashed = df.withColumn("h", seeded_hash(key, seed)).withColumn("bucket", F.left("h", F.lit(_BUCKET_DIGITS)))
-    class_key = F.col(by) if by else F.lit("all")
-    hashed = hashed.withColumn("class_key", class_key)
-    counts = hashed.groupBy("class_key", "bucket").agg(F.count("*").alias("n"))
-    running = Window.partitionBy("class_key").orderBy("bucket")
+    hashed = df.withColumn("h", seeded_hash(key, seed))
+    keys = hashed.select(*([by] if by else []), "h", key).withColumn("bucket", F.left("h", F.lit(_BUCKET_DIGITS)))
+    last = cut_lineage(_last_test_rows(keys, fraction, key, [by] if by else []), "cuts")
+    if by is None:
+        # one row, so a scalar instead of a join
+        cut = last.select(F.struct("last_h", "last_key")).scalar()
+        is_test = F.struct(F.col("h").alias("last_h"), F.col(key).alias("last_key")) <= cut
+        return hashed.withColumn("is_test", F.coalesce(is_test, F.lit(False))).drop("h")
+    cuts = F.broadcast(last) if last.count() <= _MAX_CLASSES else last
+    is_test = F.struct("h", key) <= F.struct("last_h", "last_key")
+    return (
+        hashed.join(cuts, by, "left")
+        .withColumn("is_test", F.coalesce(is_test, F.lit(False)))
+        .drop("h", "last_h", "last_key")
+    )
+
+
+def _last_test_rows(keys: DataFrame, fraction: float, key: str, by: list[str]) -> DataFrame:
+    """Hash and key of the last test row of each class, or of all rows."""
+    counts = keys.groupBy(*by, "bucket").agg(F.count("*").alias("n"))
+    # at most 65,536 rows per class from here to the cut bucket
+    running = Window.partitionBy(*by).orderBy("bucket")
     counts = counts.withColumn("before", F.sum("n").over(running) - F.col("n"))
-    totals = counts.groupBy("class_key").agg(F.ceil(F.sum("n") * F.lit(fraction)).alias("target"))
+    counts = counts.withColumn("target", F.ceil(F.sum("n").over(Window.partitionBy(*by)) * F.lit(fraction)))
     cuts = (
-        counts.join(totals, "class_key")
-        .filter(F.col("before") < F.col("target"))
-        .groupBy("class_key")
-        .agg(
-            F.max("bucket").alias("cut_bucket"),
-            F.max_by(F.col("target") - F.col("before"), "bucket").alias("take"),
-        )
-    )
-    at_cut = (
-        hashed.select("class_key", "bucket", "h", key)
-        .join(cuts, "class_key")
-        .filter(F.col("bucket") == F.col("cut_bucket"))
-        .withColumn("rank", F.row_number().over(Window.partitionBy("class_key", "bucket").orderBy("h", key)))
-        .filter(F.col("rank") == F.col("take"))
-        .select("class_key", F.col("h").alias("last_h"), F.col(key).alias("last_key"))
+        counts.filter((F.col("before") < F.col("target")) & (F.col("target") <= F.col("before") + F.col("n")))
+        .withColumn("take", F.col("target") - F.col("before"))
+        .select(*by, "bucket", "take")
     )
-    is_test = F.struct("h", key) <= F.struct("last_h", "last_key")
+    ranked = Window.partitionBy(*by, "bucket").orderBy("h", key)
     return (
-        hashed.join(at_cut, "class_key", "left")
-        .withColumn("is_test", F.coalesce(is_test, F.lit(False)))
-        .drop("h", "bucket", "class_key", "last_h", "last_key")
+        keys.join(cuts, [*by, "bucket"])
+        .withColumn("rank", F.row_number().over(ranked))
+        .filter(F.col("rank") == F.col("take"))
+        .select(*by, F.col("h").alias("last_h"), F.col(key).alias("last_key"))
     )
 
 
