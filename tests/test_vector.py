@@ -43,6 +43,13 @@ def test_exact_equals_brute_force(spark, points, cell_rows, block_rows):
     assert got(hits) == brute(queries, corpus, 7)
 
 
+def test_tiles_within_a_block(spark, points, monkeypatch):
+    monkeypatch.setattr(vector, "TILE_ROWS", 16)
+    queries, corpus = points
+    hits = vector.knn_exact(make(spark, queries, "query_id"), make(spark, corpus, "neighbour_id"), 7)
+    assert got(hits) == brute(queries, corpus, 7)
+
+
 def test_fewer_rows_than_k(spark, points):
     queries, corpus = points
     for cell_rows in (100, 2):

@@ -77,12 +77,13 @@ class TfidfVocabulary:
         return cls(terms, terms.count())
 
     def vectors(self, df: DataFrame, key: str, text: str) -> DataFrame:
-        """``df`` with a sparse ``features`` vector per row, written once for the training passes."""
+        """``df`` with a sparse ``features`` vector in place of the text, written once for the training passes."""
         weights = tfidf(term_counts(df, key, text), key, self.terms)
         by_row = weights.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("idx", "weight"))).alias("cells"))
         empty = F.array().cast("array<struct<idx:int,weight:double>>")
         cells = F.coalesce(F.col("cells"), empty)
-        packed = df.join(by_row, key, "left").withColumn(
+        rest = df.drop(text)
+        packed = rest.join(by_row, key, "left").withColumn(
             "features",
             F.struct(
                 F.lit(0).cast("tinyint").alias("type"),
@@ -91,10 +92,10 @@ class TfidfVocabulary:
                 F.transform(cells, lambda c: c["weight"]).alias("values"),
             ),
         )
-        rows = packed.select(*df.columns, "features")
+        rows = packed.select(*rest.columns, "features")
         path = fresh_path(df.sparkSession, "features")
         rows.write.parquet(path)
-        schema = T.StructType([*df.schema.fields, T.StructField("features", VectorUDT())])
+        schema = T.StructType([*rest.schema.fields, T.StructField("features", VectorUDT())])
         return df.sparkSession.read.schema(schema).parquet(path)
 
 

@@ -17,8 +17,10 @@ from pyspark.sql import functions as F
 
 from ticketlake.session import cut_lineage
 
-BLOCK_ROWS = 2048  # rows of either side in one group
-CELL_ROWS = 16_384  # corpus rows a cell is meant to hold
+BLOCK_ROWS = 32_768  # rows of either side in one group; what is shuffled shrinks with it
+SMALL_BLOCK_ROWS = 512  # a small corpus is cut this fine to keep every core at work
+TILE_ROWS = 2048  # rows of either side in one matrix product within a group
+CELL_ROWS = 32_768  # corpus rows a cell is meant to hold
 MAX_CELLS = 1024  # bounds everything kept per cell on the driver or broadcast
 _SLACK = 1e-9  # relative rounding of a squared distance in product form
 _REACH_SLACK = 1e-6  # the same after a square root
@@ -46,6 +48,29 @@ def _without_spare_copies(corpus: pd.DataFrame, k: int) -> pd.DataFrame:
     return corpus[copies.groupby(copies).cumcount() < k]
 
 
+def _nearest_rows(q: np.ndarray, c: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row of ``q``, row of ``c`` and distance of the k nearest; equal distances in the order of ``c``."""
+    bound = np.full(len(q), np.inf)  # no more than k rows can be nearer than this
+    slack = _SLACK * (1.0 + (q * q).sum(1) + (c * c).sum(1).max())
+    near = []
+    for start in range(0, len(c), TILE_ROWS):
+        rough = _squared_distances(q, c[start : start + TILE_ROWS])
+        if rough.shape[1] > k:
+            bound = np.minimum(bound, np.partition(rough, k - 1, axis=1)[:, k - 1])
+        # the product form rounds differently, so keep near ties and measure again below
+        row, col = np.nonzero(rough <= (bound + slack)[:, None])
+        near.append((row, col + start))
+    row, col = (np.concatenate(side) for side in zip(*near))
+    distance = np.zeros(len(row))
+    for i in range(q.shape[1]):
+        step = q[row, i] - c[col, i]
+        distance += step * step
+    order = np.lexsort((col, distance, row))
+    row, col, distance = row[order], col[order], distance[order]
+    keep = np.arange(len(row)) - np.searchsorted(row, row, side="left") < k
+    return row[keep], col[keep], distance[keep]
+
+
 def _block_top_k(k: int, columns: list[str], carry: list[str]):
     """Group function: the k nearest rows of one corpus block for each query of one query block."""
 
@@ -53,31 +78,19 @@ def _block_top_k(k: int, columns: list[str], carry: list[str]):
         if queries.empty or corpus.empty:
             return pd.DataFrame(columns=columns)
         corpus = _without_spare_copies(corpus, k)
-        q, c = _matrix(queries["vector"]), _matrix(corpus["corpus_vector"])
-        rough = _squared_distances(q, c)
-        if len(c) > k:
-            # the product form rounds differently, so keep near ties and measure again below
-            bound = np.partition(rough, k - 1, axis=1)[:, k - 1]
-            slack = _SLACK * (1.0 + (q * q).sum(1) + (c * c).sum(1).max())
-            row, col = np.nonzero(rough <= (bound + slack)[:, None])
-        else:
-            row, col = np.nonzero(np.ones_like(rough, dtype=bool))
-        distance = np.zeros(len(row))
-        for i in range(q.shape[1]):
-            step = q[row, i] - c[col, i]
-            distance += step * step
-        ids = corpus["neighbour_id"].to_numpy()
-        order = np.lexsort((col, distance, row))  # corpus rows are in id order
-        row, col, distance = row[order], col[order], distance[order]
-        keep = np.arange(len(row)) - np.searchsorted(row, row, side="left") < k
-        row, col = row[keep], col[keep]
-        out = {
-            "query_id": queries["query_id"].to_numpy()[row],
-            "neighbour_id": ids[col],
-            "distance": distance[keep],
-        }
-        out.update({name: corpus[name].to_numpy()[col] for name in carry})
-        return pd.DataFrame(out, columns=columns)
+        c = _matrix(corpus["corpus_vector"])
+        found = []
+        for start in range(0, len(queries), TILE_ROWS):
+            tile = queries.iloc[start : start + TILE_ROWS]
+            row, col, distance = _nearest_rows(_matrix(tile["vector"]), c, k)
+            out = {
+                "query_id": tile["query_id"].to_numpy()[row],
+                "neighbour_id": corpus["neighbour_id"].to_numpy()[col],
+                "distance": distance,
+            }
+            out.update({name: corpus[name].to_numpy()[col] for name in carry})
+            found.append(pd.DataFrame(out, columns=columns))
+        return pd.concat(found, ignore_index=True)
 
     return nearest
 
@@ -94,7 +107,9 @@ def _search_whole(
     queries: DataFrame, corpus: DataFrame, n_rows: int, k: int, carry: list[str], block_rows: int
 ) -> DataFrame:
     """The same over one cell that holds everything."""
-    parts, query_parts = max(1, -(-n_rows // block_rows)), max(1, -(-queries.count() // block_rows))
+    cores = corpus.sparkSession.sparkContext.defaultParallelism
+    parts = max(-(-n_rows // block_rows), min(cores, -(-n_rows // SMALL_BLOCK_ROWS)), 1)
+    query_parts = max(1, -(-queries.count() // block_rows))
     grid = {"cell": F.lit(0), "parts": F.lit(parts), "query_parts": F.lit(query_parts)}
     return _search_blocks(queries.withColumns(grid), corpus.withColumns(grid), k, carry)
 
