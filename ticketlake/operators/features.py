@@ -16,12 +16,9 @@ def term_counts(df: DataFrame, key: str, text: str, pairs: bool = True) -> DataF
     """``key, term, tf`` of words and, with ``pairs``, of neighbouring words.
 
     Whole texts are spread by key once, and every later step per document stays where it is.
-    The number of partitions is explicit, so that the many terms of a text are not squeezed
-    into the few partitions its bytes would fill. ``explode_outer`` keeps the optimizer from
-    tokenising a second time just to skip empty texts.
+    ``explode_outer`` keeps the optimizer from tokenising a second time just to skip empty texts.
     """
-    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    words = df.select(key, text).repartition(partitions, key).select(key, tokens(text).alias("words"))
+    words = df.select(key, text).repartition(key).select(key, tokens(text).alias("words"))
     terms = ngrams("words") if pairs else F.col("words")
     return (
         words.select(key, F.explode_outer(terms).alias("term"))

@@ -15,6 +15,8 @@ _FROM_LINEITEM = {
     "time_to_resolution_hours",
 }
 
+_BROADCAST_IDS = 1_000_000
+
 
 def tickets(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     """Tickets with the asked columns (all when none are named).
@@ -35,11 +37,15 @@ def tickets(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
         .join(passages, F.col("item_id") == F.col("slot"))
     )
     if not columns or _FROM_LINEITEM & set(columns):
-        # first line of each order; the semi join keeps the large table's shuffle to the orders in use
+        lines = table(spark, sf_dir, "lineitem")
+        if docs.count() <= _BROADCAST_IDS:
+            # few enough ids to drop unused orders before the shuffle; beyond that a shuffled
+            # semi join would move every line, while the minimum below combines on the map side
+            ids = F.broadcast(docs.select("doc_id"))
+            lines = lines.join(ids, F.col("l_orderkey") == F.col("doc_id"), "left_semi")
+        # first line of each order
         first_line = (
-            table(spark, sf_dir, "lineitem")
-            .join(docs.select("doc_id"), F.col("l_orderkey") == F.col("doc_id"), "left_semi")
-            .groupBy("l_orderkey")
+            lines.groupBy("l_orderkey")
             .agg(F.min(F.struct("l_shipdate", "l_linenumber", "l_partkey", "l_quantity")).alias("line"))
             .select("l_orderkey", "line.l_shipdate", "line.l_partkey", "line.l_quantity")
         )
