@@ -93,3 +93,20 @@ class _Cluster:
 
     class sparkContext:
         master = "spark://somewhere:7077"
+
+
+def test_ticket_view_without_the_broadcast_of_ids(spark, sf_dir, monkeypatch):
+    from ticketlake.sources import tickets as view
+
+    few = view.tickets(spark, sf_dir)
+    monkeypatch.setattr(view, "_BROADCAST_IDS", 0)
+    many = view.tickets(spark, sf_dir)
+    assert few.count() == many.count() and few.exceptAll(many).count() == 0
+
+
+def test_ticket_view_with_fewer_columns(spark, sf_dir):
+    from ticketlake.sources.tickets import tickets
+
+    lean = tickets(spark, sf_dir, "ticket_id", "status", "resolution")
+    full = tickets(spark, sf_dir).select("ticket_id", "status", "resolution")
+    assert lean.exceptAll(full).count() == full.exceptAll(lean).count() == 0

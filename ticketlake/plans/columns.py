@@ -228,8 +228,8 @@ def _any_sql(phrases: list[str]) -> str:
     + ", tags AS (SELECT ticket_id, priority, "
     + ", ".join(f"{_any_sql(ps)} AS {p.lower()}" for p, ps in PHRASES.items())
     + """ FROM tickets)
-    SELECT priority, count(*) AS n, count_if(critical) AS n_critical, count_if(high) AS n_high,
-      count_if(medium) AS n_medium, count_if(low) AS n_low,
+    SELECT priority, count(*) AS n, count(*) FILTER (critical) AS n_critical, count(*) FILTER (high) AS n_high,
+      count(*) FILTER (medium) AS n_medium, count(*) FILTER (low) AS n_low,
       round(avg(CASE priority WHEN 'Critical' THEN cast(critical AS integer) WHEN 'High' THEN cast(high AS integer)
         WHEN 'Medium' THEN cast(medium AS integer) ELSE cast(low AS integer) END), 6) AS agreement
     FROM tags GROUP BY priority""",

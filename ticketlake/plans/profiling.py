@@ -164,7 +164,7 @@ def _(spark, d):
 @query(
     "open_share",
     TICKETS
-    + """SELECT count_if(status IN ('Open', 'In Progress', 'Pending')) AS n_open, count(*) AS n_total,
+    + """SELECT cast(count_if(status IN ('Open', 'In Progress', 'Pending')) AS bigint) AS n_open, count(*) AS n_total,
     round(100.0e0 * count_if(status IN ('Open', 'In Progress', 'Pending')) / count(*), 6) AS pct_open FROM tickets""",
 )
 def _(spark, d):
@@ -188,7 +188,7 @@ def _(spark, d):
     "crosstab_cat_priority",
     TICKETS
     + "SELECT category, "
-    + ", ".join(f'count_if(priority = \'{p}\') AS "{p}"' for p in PRIORITY_ORDER)
+    + ", ".join(f'cast(count_if(priority = \'{p}\') AS bigint) AS "{p}"' for p in PRIORITY_ORDER)
     + " FROM tickets GROUP BY category",
 )
 def _(spark, d):

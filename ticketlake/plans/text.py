@@ -340,7 +340,7 @@ def _compare_sql() -> str:
 
 @query("model_comparison", TICKETS + RULE_SQL + _compare_sql())
 def _(spark, d):
-    rows = rule_predictions(spark, d)
+    rows = cut_lineage(rule_predictions(spark, d), "predictions")
 
     def named(df, model, target):
         return df.select(F.lit(model).alias("model"), F.lit(target).alias("target"), "truth", "prediction")
