@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -370,6 +371,12 @@ def fit(train: DataFrame, words: TfidfVocabulary, label: str, balanced: bool = F
     return TicketClassifier.fit(train, label, features=train, words=words, balanced=balanced)
 
 
+def fit_all(train: DataFrame, words: TfidfVocabulary, *targets: tuple[str, bool]) -> list[TicketClassifier]:
+    """One model per ``(label, balanced)``, trained side by side: their many short jobs leave cores idle."""
+    with ThreadPoolExecutor(len(targets)) as pool:
+        return list(pool.map(lambda target: fit(train, words, *target), targets))
+
+
 def quality(model: TicketClassifier, rows: DataFrame, label: str, name: str) -> DataFrame:
     predicted = model.score(rows, "guess").select(F.col(label).alias("truth"), F.col("guess").alias("prediction"))
     return predicted.select(F.lit(name).alias("model"), F.lit(label).alias("target"), "truth", "prediction")
@@ -379,7 +386,9 @@ def quality(model: TicketClassifier, rows: DataFrame, label: str, name: str) ->
 def _(spark, d):
     train, rows, words = training_tables(spark, d)
     test = rows.filter("is_test")
-    runs = [quality(fit(train, words, label), test, label, "tfidf logistic") for label in ("category", "priority")]
+    labels = ("category", "priority")
+    models = fit_all(train, words, *[(label, False) for label in labels])
+    runs = [quality(model, test, label, "tfidf logistic") for model, label in zip(models, labels)]
     usual = [
         test.select(
             F.lit("majority").alias("model"),
@@ -387,7 +396,7 @@ def _(spark, d):
             F.col(label).alias("truth"),
             profile.majority_baseline(train, label).select("label").scalar().alias("prediction"),
         )
-        for label in ("category", "priority")
+        for label in labels
     ]
     return metrics.compare_models(runs[0].unionByName(runs[1]).unionByName(usual[0]).unionByName(usual[1]))
 
@@ -396,9 +405,9 @@ def _(spark, d):
 def _(spark, d):
     train, rows, words = training_tables(spark, d)
     test = rows.filter("is_test")
-    plain = quality(fit(train, words, "priority"), test, "priority", "plain")
-    weighted = quality(fit(train, words, "priority", balanced=True), test, "priority", "balanced")
-    return metrics.compare_models(plain.unionByName(weighted))
+    plain, balanced = fit_all(train, words, ("priority", False), ("priority", True))
+    runs = quality(plain, test, "priority", "plain").unionByName(quality(balanced, test, "priority", "balanced"))
+    return metrics.compare_models(runs)
 
 
 def classify_both(features: DataFrame, category: TicketClassifier, priority: TicketClassifier) -> DataFrame:
@@ -419,4 +428,4 @@ def classify_both(features: DataFrame, category: TicketClassifier, priority: Tic
 @query("classify_batch")
 def _(spark, d):
     train, rows, words = training_tables(spark, d)
-    return classify_both(rows, fit(train, words, "category"), fit(train, words, "priority"))
+    return classify_both(rows, *fit_all(train, words, ("category", False), ("priority", False)))
