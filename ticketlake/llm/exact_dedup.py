@@ -9,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ticketlake.llm.common import cut_lineage, fresh_path, text_of, with_row
-from ticketlake.llm.index import ADD, REMOVE, changes, fold, keys_of, shards_for
+from ticketlake.llm.common import cut_lineage, text_of, with_row
+from ticketlake.llm.index import ADD, ReversibleIndex, changes, fold, keys_of, shards_for
 
 DIGEST_BYTES = 32
 
@@ -63,46 +63,12 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return numbered.join(kept, row, "left_semi").drop(row)
 
 
-class DigestIndex:
-    """The digests of a changing collection: who holds which text, and which digests are live.
-
-    ``members`` has a row for each document, ``state`` the shards (see ``index``). Each change writes both
-    tables anew below the shared folder; an older version stays readable until its folder is removed.
-    """
-
-    def __init__(self, members: DataFrame, state: DataFrame, shards: int):
-        self.members, self.state, self.shards = members, state, shards
-
-    @classmethod
-    def build(cls, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DigestIndex:
-        members = cut_lineage(digests(docs, id_col, text_col).drop("row"), "dedup-members")
-        shards = shards_for(docs.sparkSession, members.count())
-        return cls(members, _written(fold(changes(members, ADD), DIGEST_BYTES, shards)), shards)
-
-    def insert(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DigestIndex:
-        new = cut_lineage(digests(docs, id_col, text_col).drop("row"), "dedup-members")
-        return DigestIndex(self.members.unionByName(new), self._changed(new, ADD), self.shards)
-
-    def delete(self, ids: DataFrame, id_col: str = "doc_id") -> DigestIndex:
-        """Takes out all documents with these ids; ids that are not there change nothing."""
-        ids = ids.select(F.col(id_col).cast("long").alias("doc_id")).distinct()
-        gone = self.members.join(ids, "doc_id", "left_semi")
-        rest = cut_lineage(self.members.join(ids, "doc_id", "left_anti"), "dedup-members")
-        return DigestIndex(rest, self._changed(gone, REMOVE), self.shards)
-
-    def _changed(self, keys: DataFrame, kind: int) -> DataFrame:
-        return _written(fold(self.state.unionByName(changes(keys, kind)), DIGEST_BYTES, self.shards))
-
-    def live(self) -> DataFrame:
-        """``key`` and ``n``, the documents that hold it."""
-        return keys_of(self.state).select("key", "n")
-
-    def keepers(self) -> DataFrame:
-        """``key`` and ``keep_id``, the largest id of the documents that hold it now."""
-        return self.members.groupBy("key").agg(F.max("doc_id").alias("keep_id"))
+def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> ReversibleIndex:
+    """Which document holds which text, for a collection that grows and shrinks."""
+    return ReversibleIndex.build(digests(docs, id_col, text_col), DIGEST_BYTES)
 
 
-def _written(state: DataFrame) -> DataFrame:
-    path = fresh_path(state.sparkSession, "dedup-index")
-    state.write.parquet(path)
-    return state.sparkSession.read.parquet(path)
+def keepers(index: ReversibleIndex) -> DataFrame:
+    """``key``, ``keep_id`` (the largest id of the documents that hold the text now) and ``n`` of live digests."""
+    largest = index.members.groupBy("key").agg(F.max("doc_id").alias("keep_id"))
+    return index.live().join(largest, "key")

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticketlake.llm.common import parts_for
+from ticketlake.llm.common import cut_lineage, parts_for
 from ticketlake.llm.cuckoo import KeyIndex
 
 FILTER, KEY, ADD, REMOVE = range(4)
@@ -147,3 +147,40 @@ def shards_for(spark: SparkSession, rows: int) -> int:
 
 def keys_of(state: DataFrame) -> DataFrame:
     return state.filter(F.col("kind") == KEY)
+
+
+class ReversibleIndex:
+    """Which document holds which keys, and the live keys with their exact counts.
+
+    ``members`` has ``doc_id`` and ``key`` of each document, ``state`` the shards. A change gives a new index and
+    writes what it changed below the shared folder; tables of older versions stay until they are removed.
+    """
+
+    def __init__(self, members: DataFrame, state: DataFrame, width: int, shards: int):
+        self.members, self.state, self.width, self.shards = members, state, width, shards
+
+    @classmethod
+    def build(cls, members: DataFrame, width: int) -> ReversibleIndex:
+        """From stored rows of ``doc_id`` and ``key``; a document's keys are different ones."""
+        shards = shards_for(members.sparkSession, members.count())
+        state = cut_lineage(fold(changes(members, ADD), width, shards), "key-index")
+        return cls(members.select("doc_id", "key"), state, width, shards)
+
+    def _changed(self, members: DataFrame, keys: DataFrame, kind: int) -> ReversibleIndex:
+        rows = self.state.unionByName(changes(keys, kind))
+        state = cut_lineage(fold(rows, self.width, self.shards), "key-index")
+        return ReversibleIndex(members, state, self.width, self.shards)
+
+    def insert(self, members: DataFrame) -> ReversibleIndex:
+        new = cut_lineage(members.select("doc_id", "key"), "key-members")
+        return self._changed(self.members.unionByName(new), new, ADD)
+
+    def delete(self, ids: DataFrame, id_col: str = "doc_id") -> ReversibleIndex:
+        """Takes out all documents with these ids; ids that are not there change nothing."""
+        ids = ids.select(F.col(id_col).cast("long").alias("doc_id")).distinct()
+        rest = cut_lineage(self.members.join(ids, "doc_id", "left_anti"), "key-members")
+        return self._changed(rest, self.members.join(ids, "doc_id", "left_semi"), REMOVE)
+
+    def live(self) -> DataFrame:
+        """``key`` and ``n``, the count of documents that hold it."""
+        return keys_of(self.state).select("key", "n")
