@@ -12,6 +12,7 @@ from ticketlake.llm import bpe, packing
 from ticketlake.llm.common import table
 from ticketlake.llm.exact_dedup import exact_dedup
 from ticketlake.llm.line_dedup import line_dedup
+from ticketlake.llm.simhash import near_duplicates
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -32,6 +33,12 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(bpe.decode(encoded, path))
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = near_duplicates(table(spark, sf_dir, "documents"), words=3, max_bits=2)
+    fingerprint = F.lpad(F.lower(F.hex("fp")), 16, "0")
+    return rows.select("doc_id", fingerprint.alias("fingerprint"), "component_id")
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = line_dedup(table(spark, sf_dir, "documents"), min_docs=10, min_chars=1)
     return rows.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -41,6 +48,7 @@ QUERIES: dict[str, Query] = {
     "op1_packing": op1_packing,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_bpe": op3_bpe,
+    "op6_simhash": op6_simhash,
     "op9_line_dedup": op9_line_dedup,
 }
 
