@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticketlake.llm import bpe, packing
+from ticketlake.llm import bpe, langid, packing
 from ticketlake.llm.common import table
 from ticketlake.llm.exact_dedup import exact_dedup
 from ticketlake.llm.line_dedup import line_dedup
@@ -44,12 +44,20 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = langid.fold(3) == 1
+    model = langid.fit(docs, ~held_out, public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return langid.predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 QUERIES: dict[str, Query] = {
     "op1_packing": op1_packing,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_bpe": op3_bpe,
     "op6_simhash": op6_simhash,
     "op9_line_dedup": op9_line_dedup,
+    "op10_langid": op10_langid,
 }
 
 # Equal texts: identical after lower-casing A-Z only.
