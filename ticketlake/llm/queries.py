@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticketlake.llm import bpe, langid, packing
+from ticketlake.llm import bpe, langid, packing, quality
 from ticketlake.llm.common import table
 from ticketlake.llm.exact_dedup import exact_dedup
 from ticketlake.llm.line_dedup import line_dedup
@@ -33,6 +33,11 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(bpe.decode(encoded, path))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.judged(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = near_duplicates(table(spark, sf_dir, "documents"), words=3, max_bits=2)
     fingerprint = F.lpad(F.lower(F.hex("fp")), 16, "0")
@@ -55,6 +60,7 @@ QUERIES: dict[str, Query] = {
     "op1_packing": op1_packing,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_bpe": op3_bpe,
+    "op4_quality": op4_quality,
     "op6_simhash": op6_simhash,
     "op9_line_dedup": op9_line_dedup,
     "op10_langid": op10_langid,
