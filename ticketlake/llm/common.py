@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,3 +44,18 @@ def with_row(docs: DataFrame) -> tuple[DataFrame, str]:
     """
     name = free_name(docs, "_row")
     return docs.withColumn(name, F.monotonically_increasing_id()), name
+
+
+def small_batches(batches: Iterable[pa.RecordBatch], column: int, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ``limit`` bytes of one text column; a longer text comes alone.
+
+    Working copies of a batch (words, ids, bits) take many times its bytes.
+    """
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy())
+        at = 0
+        while at < batch.num_rows:
+            before = ends[at - 1] if at else 0
+            to = max(at + 1, int(np.searchsorted(ends, before + limit, side="right")))
+            yield batch.slice(at, to - at)
+            at = to

@@ -13,6 +13,7 @@ from ticketlake.llm.common import table
 from ticketlake.llm.exact_dedup import exact_dedup
 from ticketlake.llm.line_dedup import line_dedup
 from ticketlake.llm.simhash import near_duplicates
+from ticketlake.llm.warc import archive_pages
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -44,6 +45,10 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", fingerprint.alias("fingerprint"), "component_id")
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_pages(table(spark, sf_dir, "pages"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = line_dedup(table(spark, sf_dir, "documents"), min_docs=10, min_chars=1)
     return rows.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -62,6 +67,7 @@ QUERIES: dict[str, Query] = {
     "op3_bpe": op3_bpe,
     "op4_quality": op4_quality,
     "op6_simhash": op6_simhash,
+    "op8_warc": op8_warc,
     "op9_line_dedup": op9_line_dedup,
     "op10_langid": op10_langid,
 }
