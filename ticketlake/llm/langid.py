@@ -224,11 +224,6 @@ def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_
     return rows.mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
-def fold(modulus: int, id_col: str = "doc_id") -> Column:
-    """CRC-32 of the id as text, by a modulus; a null id counts as empty text."""
-    return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(modulus))
-
-
 def identified(docs: DataFrame, model: LanguageModel, min_score: float = 0.5, text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, whose language is found with ``min_score`` or more."""
     names = docs.columns

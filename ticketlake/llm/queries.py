@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticketlake.llm import bpe, langid, packing, quality
-from ticketlake.llm.common import table
+from ticketlake.llm import bpe, langid, lm, packing, quality
+from ticketlake.llm.common import fold, table
 from ticketlake.llm.exact_dedup import exact_dedup
 from ticketlake.llm.line_dedup import line_dedup
 from ticketlake.llm.simhash import near_duplicates
@@ -45,6 +45,12 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", fingerprint.alias("fingerprint"), "component_id")
 
 
+def op7_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = lm.score(table(spark, sf_dir, "documents"), fold(7) != 2)
+    counts = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return rows.select("doc_id", (~F.col("train")).alias("held_out"), *counts)
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_pages(table(spark, sf_dir, "pages"))
 
@@ -56,7 +62,7 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    held_out = langid.fold(3) == 1
+    held_out = fold(3) == 1
     model = langid.fit(docs, ~held_out, public_tokenizers.path("byte_bpe_50k.tiktoken"))
     return langid.predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
@@ -67,6 +73,7 @@ QUERIES: dict[str, Query] = {
     "op3_bpe": op3_bpe,
     "op4_quality": op4_quality,
     "op6_simhash": op6_simhash,
+    "op7_lm": op7_lm,
     "op8_warc": op8_warc,
     "op9_line_dedup": op9_line_dedup,
     "op10_langid": op10_langid,
