@@ -14,7 +14,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticketlake.llm.common import text_of
+from ticketlake.llm.common import small_batches, text_of
 
 _NONE = np.int32(2**31 - 1)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -25,8 +25,8 @@ _SPACE_BEHIND, _SPACE_BEFORE = re.compile(r" \s"), re.compile(r" (?<=\s )")
 #: Longer matches are merged one by one with a heap; each round of a matrix costs its whole length.
 LONG_MATCH = 256
 #: Cells of one matrix, and matches that one cache holds before it starts anew.
-MATRIX_CELLS = 4_000_000
-CACHE = 600_000
+MATRIX_CELLS = 1_000_000
+CACHE = 300_000
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -229,7 +229,7 @@ def encode(
     codec = Codec(read_ranks(ranks_path), pattern)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches, 1):
             ids = codec.encode(batch.column(1).to_pylist())
             yield pa.record_batch([batch.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
@@ -242,7 +242,7 @@ def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         take = tokens.__getitem__
-        for batch in batches:
+        for batch in small_batches(batches, 1):
             found = [
                 None if i is None else b"".join(map(take, np.frombuffer(i, "<u4").tolist()))
                 for i in batch.column(1).to_pylist()
