@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticketlake.llm import bpe, langid, lm, packing, quality
+from ticketlake.llm import bpe, extraction, langid, lm, packing, quality
 from ticketlake.llm.common import fold, table
 from ticketlake.llm.exact_dedup import exact_dedup
 from ticketlake.llm.line_dedup import line_dedup
@@ -39,6 +39,11 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op5_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return extraction.extract(pages, extraction.fit(pages))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = near_duplicates(table(spark, sf_dir, "documents"), words=3, max_bits=2)
     fingerprint = F.lpad(F.lower(F.hex("fp")), 16, "0")
@@ -72,6 +77,7 @@ QUERIES: dict[str, Query] = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_bpe": op3_bpe,
     "op4_quality": op4_quality,
+    "op5_extraction": op5_extraction,
     "op6_simhash": op6_simhash,
     "op7_lm": op7_lm,
     "op8_warc": op8_warc,
