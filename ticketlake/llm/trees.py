@@ -19,7 +19,7 @@ class BoostedTrees:
         rows, width = x.shape
         varied = [f for f in range(width) if x[:, f].min() < x[:, f].max()]
         flags = [f for f in varied if np.isin(x[:, f], (0, 1)).all()]
-        flag = x[:, flags].astype(np.float32)
+        set_row, set_flag = np.nonzero(x[:, flags])  # few flags are set in a row
         numbers = [f for f in varied if f not in set(flags)]
         shares = np.linspace(0, 1, self.bins + 1)[1:-1]
         edges = {f: np.unique(np.quantile(x[:, f], shares, method="lower")) for f in numbers}
@@ -36,8 +36,7 @@ class BoostedTrees:
             for level in range(self.depth):
                 n, first = 2**level, 2**level - 1
                 best = np.full(n, 1e-6)
-                of_node = place[:, None] == np.arange(n)
-                g_all, h_all = grad @ of_node, hess @ of_node
+                g_all, h_all = np.bincount(place, grad, n), np.bincount(place, hess, n)
 
                 def worth(g: np.ndarray, h: np.ndarray, g_all=g_all, h_all=h_all) -> np.ndarray:
                     """Gain of sending ``g`` and ``h`` to the left, for each node and cut."""
@@ -52,8 +51,9 @@ class BoostedTrees:
                         feature[first + node], cut[first + node] = features[at[node]], cuts[at[node]]
 
                 if flags:
-                    g = g_all[:, None] - (of_node * grad[:, None]).astype(np.float32).T @ flag
-                    h = h_all[:, None] - (of_node * hess[:, None]).astype(np.float32).T @ flag
+                    cell = place[set_row] * len(flags) + set_flag
+                    g = g_all[:, None] - np.bincount(cell, grad[set_row], n * len(flags)).reshape(n, -1)
+                    h = h_all[:, None] - np.bincount(cell, hess[set_row], n * len(flags)).reshape(n, -1)
                     take(worth(g, h), flags, np.full(len(flags), 0.5))
                 for f in numbers:
                     cell = place * self.bins + binned[f]
