@@ -88,16 +88,21 @@ def _cut(text: str) -> list[str]:
     return text.split(" ")
 
 
-class ChunkedEncoder:
-    """Encodes each distinct chunk of texts once, and joins the ids; memory is bounded by ``CACHE`` chunks."""
+class Codec:
+    """Encodes and decodes by ranks; the same ids as the tiktoken library's ``encode_ordinary``.
 
-    def __init__(self) -> None:
+    Each distinct chunk is encoded once; a cache of ``CACHE`` chunks bounds the memory.
+    """
+
+    def __init__(self, tokens: list[bytes], pattern: str):
+        self.tokens = tokens
+        self.pattern = regex.compile(pattern)
+        self.pairs = PairTable(tokens)
+        self.ids = {t: i for i, t in enumerate(tokens)}
+        self.byte_ids = np.array([self.ids[bytes([b])] for b in range(256)], np.int32)
         self.first: dict[str, bytes] = {}  # ids of a text's first chunk
         self.after: dict[str, bytes] = {}  # ids of a chunk behind a space, the space included
 
-    def _chunks(self, chunks: list[str]) -> list[bytes]:
-        raise NotImplementedError
-
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian 32-bit integers."""
         cut = [_cut(t) for t in texts]
@@ -111,18 +116,6 @@ class ChunkedEncoder:
         after = self.after.__getitem__
         return [self.first[c[0]] + b"".join(map(after, c[1:])) for c in cut]
 
-
-class Codec(ChunkedEncoder):
-    """Encodes and decodes by ranks; the same ids as the tiktoken library's ``encode_ordinary``."""
-
-    def __init__(self, tokens: list[bytes], pattern: str):
-        super().__init__()
-        self.tokens = tokens
-        self.pattern = regex.compile(pattern)
-        self.pairs = PairTable(tokens)
-        self.ids = {t: i for i, t in enumerate(tokens)}
-        self.byte_ids = np.array([self.ids[bytes([b])] for b in range(256)], np.int32)
-
     def _chunks(self, chunks: list[str]) -> list[bytes]:
         """Ids of chunks: of their matches, one after the other."""
         findall = self.pattern.findall

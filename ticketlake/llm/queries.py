@@ -20,7 +20,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
-    return packing.pack(packing.pieces(table(spark, sf_dir, "documents"), path, capacity=2048), capacity=2048)
+    pieces = packing.pieces(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, capacity=2048)
+    return packing.pack(pieces, capacity=2048)
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
