@@ -37,6 +37,9 @@ def with_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     white space; a null text has none. Windows of eight words are compared by 64-bit hashes, in n log n for a
     text of n words: only texts with a repeated window sort theirs. ``docs`` must not have columns of the
     names added here; callers pass narrow rows.
+
+    The counts pass through a struct with a row number. A filter on them is not moved below a number that
+    depends on the rows, which would copy these expressions into each other without end.
     """
     n = _WINDOW
     window = ", ".join(f"get(_hashes, i + {k})" for k in range(n))
@@ -64,7 +67,7 @@ def with_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
         )
     )
     covered = f"aggregate(sequence(0, size(_places) - 1), 0L, (s, j) -> s + least({n}, coalesce(get(_places, j) - get(_places, j - 1), {n})))"
-    return (
+    counts = (
         df.withColumn("n_words", F.expr("cast(size(_words) as long)"))
         .withColumn("word_chars", F.expr("cast(char_length(array_join(_words, '')) as long)"))
         .withColumn("n_symbols", F.expr("cast(regexp_count(_text, r'[#*$%&|<>]') as long)"))
@@ -77,6 +80,9 @@ def with_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
         .withColumn("_different", F.expr("size(array_distinct(_hashes))"))
         .withColumn("_lines", F.expr("size(_filled)"))
     )
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+    shut = F.struct(*names, "_marks", "_digits", "_capitals", "_different", "_lines", F.monotonically_increasing_id())
+    return counts.select(*docs.columns, shut.alias("_counts")).select(*docs.columns, "_counts.*")
 
 
 def counted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
