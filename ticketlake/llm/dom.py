@@ -32,7 +32,6 @@ ENDS = {
     "td": (frozenset(["td", "th"]), frozenset(["tr", "table"])),
     "th": (frozenset(["td", "th"]), frozenset(["tr", "table"])),
     "option": (frozenset(["option"]), frozenset(["select"])),
-    "body": (frozenset(["head"]), frozenset()),
 }
 _TAG = re.compile(
     r"""<(?:!--(?P<comment>.*?)(?:-->|\Z)|[!?][^>]*>|(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)"""
@@ -132,6 +131,8 @@ def parse(page: str) -> list[Node]:
             continue
         if tag in BLOCK_TAGS and (place := open_at(frozenset(["p"]), frozenset(["button", "td", "th", "object"]))):
             pop_to(place)
+        if tag in BLOCK_TAGS and (place := open_at(frozenset(["head"]), frozenset())):
+            pop_to(place)  # page content ends a head that was left open
         if tag in ENDS and (place := open_at(*ENDS[tag])):
             pop_to(place)
         if tag == "br":
