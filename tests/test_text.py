@@ -2,7 +2,16 @@ from pyspark.sql import functions as F
 
 from ticketlake.functions import domain
 from ticketlake.functions import text as tx
-from ticketlake.operators.features import HashedTfidf, TfidfVocabulary, term_counts, tfidf, vocabulary
+from ticketlake.operators.features import (
+    HashedTfidf,
+    TfidfVocabulary,
+    term_counts,
+    term_rows,
+    tfidf,
+    vocabulary,
+    with_vectors,
+    words_of,
+)
 from ticketlake.schema import DATE_FORMAT, URGENCY_PHRASES
 
 
@@ -71,14 +80,15 @@ DOCS = [("a", "apple pie apple"), ("b", "pie and cake"), ("c", "?"), ("d", "pie"
 
 def test_vocabulary_ties_and_weights(spark):
     df = spark.createDataFrame(DOCS, "id string, t string")
-    counts = term_counts(df, "id", "t", pairs=False)
-    assert [(r["term"], r["total"], r["df"]) for r in vocabulary(counts, 3).collect()] == [
+    words = words_of(df, "id", "t")
+    assert {(r["term"], r["total"], r["df"]) for r in vocabulary(words, "id", 3).collect()} == {
         ("pie", 3, 3),
         ("apple", 2, 1),
         ("and", 1, 1),
-    ]
-    terms = vocabulary(counts, 3).select("term", F.lit(1.0).alias("idf"))
-    norms = tfidf(counts, "id", terms).groupBy("id").agg(F.sum(F.col("weight") ** 2).alias("n")).collect()
+    }
+    assert term_rows(words, "id", pairs=False).count() == 7 and term_rows(words, "id").count() == 11
+    terms = vocabulary(words, "id", 3).select("term", F.lit(1.0).alias("idf"))
+    norms = tfidf(term_counts(words, "id", terms), "id").groupBy("id").agg(F.sum(F.col("weight") ** 2).alias("n")).collect()
     assert {r["id"] for r in norms} == {"a", "b", "d"}
     assert all(abs(r["n"] - 1) < 1e-12 for r in norms)
 
@@ -96,4 +106,5 @@ def test_default_encoder(spark):
     encoder = HashedTfidf.fit(df, "id", "t", 16)
     vectors = {r["id"]: r["vector"] for r in encoder.encode(df, "id", "t").collect()}
     assert all(len(v) == 16 for v in vectors.values())
-    assert sum(x * x for x in vectors["c"]) == 0 and abs(sum(x * x for x in vectors["b"]) - 1) < 1e-6
+    assert sum(x * x for x in vectors["c"]) == 0 and abs(sum(x * x for x in vectors["b"]) - 1) < 1e-5
+    assert {r["id"]: r["vector"] for r in with_vectors(df, "id", "t", 16).collect()} == vectors

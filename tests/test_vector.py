@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 
 from ticketlake.operators import retrieve as rt
 from ticketlake.operators import vector
-from ticketlake.operators.skew import lookup_join, salted_join
 
 
 def make(spark, matrix, name):
@@ -33,12 +32,12 @@ def points():
     return centres[rng.integers(6, size=60)] + rng.normal(size=(60, 8)), corpus
 
 
-@pytest.mark.parametrize("cell_rows, block_rows", [(10_000, 4096), (10_000, 37), (60, 4096), (60, 23), (5, 11)])
-def test_exact_equals_brute_force(spark, points, cell_rows, block_rows):
+@pytest.mark.parametrize("n_cells, block_rows", [(None, 4096), (1, 4096), (1, 37), (10, 4096), (10, 23), (120, 11)])
+def test_exact_equals_brute_force(spark, points, n_cells, block_rows):
     """One cell or many, small blocks, and a third of the corpus being copies of one vector."""
     queries, corpus = points
     hits = vector.knn_exact(
-        make(spark, queries, "query_id"), make(spark, corpus, "neighbour_id"), 7, cell_rows=cell_rows, block_rows=block_rows
+        make(spark, queries, "query_id"), make(spark, corpus, "neighbour_id"), 7, n_cells=n_cells, block_rows=block_rows
     )
     assert got(hits) == brute(queries, corpus, 7)
 
@@ -52,9 +51,9 @@ def test_tiles_within_a_block(spark, points, monkeypatch):
 
 def test_fewer_rows_than_k(spark, points):
     queries, corpus = points
-    for cell_rows in (100, 2):
+    for n_cells in (1, 3):
         hits = vector.knn_exact(
-            make(spark, queries[:5], "query_id"), make(spark, corpus[:6], "neighbour_id"), 9, cell_rows=cell_rows
+            make(spark, queries[:5], "query_id"), make(spark, corpus[:6], "neighbour_id"), 9, n_cells=n_cells
         )
         assert got(hits) == brute(queries[:5], corpus[:6], 9)
 
@@ -74,11 +73,24 @@ def test_recall_of_approximations(spark, points):
     queries, corpus = make(spark, points[0], "query_id"), make(spark, points[1][:400], "neighbour_id")
     exact = vector.knn_exact(queries, corpus, 5).persist()
     cells = vector.knn_cells(queries, corpus, 5, n_cells=6, n_probe=3, block_rows=50)
-    lsh = vector.knn_lsh(queries, corpus, 5, tables=16, bits=4, block_rows=50)
-    assert vector.recall_at_k(cells, exact).first()["recall"] > 0.9
-    assert vector.recall_at_k(lsh, exact).first()["recall"] > 0.8
+    lsh = vector.knn_lsh(queries, corpus, 5, width=8.0, tables=16, projections=3, block_rows=50)
     for found in (cells, lsh):
+        assert vector.recall_at_k(found, exact).first()["recall"] > 0.9
         assert found.groupBy("query_id", "neighbour_id").count().filter("count > 1").count() == 0
+        assert found.count() == exact.count()
+
+
+def test_short_lists_are_filled_up(spark, points):
+    """One probed cell, and steps so narrow that nothing meets, still give k rows each."""
+    queries, corpus = points[0][:20], points[1]
+    q, c = make(spark, queries, "query_id"), make(spark, corpus, "neighbour_id")
+    assert got(vector.knn_lsh(q, c, 7, width=1e-6)) == brute(queries, corpus, 7)
+    assert vector.knn_cells(q, c, 300, n_cells=30, n_probe=1).count() == 20 * 300
+    assert got(vector.knn_cells(q, c, 7, n_cells=9, n_probe=9)) == brute(queries, corpus, 7)
+
+
+def test_cells_grow_with_the_corpus():
+    assert [vector.cells_for(n) for n in (0, 500, 10**6, 10**10)] == [1, 3, 126, 12501]
 
 
 def tickets(spark):
@@ -106,11 +118,32 @@ def test_retrieve_dedupes_after_overfetch(spark):
     assert rt.retrieve(asked, tickets(spark), 3, where={"department": "none"}).count() == 0
 
 
-def test_hot_keys_give_the_plain_join(spark):
-    facts = spark.range(3000).select(
-        "id", F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 50)).alias("k")
+def test_hot_keys_are_split_by_adaptive_execution(spark):
+    """A ticket that is close to very many queries: the final plan splits its rows, and they stay the same."""
+    hits = spark.range(200_000).select(
+        F.col("id").alias("query_id"),
+        F.when(F.col("id") % 3 > 0, "T1").otherwise(F.concat(F.lit("T"), F.col("id") % 50)).alias("ticket_id"),
     )
-    lookup = facts.select("k").distinct().filter("k <> 'k7'").withColumn("v", F.length("k"))
-    plain = sorted(map(tuple, facts.join(lookup, "k").select("id", "k", "v").collect()))
-    for joined in (lookup_join(facts, lookup, "k", hot_rows=500), salted_join(facts, lookup, "k", 4)):
-        assert sorted(map(tuple, joined.select("id", "k", "v").collect())) == plain
+    fields = ["subject", "category"]
+    corpus = spark.createDataFrame([(f"T{i}", f"T{i}", "c") for i in range(50)], "ticket_id string, subject string, category string")
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20k",
+    }
+    before = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        joined = rt.attach_fields(hits, corpus, fields)
+        counts = {r["ticket_id"]: r["n"] for r in joined.groupBy("ticket_id", "subject").agg(F.count("*").alias("n")).collect()}
+        joined.write.format("noop").mode("overwrite").save()
+        plain = joined.select("query_id", "subject")
+        plain.collect()
+        assert "skew=true" in plain._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert sum(counts.values()) == 200_000 and counts["T1"] > 130_000

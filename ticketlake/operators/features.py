@@ -12,34 +12,43 @@ from ticketlake.schema import VOCABULARY_SIZE
 from ticketlake.session import cut_lineage, fresh_path
 
 
-def term_counts(df: DataFrame, key: str, text: str, pairs: bool = True) -> DataFrame:
-    """``key, term, tf`` of words and, with ``pairs``, of neighbouring words.
+def words_of(df: DataFrame, key: str, text: str) -> DataFrame:
+    """``key, words`` of every text, tokenised once and written, for the passes over it."""
+    return cut_lineage(df.select(key, tokens(text).alias("words")), "words")
 
-    Whole texts are spread by key once, and every later step per document stays where it is.
-    ``explode_outer`` keeps the optimizer from tokenising a second time just to skip empty texts.
+
+def term_rows(words: DataFrame, key: str, pairs: bool = True) -> DataFrame:
+    """``key, term``: a row for each word and, with ``pairs``, for each two neighbouring words.
+
+    ``explode_outer`` keeps the optimizer from building the terms a second time just to skip empty texts.
     """
-    words = df.select(key, text).repartition(key).select(key, tokens(text).alias("words"))
     terms = ngrams("words") if pairs else F.col("words")
-    return (
-        words.select(key, F.explode_outer(terms).alias("term"))
-        .filter(F.col("term").isNotNull())
-        .groupBy(key, "term")
-        .agg(F.count("*").alias("tf"))
-    )
+    return words.select(key, F.explode_outer(terms).alias("term")).filter(F.col("term").isNotNull())
+
+
+def term_counts(words: DataFrame, key: str, terms: DataFrame) -> DataFrame:
+    """``key, *terms, tf`` of the terms in a vocabulary of bounded size, which is why it is broadcast.
+
+    Words are spread by key once and every later step per document stays where it is; terms outside of the
+    vocabulary are gone before anything is counted.
+    """
+    known = term_rows(words.repartition(key), key).join(F.broadcast(terms), "term")
+    return known.groupBy(key, *terms.columns).agg(F.count("*").alias("tf"))
 
 
 def smooth_idf(n: Column, df: Column) -> Column:
     return F.log((n + 1.0) / (df + 1.0)) + 1.0
 
 
-def vocabulary(counts: DataFrame, size: int = VOCABULARY_SIZE) -> DataFrame:
-    """The ``size`` most frequent terms with total and document counts; ties by term."""
-    return (
-        counts.groupBy("term")
-        .agg(F.sum("tf").alias("total"), F.count("*").alias("df"))
-        .orderBy(F.desc("total"), "term")
-        .limit(size)
-    )
+def vocabulary(words: DataFrame, key: str, size: int = VOCABULARY_SIZE) -> DataFrame:
+    """The ``size`` most frequent terms with total and document counts; ties by term.
+
+    Totals combine on the map side; documents are counted for the chosen terms alone.
+    """
+    totals = term_rows(words, key).groupBy("term").agg(F.count("*").alias("total"))
+    chosen = cut_lineage(totals.orderBy(F.desc("total"), "term").limit(size), "terms")
+    documents = term_counts(words, key, chosen).groupBy("term", "total").agg(F.count("*").alias("df"))
+    return documents.select("term", "total", "df")
 
 
 def _unit_length(weights: DataFrame, key: str) -> DataFrame:
@@ -47,15 +56,10 @@ def _unit_length(weights: DataFrame, key: str) -> DataFrame:
     return weights.withColumn("weight", F.try_divide(F.col("weight"), norm))
 
 
-def tfidf(counts: DataFrame, key: str, terms: DataFrame) -> DataFrame:
-    """``key, *terms, weight``: (1 + ln tf) * idf, each document scaled to length 1.
-
-    ``terms(term, idf, ...)`` is a vocabulary of bounded size, which is why it is broadcast.
-    """
-    weights = counts.join(F.broadcast(terms), "term").withColumn(
-        "weight", (F.lit(1.0) + F.log(F.col("tf").cast("double"))) * F.col("idf")
-    )
-    return _unit_length(weights, key)
+def tfidf(counts: DataFrame, key: str) -> DataFrame:
+    """``counts(key, ..., idf, tf)`` with ``weight``: (1 + ln tf) * idf, each document scaled to length 1."""
+    weight = (F.lit(1.0) + F.log(F.col("tf").cast("double"))) * F.col("idf")
+    return _unit_length(counts.withColumn("weight", weight), key)
 
 
 class TfidfVocabulary:
@@ -66,8 +70,9 @@ class TfidfVocabulary:
 
     @classmethod
     def fit(cls, df: DataFrame, key: str, text: str, size: int = VOCABULARY_SIZE) -> "TfidfVocabulary":
-        n = F.lit(df.count())
-        chosen = vocabulary(term_counts(df, key, text), size)
+        words = words_of(df, key, text)
+        n = F.lit(words.count())
+        chosen = vocabulary(words, key, size)
         # at most ``size`` rows, so numbering them in one task is fine
         numbered = chosen.withColumn("idx", F.row_number().over(Window.orderBy("term")) - 1)
         terms = cut_lineage(numbered.select("term", "idx", smooth_idf(n, F.col("df")).alias("idf")), "vocabulary")
@@ -75,7 +80,8 @@ class TfidfVocabulary:
 
     def vectors(self, df: DataFrame, key: str, text: str) -> DataFrame:
         """``df`` with a sparse ``features`` vector in place of the text, written once for the training passes."""
-        weights = tfidf(term_counts(df, key, text), key, self.terms)
+        words = df.select(key, tokens(text).alias("words"))
+        weights = tfidf(term_counts(words, key, self.terms), key)
         by_row = weights.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("idx", "weight"))).alias("cells"))
         empty = F.array().cast("array<struct<idx:int,weight:double>>")
         cells = F.coalesce(F.col("cells"), empty)
@@ -96,36 +102,62 @@ class TfidfVocabulary:
         return df.sparkSession.read.schema(schema).parquet(path)
 
 
+VECTOR_DIM = 256
+
+
 class HashedTfidf:
-    """Default encoder: TF-IDF of hashed words, ``dim`` numbers of length 1 per text."""
+    """Default encoder: TF-IDF of hashed words, ``dim`` numbers of length 1 per text, to six places."""
 
     def __init__(self, frequencies: DataFrame, dim: int):
         self.frequencies, self.dim = frequencies, dim
 
     @staticmethod
-    def _buckets(df: DataFrame, key: str, text: str, dim: int) -> DataFrame:
+    def buckets(df: DataFrame, key: str, text: str, dim: int) -> DataFrame:
+        """``key, term, tf``: how many words of each text fall into each of ``dim`` buckets."""
         number = F.conv(F.left(F.md5("term"), F.lit(8)), 16, 10).cast("bigint")
+        words = df.select(key, tokens(text).alias("words"))
         return (
-            term_counts(df, key, text, pairs=False)
+            term_rows(words, key, pairs=False)
             .groupBy(key, F.pmod(number, F.lit(dim)).cast("int").alias("term"))
-            .agg(F.sum("tf").alias("tf"))
+            .agg(F.count("*").alias("tf"))
         )
 
     @classmethod
-    def fit(cls, df: DataFrame, key: str, text: str, dim: int = 256) -> "HashedTfidf":
-        n = df.agg(F.count("*")).scalar()
-        frequencies = cls._buckets(df, key, text, dim).groupBy("term").agg(F.count("*").alias("df"))
+    def of_buckets(cls, buckets: DataFrame, n: Column, dim: int) -> "HashedTfidf":
+        """From the buckets of ``n`` texts."""
+        frequencies = buckets.groupBy("term").agg(F.count("*").alias("df"))
         idf = frequencies.select("term", smooth_idf(n, F.col("df")).alias("idf"))
         return cls(cut_lineage(idf, "hashed-idf"), dim)  # at most ``dim`` rows
 
+    @classmethod
+    def fit(cls, df: DataFrame, key: str, text: str, dim: int = VECTOR_DIM) -> "HashedTfidf":
+        return cls.of_buckets(cls.buckets(df, key, text, dim), df.agg(F.count("*")).scalar(), dim)
+
+    def weigh(self, buckets: DataFrame, key: str) -> DataFrame:
+        known = buckets.join(F.broadcast(self.frequencies), "term")
+        return tfidf(known, key).select(key, "term", "weight")
+
     def weights(self, df: DataFrame, key: str, text: str) -> DataFrame:
         """``key, term, weight`` with one row per bucket in use."""
-        return tfidf(self._buckets(df, key, text, self.dim), key, self.frequencies).select(key, "term", "weight")
+        return self.weigh(self.buckets(df, key, text, self.dim), key)
 
-    def encode(self, df: DataFrame, key: str, text: str) -> DataFrame:
-        """``key, vector``; a text without words gets the zero vector."""
-        cells = F.map_from_entries(F.collect_list(F.struct("term", "weight")))
-        by_row = self.weights(df, key, text).groupBy(key).agg(cells.alias("cells"))
+    def vectors(self, rows: DataFrame, buckets: DataFrame, key: str) -> DataFrame:
+        """``rows`` with ``vector`` from their buckets; without any it is the zero vector."""
+        cells = F.map_from_entries(F.collect_list(F.struct("term", F.round("weight", 6))))
+        by_row = self.weigh(buckets, key).groupBy(key).agg(cells.alias("cells"))
         value = lambda i: F.coalesce(F.try_element_at(F.col("cells"), i), F.lit(0.0)).cast("float")
         vector = F.transform(F.sequence(F.lit(0), F.lit(self.dim - 1)), value)
-        return df.select(key).join(by_row, key, "left").select(key, vector.alias("vector"))
+        return rows.join(by_row, key, "left").withColumn("vector", vector).drop("cells")
+
+    def encode(self, df: DataFrame, key: str, text: str) -> DataFrame:
+        """``key, vector`` of every text."""
+        return self.vectors(df.select(key), self.buckets(df, key, text, self.dim), key)
+
+
+def with_vectors(df: DataFrame, key: str = "ticket_id", text: str = "description", dim: int = VECTOR_DIM) -> DataFrame:
+    """Every row of ``df`` with the default encoder's ``vector`` of its text, the encoder being fitted on them.
+
+    ``df`` is a written table; its texts are tokenised once.
+    """
+    buckets = cut_lineage(HashedTfidf.buckets(df, key, text, dim), "hashed-buckets")
+    return HashedTfidf.of_buckets(buckets, df.agg(F.count("*")).scalar(), dim).vectors(df, buckets, key)

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ticketlake.functions.text import tokens
-from ticketlake.operators.skew import lookup_join, salted_join
 from ticketlake.session import cut_lineage
 
 K1 = 1.2
@@ -21,10 +20,11 @@ PairScorer = Callable[[DataFrame, DataFrame, DataFrame, str], DataFrame]
 def bm25(pairs: DataFrame, queries: DataFrame, corpus: DataFrame, document_key: str = "resolution") -> DataFrame:
     """BM25 of each pair that shares a term; statistics come from the whole corpus column.
 
-    ``pairs`` must be a written table, ``queries(query_id, query)``. Terms stay in long form,
-    and both joins that may meet a hot key (a ticket in very many lists, a common term) spread it.
+    ``queries(query_id, query)``. Terms stay in long form; where a join meets a hot key (a ticket in very many
+    lists, a common term), adaptive execution splits its rows. The corpus is tokenised once and written.
     """
     docs = corpus.select("ticket_id", tokens(document_key).alias("words")).withColumn("dl", F.size("words"))
+    docs = cut_lineage(docs, "bm25-words")
     terms = (
         docs.select("ticket_id", "dl", F.explode("words").alias("term"))
         .groupBy("ticket_id", "dl", "term")
@@ -33,11 +33,11 @@ def bm25(pairs: DataFrame, queries: DataFrame, corpus: DataFrame, document_key:
     frequency = terms.groupBy("term").agg(F.count("*").alias("df"))
     totals = docs.agg(F.struct(F.count("*").alias("n"), F.avg("dl").alias("mean"))).scalar()
     asked = queries.select("query_id", F.explode(F.array_distinct(tokens("query"))).alias("term"))
-    shared = lookup_join(pairs.select("query_id", "ticket_id"), terms, "ticket_id").join(asked, ["query_id", "term"])
+    shared = pairs.select("query_id", "ticket_id").join(terms, "ticket_id").join(asked, ["query_id", "term"])
     idf = F.log1p((totals["n"] - F.col("df") + 0.5) / (F.col("df") + 0.5))
     saturation = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / totals["mean"]))
     return (
-        salted_join(shared, frequency, "term")
+        shared.join(frequency, "term")
         .groupBy("query_id", "ticket_id")
         .agg(F.round(F.sum(idf * saturation), 6).alias("rerank_score"))
     )

@@ -6,10 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ticketlake.functions.text import or_empty, strip
-from ticketlake.operators.skew import lookup_join
 from ticketlake.operators.vector import knn_exact, where_equal
 from ticketlake.schema import HIT_FIELDS
-from ticketlake.session import cut_lineage
 
 OVERFETCH = 3
 
@@ -25,11 +23,11 @@ def search(queries: DataFrame, corpus: DataFrame, top_k: int = 5, where: dict |
 
 
 def attach_fields(hits: DataFrame, corpus: DataFrame, fields: list[str] = HIT_FIELDS) -> DataFrame:
-    """Ticket fields of each hit; a ticket that is close to very many queries is spread out."""
+    """Ticket fields of each hit. Adaptive execution splits the rows of a ticket that is close to very many queries."""
     fields = list(dict.fromkeys(["ticket_id", *fields]))
     texts = {"resolution", "subject", "sub_category"} & set(fields)
     lookup = corpus.select(*[or_empty(f).alias(f) if f in texts else f for f in fields])
-    return lookup_join(cut_lineage(hits, "hits"), lookup, "ticket_id")
+    return hits.join(lookup, "ticket_id")
 
 
 def distinct_hits(hits: DataFrame, top_k: int, key: str = "resolution_key") -> DataFrame:

@@ -8,6 +8,7 @@ Copies of one vector share a cell but are spread over its blocks by id.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -18,10 +19,7 @@ from pyspark.sql import functions as F
 from ticketlake.session import cut_lineage
 
 BLOCK_ROWS = 32_768  # rows of either side in one group; what is shuffled shrinks with it
-SMALL_BLOCK_ROWS = 512  # a small corpus is cut this fine to keep every core at work
 TILE_ROWS = 2048  # rows of either side in one matrix product within a group
-CELL_ROWS = 32_768  # corpus rows a cell is meant to hold
-MAX_CELLS = 1024  # bounds everything kept per cell on the driver or broadcast
 _SLACK = 1e-9  # relative rounding of a squared distance in product form
 _REACH_SLACK = 1e-6  # the same after a square root
 
@@ -99,21 +97,10 @@ def _search(visits: DataFrame, corpus: DataFrame, k: int, carry: list[str], bloc
     """The k nearest per query and block; ``visits(query_id, vector, cell)``, ``corpus(neighbour_id, ..., cell)``."""
     rows = corpus.groupBy("cell").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("parts"))
     guests = visits.groupBy("cell").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("query_parts"))
-    grid = F.broadcast(rows.join(guests, "cell"))  # one row per cell
+    grid = rows.join(guests, "cell")  # one row per cell
     return _search_blocks(visits.join(grid, "cell"), corpus.join(grid, "cell"), k, carry)
 
 
-def _search_whole(
-    queries: DataFrame, corpus: DataFrame, n_rows: int, k: int, carry: list[str], block_rows: int
-) -> DataFrame:
-    """The same over one cell that holds everything."""
-    cores = corpus.sparkSession.sparkContext.defaultParallelism
-    parts = max(-(-n_rows // block_rows), min(cores, -(-n_rows // SMALL_BLOCK_ROWS)), 1)
-    query_parts = max(1, -(-queries.count() // block_rows))
-    grid = {"cell": F.lit(0), "parts": F.lit(parts), "query_parts": F.lit(query_parts)}
-    return _search_blocks(queries.withColumns(grid), corpus.withColumns(grid), k, carry)
-
-
 def _search_blocks(visits: DataFrame, corpus: DataFrame, k: int, carry: list[str]) -> DataFrame:
     left = (
         visits.withColumn("query_part", F.pmod(F.xxhash64("query_id"), F.col("query_parts")).cast("int"))
@@ -163,8 +150,12 @@ def _to_cells(df: DataFrame, centres: np.ndarray, n_probe: int) -> DataFrame:
     return df.mapInPandas(probe, f"{schema}, cell int, centre_distance double")
 
 
-def _cells_for(n_rows: int, cell_rows: int) -> int:
-    return max(1, min(MAX_CELLS, -(-n_rows // cell_rows)))
+def cells_for(n_rows: int) -> int:
+    """Cells of a corpus: they grow with the root of its rows, as does what is kept for each on the driver.
+
+    Ten thousand million rows have 12,500 cells; cells of any size are searched in bounded blocks.
+    """
+    return 1 + math.isqrt(n_rows) // 8
 
 
 def _pivots(corpus: DataFrame, n: int) -> np.ndarray:
@@ -172,7 +163,10 @@ def _pivots(corpus: DataFrame, n: int) -> np.ndarray:
     rows = (
         corpus.select("vector", F.xxhash64("neighbour_id").alias("h")).orderBy("h").limit(2 * n).select("vector")
     )
-    vectors = _matrix(rows.toPandas()["vector"])
+    found = rows.toPandas()["vector"]
+    if not len(found):
+        return np.zeros((0, 0))
+    vectors = _matrix(found)
     _, first = np.unique(vectors, axis=0, return_index=True)
     return vectors[np.sort(first)[:n]]
 
@@ -182,13 +176,13 @@ def knn_exact(
     corpus: DataFrame,
     k: int,
     carry: Sequence[str] = (),
-    cell_rows: int = CELL_ROWS,
+    n_cells: int | None = None,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """The k nearest corpus rows of every query, ranked from 1; ties go to the smaller id.
 
     ``queries(query_id, vector)``, ``corpus(neighbour_id, vector, *carry)``; the result has
-    ``query_id, neighbour_id, distance, *carry, rank``. A large corpus is cut into cells around
+    ``query_id, neighbour_id, distance, *carry, rank``. The corpus is cut into cells around
     pivots. Each query first visits the nearest cells that hold k rows between them; the k-th
     distance found there and the triangle inequality then name the cells that can still hold
     a nearer row, and only those are visited as well.
@@ -196,12 +190,10 @@ def knn_exact(
     carry = list(carry)
     queries = queries.select("query_id", "vector")
     corpus = corpus.select("neighbour_id", "vector", *carry)
-    n_rows = corpus.count()
-    n_cells = _cells_for(n_rows, cell_rows)
-    if n_cells == 1:
-        return _keep_k(_search_whole(queries, corpus, n_rows, k, carry, block_rows), k)
-
-    pivots = _pivots(corpus, n_cells)
+    pivots = _pivots(corpus, n_cells or cells_for(corpus.count()))
+    if not len(pivots):  # an empty corpus
+        return _keep_k(queries.crossJoin(corpus.withColumnRenamed("vector", "v")).filter("false").select(
+            "query_id", "neighbour_id", F.lit(0.0).alias("distance"), *carry), k)
     cells = cut_lineage(_to_cells(corpus, pivots, 1), "cells")
     sizes = cells.groupBy("cell").agg(F.count("*").alias("n"), F.max("centre_distance").alias("radius")).toPandas()
     n_in_cell, radius = np.zeros(len(pivots)), np.full(len(pivots), -np.inf)
@@ -252,6 +244,15 @@ def knn_exact(
     return _keep_k(found.unionByName(_search(more, cells, k, carry, block_rows)), k)
 
 
+def _fill_up(found: DataFrame, queries: DataFrame, corpus: DataFrame, k: int, carry: list[str], block_rows: int) -> DataFrame:
+    """Queries whose visited cells held fewer than ``k`` rows are asked again, exactly."""
+    found = cut_lineage(found, "found")
+    full = found.groupBy("query_id").agg(F.count("*").alias("n")).filter(F.col("n") >= k).select("query_id")
+    short = cut_lineage(queries.join(full, "query_id", "left_anti"), "short-queries")
+    again = knn_exact(short, corpus, k, carry, block_rows=block_rows)
+    return found.join(full, "query_id", "left_semi").unionByName(again)
+
+
 def knn_cells(
     queries: DataFrame,
     corpus: DataFrame,
@@ -259,43 +260,48 @@ def knn_cells(
     n_cells: int | None = None,
     n_probe: int = 4,
     carry: Sequence[str] = (),
-    cell_rows: int = CELL_ROWS,
     block_rows: int = BLOCK_ROWS,
+    sample_rows: int = 100_000,
     seed: int = 7,
 ) -> DataFrame:
-    """Approximate: k-means cells, each query searches its ``n_probe`` nearest cells."""
+    """Approximate: k-means cells, each query searches its ``n_probe`` nearest cells.
+
+    The centres are fitted on at most ``sample_rows`` rows, those of least hash; every row is indexed. All
+    cells probed give the exact neighbours, and so does a query whose cells hold fewer than ``k`` rows.
+    """
     from pyspark.ml.clustering import KMeans  # here, so that Python workers need not load it
     from pyspark.ml.functions import array_to_vector
 
     carry = list(carry)
+    queries = queries.select("query_id", "vector")
     corpus = corpus.select("neighbour_id", "vector", *carry)
-    n_cells = min(n_cells or _cells_for(corpus.count(), cell_rows), MAX_CELLS)
-    points = corpus.select(array_to_vector(F.col("vector").cast("array<double>")).alias("features"))
-    centres = np.array(KMeans(k=max(2, n_cells), seed=seed, maxIter=10).fit(points).clusterCenters())
-    found = _search(
-        _to_cells(queries.select("query_id", "vector"), centres, n_probe),
-        _to_cells(corpus, centres, 1),
-        k,
-        carry,
-        block_rows,
-    )
-    return _keep_k(found, k)
+    sample = corpus.orderBy(F.xxhash64("neighbour_id")).limit(sample_rows)
+    points = sample.select(array_to_vector(F.col("vector").cast("array<double>")).alias("features"))
+    n_cells = max(2, n_cells or cells_for(corpus.count()))
+    centres = np.array(KMeans(k=n_cells, seed=seed, maxIter=10).fit(points).clusterCenters())
+    found = _search(_to_cells(queries, centres, n_probe), _to_cells(corpus, centres, 1), k, carry, block_rows)
+    return _fill_up(_keep_k(found, k), queries, corpus, k, carry, block_rows)
 
 
 def knn_lsh(
     queries: DataFrame,
     corpus: DataFrame,
     k: int,
-    tables: int = 8,
-    bits: int = 6,
+    width: float,
+    tables: int = 12,
+    projections: int = 4,
     carry: Sequence[str] = (),
     block_rows: int = BLOCK_ROWS,
     seed: int = 7,
 ) -> DataFrame:
-    """Approximate: signs of random projections give one bucket per hash table; equal buckets are searched."""
-    if tables * 2**bits > 64 * MAX_CELLS:
-        raise ValueError("too many buckets: lower tables or bits")
+    """Approximate, for Euclidean distance: random projections with an offset, cut into steps of ``width``.
+
+    Rows meet in a table where all its ``projections`` fall into the same steps; ``width`` is a few times the
+    distance of the neighbours looked for. A query that meets fewer than ``k`` rows is asked again, exactly.
+    """
     carry = list(carry)
+    queries = queries.select("query_id", "vector")
+    corpus = corpus.select("neighbour_id", "vector", *carry)
 
     def to_buckets(df: DataFrame) -> DataFrame:
         def hash_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -303,26 +309,22 @@ def knn_lsh(
                 if pdf.empty:
                     continue
                 vectors = _matrix(pdf["vector"])
-                planes = np.random.default_rng(seed).standard_normal((vectors.shape[1], tables * bits))
-                signs = (vectors @ planes >= 0).reshape(len(pdf), tables, bits)
-                buckets = signs @ (1 << np.arange(bits)) + (1 << bits) * np.arange(tables)
+                draw = np.random.default_rng(seed)
+                lines = draw.standard_normal((vectors.shape[1], tables * projections))
+                steps = np.floor((vectors @ lines) / width + draw.random(tables * projections)).astype(np.int64)
+                steps = steps.reshape(len(pdf), tables, projections)
+                buckets = steps @ draw.integers(1, 2**40, projections) + np.arange(tables) * (1 << 58)
                 out = pdf.loc[pdf.index.repeat(tables)].reset_index(drop=True)
-                yield out.assign(cell=buckets.ravel().astype(np.int32))
+                yield out.assign(cell=buckets.ravel())
 
-        return df.mapInPandas(hash_rows, df.schema.simpleString()[len("struct<") : -1] + ", cell int")
+        return df.mapInPandas(hash_rows, df.schema.simpleString()[len("struct<") : -1] + ", cell long")
 
-    found = _search(
-        to_buckets(queries.select("query_id", "vector")),
-        to_buckets(corpus.select("neighbour_id", "vector", *carry)),
-        k,
-        carry,
-        block_rows,
-    )
+    found = _search(to_buckets(queries), to_buckets(corpus), k, carry, block_rows)
     # one neighbour may share several buckets with the query
     once = found.groupBy("query_id", "neighbour_id").agg(
         F.min("distance").alias("distance"), *[F.first(c).alias(c) for c in carry]
     )
-    return _keep_k(once, k)
+    return _fill_up(_keep_k(once, k), queries, corpus, k, carry, block_rows)
 
 
 def recall_at_k(approximate: DataFrame, exact: DataFrame) -> DataFrame:

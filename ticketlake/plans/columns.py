@@ -9,7 +9,7 @@ from ticketlake.functions import text as tx
 from ticketlake.operators.clean import clean_tickets
 from ticketlake.plans.profiling import ALL_COLUMNS, CLEAN_CTE, TICKET_ROWS_SQL, printable
 from ticketlake.plans.registry import TICKETS, WS_SQL, query
-from ticketlake.plans.retrieval import VECTORS, _text
+from ticketlake.plans.retrieval import VECTORS, _text, vector_tickets
 from ticketlake.schema import (
     DATE_FORMAT,
     DEFAULT_BADGE,
@@ -22,7 +22,7 @@ from ticketlake.schema import (
 from ticketlake.session import fresh_path
 from ticketlake.sources import csvfiles, index, requests
 from ticketlake.sources.tables import table
-from ticketlake.sources.tickets import load_corpus, tickets, with_vectors
+from ticketlake.sources.tickets import load_corpus, tickets
 
 # Files.
 
@@ -301,8 +301,7 @@ def _(spark, d):
 )
 def _(spark, d):
     path = fresh_path(spark, "index")
-    df = load_corpus(tickets(spark, d, "doc_id", "description", *METADATA_FIELDS))
-    index.build_index(with_vectors(df, spark, d), path)
+    index.build_index(load_corpus(vector_tickets(spark, d, "description", *METADATA_FIELDS)), path)
     return (
         index.open_index(spark, path)
         .withColumn("dimensions", F.size("embedding").cast("bigint"))
@@ -313,8 +312,7 @@ def _(spark, d):
 @query("index_count", VECTORS + "SELECT count(*) AS n_indexed FROM corpus")
 def _(spark, d):
     path = fresh_path(spark, "index")
-    df = load_corpus(tickets(spark, d, "doc_id", "description", *METADATA_FIELDS))
-    index.build_index(with_vectors(df, spark, d), path)
+    index.build_index(load_corpus(vector_tickets(spark, d, "description", *METADATA_FIELDS)), path)
     return index.open_index(spark, path).agg(F.count("*").alias("n_indexed"))
 
 

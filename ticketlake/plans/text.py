@@ -15,13 +15,24 @@ from ticketlake.operators import rerank as rr
 from ticketlake.operators import retrieve as rt
 from ticketlake.operators.classify import TicketClassifier, class_weights, label_encode
 from ticketlake.operators.clean import clean_tickets
-from ticketlake.operators.features import HashedTfidf, TfidfVocabulary, smooth_idf, term_counts, tfidf, vocabulary
+from ticketlake.operators.features import (
+    VECTOR_DIM,
+    HashedTfidf,
+    TfidfVocabulary,
+    smooth_idf,
+    term_counts,
+    tfidf,
+    vocabulary,
+    words_of,
+)
 from ticketlake.plans.registry import TICKETS, query, tokens_sql
 from ticketlake.plans.retrieval import (
     PROMPT_SQL,
     SOURCES,
     VECTORS,
     as_queries,
+    encode_sql,
+    knn_sql,
     retrieve_sql,
     vector_tickets,
 )
@@ -85,7 +96,7 @@ def _(spark, d):
 
 @query("vocabulary", TICKETS + GRAMS_CTE + "SELECT term, total, df FROM vocab")
 def _(spark, d):
-    return vocabulary(term_counts(descriptions(spark, d), "ticket_id", "description"))
+    return vocabulary(words_of(descriptions(spark, d), "ticket_id", "description"), "ticket_id")
 
 
 @query(
@@ -99,14 +110,14 @@ def _(spark, d):
     SELECT w.ticket_id, w.term, round(w.w / n.norm, 6) AS weight FROM weights w JOIN norms n ON n.ticket_id = w.ticket_id""",
 )
 def _(spark, d):
-    df = descriptions(spark, d)
-    counts = term_counts(df, "ticket_id", "description")
-    n = df.agg(F.count("*")).scalar()
-    terms = vocabulary(counts).select("term", smooth_idf(n, F.col("df")).alias("idf"))
-    return tfidf(counts, "ticket_id", terms).select("ticket_id", "term", F.round("weight", 6).alias("weight"))
+    words = words_of(descriptions(spark, d), "ticket_id", "description")
+    n = words.agg(F.count("*")).scalar()
+    terms = cut_lineage(vocabulary(words, "ticket_id"), "vocabulary")
+    counts = term_counts(words, "ticket_id", terms.select("term", smooth_idf(n, F.col("df")).alias("idf")))
+    return tfidf(counts, "ticket_id").select("ticket_id", "term", F.round("weight", 6).alias("weight"))
 
 
-DIM = 256
+DIM = VECTOR_DIM
 
 
 @query(
@@ -131,7 +142,19 @@ def _(spark, d):
     )
 
 
-@query("embed_search")
+@query(
+    "embed_search",
+    TICKETS
+    + encode_sql("c", "SELECT ticket_id, description FROM tickets WHERE status IN ('Closed', 'Resolved')")
+    + encode_sql(
+        "o",
+        f"SELECT ticket_id, '{QUERY_PREFIX}' || description AS description FROM tickets "
+        "WHERE status IN ('Open', 'In Progress', 'Pending')",
+        fitted="c",
+    )
+    + knn_sql("h", "o", "c", 5)
+    + "SELECT query_id, rank, ticket_id AS neighbour_id, round(distance, 6) AS distance FROM h",
+)
 def _(spark, d):
     """Open tickets against resolved ones with the default encoder's own vectors, prefix on queries only."""
     rows = cut_lineage(tickets(spark, d, "ticket_id", "status", "description"), "tickets")

@@ -15,8 +15,6 @@ _FROM_LINEITEM = {
     "time_to_resolution_hours",
 }
 
-_BROADCAST_IDS = 1_000_000
-
 
 def tickets(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     """Tickets with the asked columns (all when none are named).
@@ -38,11 +36,6 @@ def tickets(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     )
     if not columns or _FROM_LINEITEM & set(columns):
         lines = table(spark, sf_dir, "lineitem")
-        if docs.count() <= _BROADCAST_IDS:
-            # few enough ids to drop unused orders before the shuffle; beyond that a shuffled
-            # semi join would move every line, while the minimum below combines on the map side
-            ids = F.broadcast(docs.select("doc_id"))
-            lines = lines.join(ids, F.col("l_orderkey") == F.col("doc_id"), "left_semi")
         # first line of each order
         first_line = (
             lines.groupBy("l_orderkey")
@@ -78,7 +71,7 @@ def tickets(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
         .when(partial, "In Progress")
         .otherwise("Open")
         .alias("status"),
-        F.expr(r"left(split_part(text, '\n', 1), 80)").alias("subject"),
+        F.split_part("text", F.lit("\n"), F.lit(1)).alias("subject"),
         F.col("text").alias("description"),
         F.when(done, F.col("passage")).alias("resolution"),
         F.col("p_name").alias("product_service"),
@@ -92,11 +85,3 @@ def tickets(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
 def load_corpus(df: DataFrame) -> DataFrame:
     """Closed and Resolved tickets."""
     return df.filter(F.col("status").isin(*RESOLVED_STATUSES))
-
-
-def with_vectors(df: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tickets that have an embedding, with it and its label; needs ``doc_id``."""
-    vectors = table(spark, sf_dir, "embeddings").select(
-        F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"), F.col("label").alias("topic")
-    )
-    return df.join(vectors, "doc_id")
