@@ -9,7 +9,7 @@ import sys
 import time
 
 from ticketlake.plans import QUERIES
-from ticketlake.session import local_session
+from ticketlake.session import local_session, release
 
 HEADLINES = [
     "clean_tickets",
@@ -50,6 +50,7 @@ def main() -> None:
         start = time.time()
         QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         seconds[name] = round(time.time() - start, 3)
+        release(spark)
     sf = re.search(r"sf([0-9.]+)$", sf_dir)
     print(
         json.dumps(

@@ -81,3 +81,17 @@ def test_sample_is_bounded(spark):
     df = spark.range(50).select(F.col("id").cast("string").alias("ticket_id"))
     assert sampling.sample_rows(df, 10, 1).count() == 10
     assert sampling.sample_rows(df, 100, 1).count() == 50
+
+
+def test_crosstab_of_odd_values(spark):
+    df = spark.createDataFrame(
+        [("a", "x.y"), ("a", "x.y"), ("b", "null"), (None, "z"), ("c", None), ("b", "`")], "r string, c string"
+    )
+    got = {(r["r"], r["c"]): r["n"] for r in profile.crosstab_long(df, "r", "c").collect()}
+    assert got == {("a", "x.y"): 2, ("a", "null"): 0, ("a", "`"): 0, ("b", "x.y"): 0, ("b", "null"): 1, ("b", "`"): 1}
+
+
+def test_describe_text_ties_and_nulls(spark):
+    df = spark.createDataFrame([("b", "x"), ("a", None), ("b", None), ("a", "y")], "t string, u string")
+    got = {r["column_name"]: tuple(r)[1:] for r in profile.describe_text(df, "t", "u").collect()}
+    assert got == {"t": (4, 2, "a", 2), "u": (2, 2, "x", 1)}

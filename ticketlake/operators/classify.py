@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from ticketlake.operators.features import TfidfVocabulary
 
-ROWS_PER_TASK = 2_000
 TOLERANCE = 1e-4
 
 
@@ -46,18 +45,20 @@ class TicketClassifier:
         balanced: bool = False,
         words: TfidfVocabulary | None = None,
         features: DataFrame | None = None,
+        rows_per_task: int = 2_000,
     ) -> "TicketClassifier":
-        """``words`` and ``features`` of the same rows may be shared between targets."""
+        """``words`` and ``features`` of the same rows may be shared between targets.
+
+        Every iteration is a job, so few rows should not be cut into many tasks: tasks hold ``rows_per_task``.
+        """
         if features is None:
             words = words or TfidfVocabulary.fit(train, key, text)
             features = words.vectors(train.select(key, text, label), key, text)
         rows = features.select("features", F.col(label).alias("truth"))
         n_rows = rows.count()
-        # every iteration is a job, so small training sets should not be cut into many tasks
-        rows = rows.coalesce(-(-n_rows // ROWS_PER_TASK) or 1)
+        rows = rows.coalesce(-(-n_rows // rows_per_task) or 1)
         if balanced:
-            # one row per class, a bounded table
-            rows = rows.join(F.broadcast(class_weights(rows, "truth").select("truth", "weight")), "truth")
+            rows = rows.join(class_weights(rows, "truth").select("truth", "weight"), "truth")
         regression = LogisticRegression(
             featuresCol="features",
             labelCol="code",

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ticketlake.session import cut_lineage
+
 _QUARTILES = [0.25, 0.5, 0.75]
 
 
@@ -87,9 +89,14 @@ def crosstab(df: DataFrame, rows: str, columns: str, order: list[str] | None = N
 
 
 def crosstab_long(df: DataFrame, rows: str, columns: str) -> DataFrame:
-    """The same as one row per cell, for a row column with many values."""
-    wide = crosstab(df, rows, columns)
-    return wide.unpivot(rows, [c for c in wide.columns if c != rows], columns, "n")
+    """The same as one row per cell, for columns with any number of values; nulls are not counted.
+
+    No value becomes a column name. The zero cells are the feature: every row value meets every column value.
+    """
+    counts = df.filter(F.col(rows).isNotNull() & F.col(columns).isNotNull()).groupBy(rows, columns).agg(F.count("*").alias("n"))
+    values = counts.agg(F.collect_set(columns)).scalar()  # one array of the different column values
+    cells = counts.select(rows).distinct().select(rows, F.explode(values).alias(columns))
+    return cells.join(counts, [rows, columns], "left").select(rows, columns, F.coalesce("n", F.lit(0).cast("bigint")).alias("n"))
 
 
 def _per_value(df: DataFrame, group: str, value: str) -> DataFrame:
@@ -129,22 +136,40 @@ def describe(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def describe_text(df: DataFrame, *columns: str) -> DataFrame:
-    """Count, distinct values, the most common value and its frequency; ties by value."""
-    long = df.select(*columns).unpivot([], list(columns), "column_name", "v")
-    per = _per_value(long, "column_name", "v")
-    return per.groupBy("column_name").agg(
-        F.sum("n").alias("count"),
-        F.count("*").alias("unique"),
-        F.min_by("v", F.struct(-F.col("n"), F.col("v"))).alias("top"),
-        F.max("n").alias("freq"),
+    """Count, distinct values, the most common value and its frequency; ties by value.
+
+    Digests are counted, so long texts are not shuffled; only the texts of a column's most frequent digests
+    are compared, and within a digest there is one text.
+    """
+    entry = F.struct(F.sha2(F.col("v"), 256).alias("d"), F.col("v"))
+    long = df.select(*columns).unpivot([], list(columns), "column_name", "v").filter(F.col("v").isNotNull())
+    long = long.select("column_name", entry.alias("e"))
+    per = long.groupBy("column_name", F.col("e.d").alias("d")).agg(F.count("*").alias("n"))
+    per = cut_lineage(per, "digests")
+    stats = per.groupBy("column_name").agg(
+        F.sum("n").alias("count"), F.count("*").alias("unique"), F.max("n").alias("freq")
     )
+    often = per.join(stats.select("column_name", F.col("freq").alias("n")), ["column_name", "n"]).select("column_name", "d")
+    texts = long.select("column_name", F.col("e.d").alias("d"), F.col("e.v").alias("v")).join(often, ["column_name", "d"])
+    top = texts.groupBy("column_name").agg(F.min("v").alias("top"))
+    return stats.join(top, "column_name").select("column_name", "count", "unique", "top", "freq")
+
+
+def describe_dates(df: DataFrame, *columns: str) -> DataFrame:
+    """Count, mean, minimum, exact quartiles and maximum of date columns, as text to the second."""
+    seconds = [F.unix_seconds(F.col(c).cast("timestamp")).cast("double").alias(c) for c in columns]
+    shown = lambda c: F.date_format(F.timestamp_seconds(F.floor(c)), "yyyy-MM-dd HH:mm:ss")
+    numbers = describe(df.select(*seconds), *columns)
+    return numbers.select("column_name", "count", *(shown(c).alias(f"{c}_date") for c in ("min", "p25", "p50", "p75", "max")))
 
 
 def describe_all(df: DataFrame) -> DataFrame:
-    """Both descriptions in one table, unfilled statistics null."""
-    text = [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
-    numeric = [f.name for f in df.schema if isinstance(f.dataType, T.NumericType)]
-    return describe_text(df, *text).unionByName(describe(df, *numeric), allowMissingColumns=True)
+    """All descriptions in one table, unfilled statistics null."""
+    of = lambda *kinds: [f.name for f in df.schema if isinstance(f.dataType, kinds)]
+    texts = describe_text(df, *of(T.StringType))
+    numbers = describe(df, *of(T.NumericType))
+    dates = describe_dates(df, *of(T.TimestampNTZType, T.TimestampType, T.DateType))
+    return texts.unionByName(numbers, allowMissingColumns=True).unionByName(dates, allowMissingColumns=True)
 
 
 def table_info(df: DataFrame) -> DataFrame:

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ticketlake.session import cut_lineage
 
 _BUCKET_DIGITS = 4  # 65,536 buckets of the md5 space
-_MAX_CLASSES = 100_000  # broadcast one cut row per class up to here
 
 
 def seeded_hash(key: str, seed: int) -> Column:
@@ -41,10 +40,9 @@ def split(
         cut = last.select(F.struct("last_h", "last_key")).scalar()
         is_test = F.struct(F.col("h").alias("last_h"), F.col(key).alias("last_key")) <= cut
         return hashed.withColumn("is_test", F.coalesce(is_test, F.lit(False))).drop("h")
-    cuts = F.broadcast(last) if last.count() <= _MAX_CLASSES else last
     is_test = F.struct("h", key) <= F.struct("last_h", "last_key")
     return (
-        hashed.join(cuts, by, "left")
+        hashed.join(last, by, "left")
         .withColumn("is_test", F.coalesce(is_test, F.lit(False)))
         .drop("h", "last_h", "last_key")
     )

@@ -192,8 +192,10 @@ def knn_exact(
     corpus = corpus.select("neighbour_id", "vector", *carry)
     pivots = _pivots(corpus, n_cells or cells_for(corpus.count()))
     if not len(pivots):  # an empty corpus
-        return _keep_k(queries.crossJoin(corpus.withColumnRenamed("vector", "v")).filter("false").select(
-            "query_id", "neighbour_id", F.lit(0.0).alias("distance"), *carry), k)
+        ids = queries.schema["query_id"].dataType.simpleString()
+        kept = [f"`{c}` {corpus.schema[c].dataType.simpleString()}" for c in ("neighbour_id", *carry)]
+        schema = f"query_id {ids}, {kept[0]}, distance double, {', '.join([*kept[1:], 'rank int'])}"
+        return queries.sparkSession.createDataFrame([], schema)
     cells = cut_lineage(_to_cells(corpus, pivots, 1), "cells")
     sizes = cells.groupBy("cell").agg(F.count("*").alias("n"), F.max("centre_distance").alias("radius")).toPandas()
     n_in_cell, radius = np.zeros(len(pivots)), np.full(len(pivots), -np.inf)

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+_RUN = uuid.uuid4().hex
 
 
 def local_session(cpus: int | str = 8, app: str = "ticketlake") -> SparkSession:
@@ -37,13 +40,23 @@ def shared_dir(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError(f"set {CHECKPOINT_CONF} to a folder shared by the cluster")
         base = tempfile.mkdtemp(prefix="ticketlake-")
+        atexit.register(shutil.rmtree, base, ignore_errors=True)
         spark.conf.set(CHECKPOINT_CONF, base)
     return base.rstrip("/")
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A folder name under the shared folder that no other job has used."""
-    return f"{shared_dir(spark)}/ticketlake/{name}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/ticketlake/{_RUN}/{name}-{uuid.uuid4().hex}"
+
+
+def release(spark: SparkSession) -> None:
+    """Drop every table that this process wrote below the shared folder.
+
+    Results are read from these tables, so call it when they have been used or written elsewhere.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/ticketlake/{_RUN}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut_lineage(df, name: str):
