@@ -1,5 +1,7 @@
 import datetime
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from ticketlake.operators import clean, profile, sampling
@@ -95,3 +97,15 @@ def test_describe_text_ties_and_nulls(spark):
     df = spark.createDataFrame([("b", "x"), ("a", None), ("b", None), ("a", "y")], "t string, u string")
     got = {r["column_name"]: tuple(r)[1:] for r in profile.describe_text(df, "t", "u").collect()}
     assert got == {"t": (4, 2, "a", 2), "u": (2, 2, "x", 1)}
+
+
+def test_quantiles_of_skewed_groups(spark):
+    rng = np.random.default_rng(2)
+    groups = {"a": rng.lognormal(0, 3, 999), "b": np.repeat([1.0, 5.0], [3, 4]), "c": np.array([7.0]), "d": rng.integers(0, 9, 500) * 1.0}
+    df = spark.createDataFrame([(g, float(x)) for g, v in groups.items() for x in v], "g string, v double")
+    medians = {r["g"]: (r["median"], r["n"]) for r in profile.group_median(df, "g", "v").collect()}
+    boxes = {r["g"]: r for r in profile.boxplot(df, "g", "v").collect()}
+    for g, v in groups.items():
+        q1, q2, q3 = np.quantile(v, [0.25, 0.5, 0.75])
+        assert medians[g] == (pytest.approx(q2), len(v))
+        assert (boxes[g]["q1"], boxes[g]["q3"]) == (pytest.approx(q1), pytest.approx(q3))

@@ -1,18 +1,19 @@
 """Profiling of a ticket table: counts, descriptions, distributions, checks.
 
 Every grouped result is pre-aggregated on the map side. Exact quantiles run over
-``(group, value, count)`` rows, so a hot group costs its distinct values, not its rows.
+``(group, value, count)`` rows and order only the values near the wanted ranks.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ticketlake.session import cut_lineage
 
 _QUARTILES = [0.25, 0.5, 0.75]
+_STEPS = 4096
 
 
 def _r6(c: Column) -> Column:
@@ -103,19 +104,55 @@ def _per_value(df: DataFrame, group: str, value: str) -> DataFrame:
     return df.filter(~_is_missing(df, value)).groupBy(group, value).agg(F.count("*").alias("n"))
 
 
+def _quantiles(per: DataFrame, group: str, value: str, shares: list[float]) -> DataFrame:
+    """``group, q``: exact, linearly interpolated quantiles of ``per(group, value, n)``, a written table.
+
+    Values fall into equal steps between their group's least and largest one. Counts of the steps tell in which
+    ones the wanted ranks lie, and only those steps' values are put in order.
+    """
+    v = F.col(value).cast("double")
+    span = per.groupBy(group).agg(F.min(v).alias("_lo"), F.max(v).alias("_hi"), F.sum("n").alias("_total"))
+    step = F.floor((v - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * _STEPS).cast("int")
+    step = F.when(F.col("_hi") > F.col("_lo"), F.least(F.lit(_STEPS - 1), step)).otherwise(0)
+    stepped = per.join(span, group).select(group, "_total", "n", v.alias("_v"), step.alias("_step"))
+    counts = stepped.groupBy(group, "_total", "_step").agg(F.sum("n").alias("_in"))
+    before = F.sum("_in").over(Window.partitionBy(group).orderBy("_step")) - F.col("_in")  # _STEPS rows at most
+    places = [(F.col("_total") - 1) * F.lit(s) for s in shares]
+    ranks = F.array(*[F.struct(F.lit(i).alias("i"), up(x).cast("long").alias("r")) for i, x in enumerate(places) for up in (F.floor, F.ceil)])
+    wanted = (
+        counts.select(group, "_total", "_step", "_in", before.alias("_before"))
+        .withColumn("_w", F.explode(F.array_distinct(ranks)))
+        .filter((F.col("_before") <= F.col("_w.r")) & (F.col("_w.r") < F.col("_before") + F.col("_in")))
+        .select(group, "_total", "_step", "_before", F.col("_w.i").alias("_i"), F.col("_w.r").alias("_r"))
+    )
+    steps = wanted.select(group, "_step", "_before").distinct()
+    inside = Window.partitionBy(group, "_step").orderBy("_v")
+    ordered = stepped.drop("_total").join(steps, [group, "_step"]).withColumn(
+        "_from", F.col("_before") + F.sum("n").over(inside) - F.col("n")
+    )
+    found = ordered.drop("_before").join(wanted, [group, "_step"]).filter(
+        (F.col("_from") <= F.col("_r")) & (F.col("_r") < F.col("_from") + F.col("n"))
+    )
+    place = (F.col("_total") - 1) * F.element_at(F.array(*[F.lit(s) for s in shares]), F.col("_i") + 1)
+    low = F.min(F.struct("_r", "_v"))["_v"]
+    high = F.max(F.struct("_r", "_v"))["_v"]
+    part = F.max(place - F.floor(place))
+    each = found.groupBy(group, "_i").agg((low + (high - low) * part).alias("q"))
+    return each.groupBy(group).agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "q"))), lambda x: x["q"]).alias("q"))
+
+
 def describe(df: DataFrame, *columns: str) -> DataFrame:
     """Count, mean, sample deviation, minimum, exact quartiles, maximum of numeric columns."""
     long = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot(
         [], list(columns), "column_name", "v"
     )
-    per = _per_value(long, "column_name", "v")
+    per = cut_lineage(_per_value(long, "column_name", "v"), "value-counts")
     stats = per.groupBy("column_name").agg(
         F.sum("n").alias("count"),
         (F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("mean"),
         F.min("v").alias("min"),
-        F.expr("percentile(v, array(0.25, 0.5, 0.75), n)").alias("q"),
         F.max("v").alias("max"),
-    )
+    ).join(_quantiles(per, "column_name", "v", _QUARTILES), "column_name")
     # second moment about the mean, from the same pre-aggregated rows
     deviation = (
         per.join(stats.select("column_name", "mean", "count"), "column_name")
@@ -187,11 +224,9 @@ def table_info(df: DataFrame) -> DataFrame:
 
 
 def group_median(df: DataFrame, group: str, value: str) -> DataFrame:
-    return (
-        _per_value(df, group, value)
-        .groupBy(group)
-        .agg(F.expr(f"percentile({value}, 0.5, n)").alias("median"), F.sum("n").alias("n"))
-    )
+    per = cut_lineage(_per_value(df, group, value), "value-counts")
+    middle = _quantiles(per, group, value, [0.5]).select(group, F.col("q")[0].alias("median"))
+    return middle.join(per.groupBy(group).agg(F.sum("n").alias("n")), group)
 
 
 def group_mean(df: DataFrame, group: str, value: str) -> DataFrame:
@@ -229,7 +264,7 @@ def histogram(df: DataFrame, column: str, bins: int) -> DataFrame:
     One distinct value gets a range of width 1 around it.
     """
     per = df.filter(~_is_missing(df, column)).groupBy(F.col(column).cast("double").alias("v"))
-    per = per.agg(F.count("*").alias("n"))
+    per = cut_lineage(per.agg(F.count("*").alias("n")), "value-counts")
     span = per.agg(F.min("v").alias("lo"), F.max("v").alias("hi")).filter("lo IS NOT NULL")
     pad = F.when(F.col("lo") == F.col("hi"), 0.5).otherwise(0.0)
     edges = span.select((F.col("lo") - pad).alias("lo"), (F.col("hi") + pad).alias("hi")).withColumn(
@@ -256,8 +291,8 @@ def histogram(df: DataFrame, column: str, bins: int) -> DataFrame:
 
 def boxplot(df: DataFrame, group: str, value: str) -> DataFrame:
     """Quartiles, whiskers within 1.5 interquartile ranges, outlier count, by group."""
-    per = _per_value(df, group, value)
-    q = per.groupBy(group).agg(F.expr(f"percentile({value}, array(0.25, 0.5, 0.75), n)").alias("q"))
+    per = cut_lineage(_per_value(df, group, value), "value-counts")
+    q = _quantiles(per, group, value, _QUARTILES)
     fences = q.select(
         group,
         F.col("q")[0].alias("q1"),
