@@ -66,12 +66,12 @@ def test_stream_equals_batch(spark):
     df = spark.range(100).withColumn("x", F.col("id") % 7)
     df.repartition(5).write.parquet(path)
     stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
-    out = jobs.apply_stream(stream, lambda batch: batch.withColumn("y", F.col("x") * 2), "stream-test-out")
+    out = jobs.apply_stream(stream, lambda batch: batch.withColumn("y", F.col("x") * 2), session.fresh_path(spark, "stream-test-out"))
     assert sorted(map(tuple, out.collect())) == sorted(map(tuple, df.withColumn("y", F.col("x") * 2).collect()))
 
     empty = session.fresh_path(spark, "stream-empty")
     df.limit(0).write.parquet(empty)
-    nothing = jobs.apply_stream(spark.readStream.schema(df.schema).parquet(empty), lambda batch: batch, "stream-empty-out")
+    nothing = jobs.apply_stream(spark.readStream.schema(df.schema).parquet(empty), lambda batch: batch, session.fresh_path(spark, "empty-out"))
     assert nothing.count() == 0 and nothing.columns == df.columns
 
 
@@ -95,13 +95,55 @@ class _Cluster:
         master = "spark://somewhere:7077"
 
 
-def test_ticket_view_without_the_broadcast_of_ids(spark, sf_dir, monkeypatch):
-    from ticketlake.sources import tickets as view
-
-    few = view.tickets(spark, sf_dir)
-    monkeypatch.setattr(view, "_BROADCAST_IDS", 0)
-    many = view.tickets(spark, sf_dir)
-    assert few.count() == many.count() and few.exceptAll(many).count() == 0
+def test_streams_go_on_where_they_stopped(spark):
+    source, place = session.fresh_path(spark, "stream-source"), session.fresh_path(spark, "stream-place")
+    seen = []
+
+    def step(batch):
+        seen.append(batch.count())
+        return batch.withColumn("y", F.col("id") * 2)
+
+    for start in (0, 100):
+        spark.range(start, start + 50).write.mode("append").parquet(source)
+        out = jobs.apply_stream(spark.readStream.schema("id long").parquet(source), step, place)
+    assert sum(seen) == 100 and sorted(r["id"] for r in out.collect()) == [*range(50), *range(100, 150)]
+
+
+def test_upsert_stream_goes_on_and_compacts(spark):
+    source, place = session.fresh_path(spark, "upsert-source"), session.fresh_path(spark, "upsert-place")
+    schema = "id string, v string, version int"
+    for rows in ([("a", "1", 0), ("b", "1", 0)], [("a", "2", 1)], [("c", "3", 0), ("b", "4", 5)]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        out = jobs.upsert_stream(spark.readStream.schema(schema).parquet(source), "id", place)
+    log = index.UpsertLog(spark, f"{place}/rows")
+    want = {("a", "2"), ("b", "4"), ("c", "3")}
+    assert {(r["id"], r["v"]) for r in out.collect()} == want
+    assert len(session.folders(spark, f"{place}/rows")) == 3
+    log.compact()
+    assert session.folders(spark, f"{place}/rows") == ["base=2"]
+    assert {(r["id"], r["v"]) for r in log.read().collect()} == want
+    log.write(spark.createDataFrame([("a", "5", 0)], schema), 3)
+    assert {(r["id"], r["v"]) for r in log.read().collect()} == {("a", "5"), ("b", "4"), ("c", "3")}
+
+
+def test_late_rows_stay_out_of_closed_windows(spark):
+    source, place = session.fresh_path(spark, "late-source"), session.fresh_path(spark, "late-place")
+    for stamps in (["2024-01-01 10:00", "2024-01-02 09:00"], ["2024-01-01 11:00", "2024-01-03 12:00"], ["2024-01-05 00:00"]):
+        df = spark.createDataFrame([(t,) for t in stamps], "t string").select(F.col("t").cast("timestamp").alias("ts"), F.lit("k").alias("k"))
+        df.coalesce(1).write.mode("append").parquet(source)
+        counts = jobs.windowed_counts(spark.readStream.schema(df.schema).parquet(source), "ts", "k", "1 day", "2 hours")
+        out = jobs.closed_counts(counts, place)
+    days = {str(r["window_start"])[:10]: r["n"] for r in out.collect()}
+    assert days == {"2024-01-01": 1, "2024-01-02": 1, "2024-01-03": 1}
+
+
+def test_release_drops_what_was_written(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(session, "shared_dir", lambda _spark: str(tmp_path))
+    session.cut_lineage(spark.range(3), "x")
+    (run,) = session.folders(spark, f"{tmp_path}/ticketlake")
+    assert session.folders(spark, f"{tmp_path}/ticketlake/{run}")
+    session.release(spark)
+    assert session.folders(spark, f"{tmp_path}/ticketlake") == []
 
 
 def test_ticket_view_with_fewer_columns(spark, sf_dir):

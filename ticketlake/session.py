@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import SparkSession
 
@@ -30,6 +31,14 @@ def local_session(cpus: int | str = 8, app: str = "ticketlake") -> SparkSession:
     return spark
 
 
+@cache
+def _local_dir() -> str:
+    """A folder of this machine for a local-mode session, gone when the process ends."""
+    base = tempfile.mkdtemp(prefix="ticketlake-")
+    atexit.register(shutil.rmtree, base, ignore_errors=True)
+    return base
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
@@ -39,9 +48,7 @@ def shared_dir(spark: SparkSession) -> str:
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError(f"set {CHECKPOINT_CONF} to a folder shared by the cluster")
-        base = tempfile.mkdtemp(prefix="ticketlake-")
-        atexit.register(shutil.rmtree, base, ignore_errors=True)
-        spark.conf.set(CHECKPOINT_CONF, base)
+        base = _local_dir()
     return base.rstrip("/")
 
 
@@ -50,13 +57,24 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/ticketlake/{_RUN}/{name}-{uuid.uuid4().hex}"
 
 
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """Names directly below a folder; none if there is no such folder."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(f.getPath().getName() for f in store.listStatus(place)) if store.exists(place) else []
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def release(spark: SparkSession) -> None:
     """Drop every table that this process wrote below the shared folder.
 
     Results are read from these tables, so call it when they have been used or written elsewhere.
     """
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/ticketlake/{_RUN}")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    drop_folder(spark, f"{shared_dir(spark)}/ticketlake/{_RUN}")
 
 
 def cut_lineage(df, name: str):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ticketlake.functions.domain import metadata_text
 from ticketlake.schema import METADATA_FIELDS
-from ticketlake.session import fresh_path
+from ticketlake.session import drop_folder, folders
 
 
 def to_records(df: DataFrame) -> DataFrame:
@@ -44,9 +44,10 @@ def upsert(index: DataFrame, updates: DataFrame, key: str = "id", version: str =
 
 
 class UpsertLog:
-    """Updates appended as one folder per batch and merged when read.
+    """Updates appended as one folder per batch, merged when read and by ``compact``.
 
-    Writing a batch again replaces its folder, so a retried batch changes nothing.
+    Writing a batch again replaces its folder, so a retried batch changes nothing. ``base=k`` holds everything up
+    to batch k; older folders no longer count, and ``compact`` drops them.
     """
 
     def __init__(self, spark: SparkSession, path: str, key: str = "id"):
@@ -55,13 +56,36 @@ class UpsertLog:
     def write(self, updates: DataFrame, batch_id: int) -> None:
         updates.write.mode("overwrite").parquet(f"{self.path}/batch={batch_id}")
 
+    def _numbers(self, kind: str) -> list[int]:
+        names = folders(self.spark, self.path)
+        return sorted(int(n.removeprefix(f"{kind}=")) for n in names if n.startswith(f"{kind}="))
+
+    def _live(self) -> tuple[int, list[int]]:
+        """The last base that is whole, or -1, and the batches after it."""
+        whole = [k for k in self._numbers("base") if "_SUCCESS" in folders(self.spark, f"{self.path}/base={k}")]
+        base = max(whole, default=-1)
+        return base, [k for k in self._numbers("batch") if k > base]
+
     def read(self) -> DataFrame:
         """The last row of each key; within a batch the highest version wins."""
-        rows = self.spark.read.option("basePath", self.path).parquet(f"{self.path}/batch=*")
-        return latest_rows(rows, self.key, "batch", "version").drop("batch")
-
-    def compact(self, name: str = "index") -> str:
-        """Write the merged index as a table of its own and return its path."""
-        path = fresh_path(self.spark, name)
-        self.read().write.parquet(path)
-        return path
+        base, batches = self._live()
+        parts = [("base", base)] * (base >= 0) + [("batch", k) for k in batches]
+        if not parts:
+            raise ValueError(f"no batches in {self.path}")
+        rows = None
+        for kind, k in parts:
+            part = self.spark.read.parquet(f"{self.path}/{kind}={k}").withColumn("_batch", F.lit(k))
+            rows = part if rows is None else rows.unionByName(part)
+        return latest_rows(rows, self.key, "_batch", "version").drop("_batch")
+
+    def compact(self) -> str:
+        """Merge all batches into a new base, drop what it replaces and return its path. One writer at a time."""
+        base, batches = self._live()
+        if not batches:
+            return f"{self.path}/base={base}"
+        old = [("base", k) for k in self._numbers("base")] + [("batch", k) for k in batches]
+        self.read().write.mode("overwrite").parquet(f"{self.path}/base={batches[-1]}")
+        for kind, k in old:
+            if (kind, k) != ("base", batches[-1]):
+                drop_folder(self.spark, f"{self.path}/{kind}={k}")
+        return f"{self.path}/base={batches[-1]}"
