@@ -248,8 +248,7 @@ def resolve(corpus: DataFrame, answers: DataFrame) -> DataFrame:
         if held:
             yield one(held, answer)
 
-    spark = corpus.sparkSession
-    parts = parts_for(spark, 1, 1)
+    parts = parts_for(corpus.sparkSession, corpus.count(), 1)  # a block or two each
     rows = own.unionByName(both).repartition(parts, "block").sortWithinPartitions("block", "shard")
     return rows.mapInArrow(run, _RESOLVED)
 
