@@ -50,7 +50,7 @@ def main() -> None:
         start = time.time()
         QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         seconds[name] = round(time.time() - start, 3)
-        release(spark)
+    release(spark)
     sf = re.search(r"sf([0-9.]+)$", sf_dir)
     print(
         json.dumps(

@@ -1,8 +1,12 @@
+import json
+
 from pyspark.sql import functions as F
 
+from __spark_entry__ import queries
 from ticketlake import session
 from ticketlake.operators import metrics
 from ticketlake.operators.classify import TicketClassifier, class_weights, label_encode
+from ticketlake.plans.text import classify_requests
 
 
 def rows(spark):
@@ -40,3 +44,32 @@ def test_weights_and_codes(spark):
     assert codes == {"mail": 0, "net": 1, "print": 2}
     balanced = TicketClassifier.fit(df, "category", max_iter=20, balanced=True)
     assert balanced.labels == ["mail", "net", "print"]
+
+
+def test_classification_queries(spark, sf_dir):
+    """The queries that SQL cannot state, on the smallest tables: whole tables, known classes, sound scores."""
+    named = queries()
+    tickets = {r["ticket_id"] for r in named["clean_tickets"](spark, sf_dir).collect()}
+    batch = named["classify_batch"](spark, sf_dir).collect()
+    assert {r["ticket_id"] for r in batch} == tickets and len(batch) == len(tickets)
+    for r in batch:
+        for label in ("category", "priority"):
+            scores = json.loads(r[f"{label}_scores"])
+            assert r[label] in scores and r[f"{label}_confidence"] == max(scores.values())
+    stream = {r["ticket_id"]: r for r in named["stream_classify"](spark, sf_dir).collect()}
+    opened = {r["ticket_id"] for r in named["filter_open_tickets"](spark, sf_dir).collect()}
+    assert set(stream) == opened
+    same = [r for r in batch if r["ticket_id"] in stream]
+    assert same and all(stream[r["ticket_id"]]["category"] == r["category"] for r in same)
+    runs = {(r["model"], r["target"]): r for r in named["classify_fit_eval"](spark, sf_dir).collect()}
+    assert runs["tfidf logistic", "category"]["accuracy"] > runs["majority", "category"]["accuracy"]
+    assert {r["model"] for r in named["classify_weighted"](spark, sf_dir).collect()} == {"plain", "balanced"}
+
+
+def test_requests_keep_errors(spark):
+    model = TicketClassifier.fit(rows(spark), "category", max_iter=20)
+    asked = spark.createDataFrame(
+        [("1", "printer  paper jam", None), ("2", None, "missing")], "request_id string, description string, error string"
+    )
+    out = {r["request_id"]: json.loads(r["result"]) for r in classify_requests(asked, model.words, [model, model]).collect()}
+    assert out["1"]["category"] == "print" and out["2"] == {"error": "missing"}

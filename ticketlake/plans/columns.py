@@ -272,6 +272,12 @@ def _(spark, d):
 # Requests: conversation turns as JSON bodies; a system turn has no description field.
 
 
+def request_bodies(spark, d):
+    name = F.when(F.col("role") == "system", "note").otherwise("description")
+    body = F.to_json(F.create_map(name, F.col("text")))
+    return table(spark, d, "conversations").select("conv_id", "turn", body.alias("body"))
+
+
 @query(
     "request_parse",
     f"""WITH r AS (SELECT conv_id, turn, CASE WHEN role <> 'system' THEN text END AS t FROM conversations),
@@ -282,10 +288,7 @@ def _(spark, d):
         ELSE '{{"n_chars":' || length(t) || '}}' END AS result FROM f""",
 )
 def _(spark, d):
-    name = F.when(F.col("role") == "system", "note").otherwise("description")
-    body = F.to_json(F.create_map(name, F.col("text")))
-    bodies = table(spark, d, "conversations").select("conv_id", "turn", body.alias("body"))
-    parsed = requests.parse_requests(bodies).withColumn("n_chars", F.length("description"))
+    parsed = requests.parse_requests(request_bodies(spark, d)).withColumn("n_chars", F.length("description"))
     return requests.render_results(parsed, "n_chars").select("conv_id", "turn", "description", "error", "result")
 
 

@@ -25,19 +25,23 @@ from ticketlake.operators.features import (
     vocabulary,
     words_of,
 )
-from ticketlake.plans.registry import TICKETS, query, tokens_sql
+from ticketlake.plans.columns import request_bodies
+from ticketlake.plans.profiling import CLEAN_CTE
+from ticketlake.plans.registry import TICKETS, WS_SQL, query, tokens_sql
 from ticketlake.plans.retrieval import (
     PROMPT_SQL,
     SOURCES,
     VECTORS,
     as_queries,
+    bm25_sql,
     encode_sql,
     knn_sql,
     retrieve_sql,
     vector_tickets,
 )
-from ticketlake.schema import MAX_TOKENS, OPEN_STATUSES, QUERY_PREFIX
-from ticketlake.session import cut_lineage
+from ticketlake.schema import MAX_TOKENS, MISSING_DESCRIPTION, OPEN_STATUSES, QUERY_PREFIX
+from ticketlake.session import cut_lineage, fresh_path
+from ticketlake.sources import requests
 from ticketlake.sources.tickets import load_corpus, tickets
 
 # Tokens and TF-IDF over descriptions.
@@ -380,6 +384,9 @@ def _(spark, d):
 # Trained models. They match in objective, not in bits, so these queries have no SQL.
 
 
+LABELS = ("category", "priority")
+
+
 def training_tables(spark, d) -> tuple[DataFrame, DataFrame, TfidfVocabulary]:
     """Clean tickets split 80/20, with features from the training words only."""
     rows = clean_tickets(tickets(spark, d, "doc_id", "ticket_id", "description", "category", "priority", "status", "subject", "resolution"))
@@ -405,39 +412,81 @@ def quality(model: TicketClassifier, rows: DataFrame, label: str, name: str) ->
     return predicted.select(F.lit(name).alias("model"), F.lit(label).alias("target"), "truth", "prediction")
 
 
+_TRAINED: dict[tuple[str, str], tuple[DataFrame, TfidfVocabulary, dict[str, str]]] = {}
+
+
+def trained(spark, d) -> tuple[DataFrame, TfidfVocabulary, dict[str, str]]:
+    """Features of all clean tickets, the vocabulary and the folders of both saved models.
+
+    Trained once for a session and data folder; whoever scores loads the saved models.
+    """
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _TRAINED:
+        train, rows, words = training_tables(spark, d)
+        paths = {}
+        for label, model in zip(LABELS, fit_all(train, words, *[(label, False) for label in LABELS])):
+            paths[label] = fresh_path(spark, f"model-{label}")
+            model.save(paths[label])
+        _TRAINED[key] = rows, words, paths
+    return _TRAINED[key]
+
+
+def saved_models(spark, d) -> tuple[DataFrame, list[TicketClassifier]]:
+    rows, _words, paths = trained(spark, d)
+    return rows, [TicketClassifier.load(spark, paths[label]) for label in LABELS]
+
+
+def majority_runs(rows: DataFrame, label: str) -> DataFrame:
+    usual = profile.majority_baseline(rows.filter("NOT is_test"), label).select("label").scalar()
+    named = [F.lit("majority").alias("model"), F.lit(label).alias("target")]
+    return rows.filter("is_test").select(*named, F.col(label).alias("truth"), usual.alias("prediction"))
+
+
+def runs_of(spark, d, labels) -> DataFrame:
+    """Predictions of the saved models and of the majority on the held-out tickets."""
+    rows, models = saved_models(spark, d)
+    out = None
+    for label, model in zip(LABELS, models):
+        if label in labels:
+            run = quality(model, rows.filter("is_test"), label, "tfidf logistic").unionByName(majority_runs(rows, label))
+            out = run if out is None else out.unionByName(run)
+    return out
+
+
 @query("classify_fit_eval")
 def _(spark, d):
-    train, rows, words = training_tables(spark, d)
-    test = rows.filter("is_test")
-    labels = ("category", "priority")
-    models = fit_all(train, words, *[(label, False) for label in labels])
-    runs = [quality(model, test, label, "tfidf logistic") for model, label in zip(models, labels)]
-    usual = [
-        test.select(
-            F.lit("majority").alias("model"),
-            F.lit(label).alias("target"),
-            F.col(label).alias("truth"),
-            profile.majority_baseline(train, label).select("label").scalar().alias("prediction"),
-        )
-        for label in labels
-    ]
-    return metrics.compare_models(runs[0].unionByName(runs[1]).unionByName(usual[0]).unionByName(usual[1]))
+    return metrics.compare_models(runs_of(spark, d, LABELS))
+
+
+@query(
+    "classify_gain",
+    TICKETS + CLEAN_CTE + "SELECT 'category' AS target, cast(ceil(0.2e0 * count(*)) AS bigint) AS n, true AS above_majority FROM clean",
+)
+def _(spark, d):
+    """What SQL can say of the category model: how many tickets it is tested on, and that it beats the majority."""
+    right = F.avg((F.col("truth") == F.col("prediction")).cast("int"))
+    by_model = runs_of(spark, d, ["category"]).groupBy("model", "target").agg(right.alias("accuracy"), F.count("*").alias("n"))
+    best = F.max_by("model", "accuracy") == "tfidf logistic"
+    return by_model.groupBy("target").agg(F.max("n").alias("n"), best.alias("above_majority"))
 
 
 @query("classify_weighted")
 def _(spark, d):
-    train, rows, words = training_tables(spark, d)
-    test = rows.filter("is_test")
-    plain, balanced = fit_all(train, words, ("priority", False), ("priority", True))
+    rows, words, paths = trained(spark, d)
+    train, test = rows.filter("NOT is_test"), rows.filter("is_test")
+    plain, balanced = TicketClassifier.load(spark, paths["priority"]), fit(train, words, "priority", balanced=True)
     runs = quality(plain, test, "priority", "plain").unionByName(quality(balanced, test, "priority", "balanced"))
     return metrics.compare_models(runs)
 
 
+def score_both(features: DataFrame, category: TicketClassifier, priority: TicketClassifier) -> DataFrame:
+    """Label, confidence and scores for both targets."""
+    return priority.score(category.score(features.select("ticket_id", "features"), "category"), "priority")
+
+
 def classify_both(features: DataFrame, category: TicketClassifier, priority: TicketClassifier) -> DataFrame:
-    """Label, confidence and scores for both targets, the scores as JSON text."""
-    asked = features.select("ticket_id", "features")
-    out = priority.score(category.score(asked, "category"), "priority")
-    return out.select(
+    """The same with the scores as JSON text."""
+    return score_both(features, category, priority).select(
         "ticket_id",
         "category",
         "priority",
@@ -450,5 +499,104 @@ def classify_both(features: DataFrame, category: TicketClassifier, priority: Tic
 
 @query("classify_batch")
 def _(spark, d):
-    train, rows, words = training_tables(spark, d)
-    return classify_both(rows, *fit_all(train, words, ("category", False), ("priority", False)))
+    rows, models = saved_models(spark, d)
+    return classify_both(rows, *models)
+
+
+@query(
+    "classify_checks",
+    TICKETS
+    + CLEAN_CTE
+    + """SELECT ticket_id, label, true AS known, true AS adds_up, true AS is_largest
+    FROM clean CROSS JOIN (VALUES ('category'), ('priority')) AS l(label)""",
+)
+def _(spark, d):
+    """What SQL can say of every score: a known class, probabilities that add up, the largest one as confidence."""
+    rows, models = saved_models(spark, d)
+    scored = score_both(rows, *models)
+    parts = []
+    for label, model in zip(LABELS, models):
+        scores = F.map_values(f"{label}_scores")
+        total = F.aggregate(scores, F.lit(0.0), lambda a, x: a + x)
+        parts.append(
+            F.struct(
+                F.lit(label).alias("label"),
+                F.col(label).isin(model.labels).alias("known"),
+                (F.abs(total - 1) <= 0.0005 * len(model.labels) + 1e-9).alias("adds_up"),
+                (F.col(f"{label}_confidence") == F.array_max(scores)).alias("is_largest"),
+            )
+        )
+    return scored.select("ticket_id", F.inline(F.array(*parts)))
+
+
+# Requests in, results out.
+
+
+def asked_requests(spark, d) -> DataFrame:
+    """Conversation turns as parsed request bodies, with an id and an error where there is no description."""
+    parsed = requests.parse_requests(request_bodies(spark, d))
+    request_id = F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
+    return cut_lineage(parsed.select(request_id.alias("request_id"), "description", "error"), "requests")
+
+
+def classify_requests(asked: DataFrame, words: TfidfVocabulary, models: list[TicketClassifier]) -> DataFrame:
+    """``request_id, description, error`` with both labels and ``result``: scores as JSON, or the error as JSON."""
+    texts = asked.filter("error IS NULL").select(F.col("request_id").alias("ticket_id"), tx.clean_text("description").alias("description"))
+    found = score_both(words.vectors(texts, "ticket_id", "description"), *models).withColumnRenamed("ticket_id", "request_id")
+    joined = asked.join(found.drop("features"), "request_id", "left")
+    return requests.render_results(joined, *[f"{label}{part}" for label in LABELS for part in ("", "_confidence", "_scores")])
+
+
+REQUESTS_SQL = f""", turns AS (SELECT conv_id || '-' || turn AS request_id, CASE WHEN role <> 'system' THEN text END AS t
+      FROM conversations),
+    parsed AS (SELECT request_id, t AS description, CASE WHEN t IS NULL
+      OR length(regexp_replace(t, '^{WS_SQL}|{WS_SQL}$', '', 'g')) = 0 THEN '{MISSING_DESCRIPTION.replace("'", "''")}' END AS error
+      FROM turns)
+    """
+
+
+@query(
+    "classify_requests",
+    TICKETS + REQUESTS_SQL + "SELECT request_id, error, error IS NULL AS answered, error IS NULL AS known FROM parsed",
+)
+def _(spark, d):
+    """One result for each request; ``known`` if its JSON names a class of both models."""
+    _rows, words, _paths = trained(spark, d)
+    _rows, models = saved_models(spark, d)
+    out = classify_requests(asked_requests(spark, d), words, models)
+    named = [F.get_json_object("result", f"$.{label}").isin(m.labels) for label, m in zip(LABELS, models)]
+    answered = F.get_json_object("result", "$.error").isNull()
+    return out.select("request_id", "error", answered.alias("answered"), F.coalesce(named[0] & named[1], F.lit(False)).alias("known"))
+
+
+@query(
+    "resolve_requests",
+    VECTORS
+    + REQUESTS_SQL
+    + encode_sql("rq", "SELECT request_id AS ticket_id, description FROM parsed WHERE error IS NULL", fitted="enc")
+    + """, rqv AS (SELECT r.ticket_id, r.vector, p.description FROM rq r JOIN parsed p ON p.request_id = r.ticket_id)"""
+    + retrieve_sql("h", "rqv", "corpus", 20)
+    + bm25_sql("h", "rqv", 5)
+    + """, best AS (SELECT r.query_id, r.rank, coalesce(c.resolution, '') AS resolution, r.ticket_id
+      FROM reranked r JOIN corpus c ON c.ticket_id = r.ticket_id)
+    SELECT p.request_id, p.error, CASE WHEN p.error IS NULL THEN coalesce(max(b.resolution) FILTER (b.rank = 1), '') END
+      AS response, CASE WHEN p.error IS NULL THEN count(b.rank) END AS n_sources,
+      CASE WHEN p.error IS NULL THEN coalesce(string_agg(b.ticket_id, ',' ORDER BY b.rank), '') END AS source_ids
+    FROM parsed p LEFT JOIN best b ON b.query_id = p.request_id GROUP BY p.request_id, p.error""",
+)
+def _(spark, d):
+    """Every request answered from the resolved tickets; the texts are encoded as the tickets were."""
+    rows = vector_tickets(spark, d)
+    encoder = HashedTfidf.fit(rows, "ticket_id", "description")
+    asked = asked_requests(spark, d)
+    texts = asked.filter("error IS NULL").select(F.col("request_id").alias("query_id"), F.col("description").alias("query"))
+    queries = cut_lineage(encoder.encode(texts, "query_id", "query").join(texts, "query_id"), "request-vectors")
+    answers = assemble.resolve(queries, load_corpus(rows)).select(
+        F.col("query_id").alias("request_id"),
+        "response",
+        F.size("sources").alias("n_sources"),
+        F.array_join(F.transform("sources", lambda s: s["ticket_id"]), ",").alias("source_ids"),
+    )
+    result = requests.render_results(asked.join(answers, "request_id", "left"), "response", "source_ids")
+    shown = lambda name: F.get_json_object("result", f"$.{name}").alias(name)
+    return result.select("request_id", "error", shown("response"), "n_sources", shown("source_ids"))
