@@ -4,6 +4,8 @@ from pyspark.sql import functions as F
 
 from ticketlake.operators import retrieve as rt
 from ticketlake.operators import vector
+from ticketlake.session import cut_lineage, drop_folder, fresh_path
+from ticketlake.sources.index import VectorIndex
 
 
 def make(spark, matrix, name):
@@ -89,6 +91,36 @@ def test_short_lists_are_filled_up(spark, points):
     assert got(vector.knn_cells(q, c, 7, n_cells=9, n_probe=9)) == brute(queries, corpus, 7)
 
 
+def test_stored_cells_are_opened_and_read_in_part(spark):
+    """Three far groups: a query near one gets its exact neighbours although the other groups' cells are gone."""
+    rng = np.random.default_rng(5)
+    corpus = np.vstack([rng.normal(size=(80, 8)) + 1000 * i for i in range(3)])
+    path = fresh_path(spark, "cells-test")
+    vector.Cells.build(make(spark, corpus, "neighbour_id"), 12, path)
+    cells = vector.Cells.open(spark, path)
+    queries = rng.normal(size=(5, 8))
+    near = {r["cell"] for r in cells.rows.filter("neighbour_id < 'n0080'").select("cell").distinct().collect()}
+    every = {r["cell"] for r in cells.rows.select("cell").distinct().collect()}
+    assert len(near) < len(every)
+    for cell in every - near:
+        drop_folder(spark, f"{path}/rows/cell={cell}")
+    for _ in range(2):
+        assert got(cells.search(make(spark, queries, "query_id"), 7)) == brute(queries, corpus, 7)
+
+
+def test_index_is_asked_with_texts_and_filters(spark):
+    rows = tickets(spark).drop("vector").withColumn("description", F.concat(F.lit("vpn printer mail "), "ticket_id"))
+    rows = rows.withColumn("status", F.lit("Closed")).withColumn("satisfaction_rating", F.lit(None).cast("double"))
+    path = fresh_path(spark, "index-test")
+    VectorIndex.build(cut_lineage(rows, "rows"), path)
+    asked = spark.createDataFrame([("q", "mail T4"), ("none", "")], "query_id string, query string")
+    index = VectorIndex.open(spark, path)
+    hits = index.search(asked, 3, where={"department": "IT"}).collect()
+    assert {r["ticket_id"] for r in hits if r["query_id"] == "q"} == {"T3", "T4", "T5"} and len(hits) == 6
+    assert min((r for r in hits if r["query_id"] == "q"), key=lambda r: r["rank"])["ticket_id"] == "T4"
+    assert index.search(asked, 3, where={"department": "nobody"}).count() == 0
+
+
 def test_cells_grow_with_the_corpus():
     assert [vector.cells_for(n) for n in (0, 500, 10**6, 10**10)] == [1, 3, 126, 12501]
 

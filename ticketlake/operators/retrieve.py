@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ticketlake.functions.text import or_empty, strip
-from ticketlake.operators.vector import knn_exact, where_equal
+from ticketlake.operators.vector import Cells, knn_exact, where_equal
 from ticketlake.schema import HIT_FIELDS
 
 OVERFETCH = 3
@@ -45,30 +45,40 @@ def distinct_hits(hits: DataFrame, top_k: int, key: str = "resolution_key") -> D
     )
 
 
+def search_rows(corpus: DataFrame, where: dict | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+    """What ``retrieve_ids`` searches; resolutions are compared by digest, so their text does not travel."""
+    return where_equal(corpus, where).select(
+        F.col("ticket_id").alias("neighbour_id"),
+        "vector",
+        F.sha2(strip(or_empty("resolution")), 256).alias("resolution_key"),
+        *carry,
+    )
+
+
 def retrieve_ids(
     queries: DataFrame,
-    corpus: DataFrame,
+    corpus: DataFrame | Cells,
     top_k: int = 20,
     where: dict | None = None,
     carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """``retrieve`` without the ticket fields: ``query_id, ticket_id, distance, *carry, rank``.
 
-    Resolutions are compared by digest, so their text does not travel with the candidates.
+    A corpus that is asked again and again is given as ``Cells`` of its ``search_rows``.
     """
-    rows = where_equal(corpus, where).select(
-        F.col("ticket_id").alias("neighbour_id"),
-        "vector",
-        F.sha2(strip(or_empty("resolution")), 256).alias("resolution_key"),
-        *carry,
-    )
+    rows = corpus if isinstance(corpus, Cells) else search_rows(corpus, where, carry)
     hits = knn_exact(queries, rows, OVERFETCH * top_k, carry=["resolution_key", *carry])
     return distinct_hits(hits.withColumnRenamed("neighbour_id", "ticket_id"), top_k)
 
 
-def retrieve(queries: DataFrame, corpus: DataFrame, top_k: int = 20, where: dict | None = None) -> DataFrame:
-    """Up to ``top_k`` hits per query with distinct resolutions; fewer is a valid answer."""
-    return attach_fields(retrieve_ids(queries, corpus, top_k, where), corpus)
+def retrieve(
+    queries: DataFrame, corpus: DataFrame, top_k: int = 20, where: dict | None = None, cells: Cells | None = None
+) -> DataFrame:
+    """Up to ``top_k`` hits per query with distinct resolutions; fewer is a valid answer.
+
+    ``cells`` are those of the corpus' ``search_rows``, where they are there already.
+    """
+    return attach_fields(retrieve_ids(queries, corpus if cells is None else cells, top_k, where), corpus)
 
 
 def flag_relevant(hits: DataFrame, truth: DataFrame, label: str = "topic") -> DataFrame:

@@ -13,10 +13,10 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ticketlake.session import cut_lineage
+from ticketlake.session import cut_lineage, fresh_path
 
 BLOCK_ROWS = 32_768  # rows of either side in one group; what is shuffled shrinks with it
 TILE_ROWS = 2048  # rows of either side in one matrix product within a group
@@ -171,9 +171,120 @@ def _pivots(corpus: DataFrame, n: int) -> np.ndarray:
     return vectors[np.sort(first)[:n]]
 
 
+class Cells:
+    """A corpus cut into cells around pivots, written once and searched exactly as often as needed.
+
+    ``rows(neighbour_id, vector, ..., cell, centre_distance)`` is a written table; for each cell the driver
+    keeps its pivot, its rows and how far the farthest one is away.
+    """
+
+    def __init__(self, rows: DataFrame, pivots: np.ndarray, n_in_cell: np.ndarray, radius: np.ndarray):
+        self.rows, self.pivots, self.n_in_cell, self.radius = rows, pivots, n_in_cell, radius
+
+    @classmethod
+    def build(cls, corpus: DataFrame, n_cells: int | None = None, path: str | None = None) -> "Cells":
+        """Cuts ``corpus(neighbour_id, vector, ...)``; with ``path`` the cells stay there for ``open``."""
+        spark = corpus.sparkSession
+        path = path or fresh_path(spark, "cells")
+        pivots = _pivots(corpus, n_cells or cells_for(corpus.count()))
+        placed = _to_cells(corpus, pivots, 1) if len(pivots) else corpus.selectExpr("*", "0 AS cell", "0D AS centre_distance")
+        # few files a cell; adaptive execution splits the rows of a large one
+        placed.hint("rebalance", "cell").write.mode("overwrite").partitionBy("cell").parquet(f"{path}/rows")
+        centres = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(pivots)], "cell int, centre array<double>")
+        centres.write.mode("overwrite").parquet(f"{path}/centres")
+        return cls.open(spark, path, placed.schema)
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str, schema=None) -> "Cells":
+        """Cells that ``build`` left; one folder for each, so those that no query visits are not read."""
+        schema = schema or spark.read.option("basePath", f"{path}/rows").parquet(f"{path}/rows").schema
+        rows = spark.read.schema(schema).parquet(f"{path}/rows")
+        found = spark.read.schema("cell int, centre array<double>").parquet(f"{path}/centres").collect()
+        pivots = np.array([r["centre"] for r in sorted(found, key=lambda r: r["cell"])])
+        sizes = rows.groupBy("cell").agg(F.count("*").alias("n"), F.max("centre_distance").alias("radius")).toPandas()
+        n_in_cell, radius = np.zeros(len(pivots)), np.full(len(pivots), -np.inf)
+        if len(pivots):
+            n_in_cell[sizes["cell"]], radius[sizes["cell"]] = sizes["n"], sizes["radius"]
+        return cls(rows, pivots, n_in_cell, radius)
+
+    def where(self, conditions: dict | None) -> "Cells":
+        """Only rows whose columns equal the given values; the radii stay bounds."""
+        if not conditions:
+            return self
+        rows = where_equal(self.rows, conditions)
+        left = rows.groupBy("cell").agg(F.count("*").alias("n")).toPandas()
+        n_in_cell = np.zeros(len(self.pivots))
+        n_in_cell[left["cell"]] = left["n"]
+        return Cells(rows, self.pivots, n_in_cell, self.radius)
+
+    def search(self, queries: DataFrame, k: int, carry: Sequence[str] = (), block_rows: int = BLOCK_ROWS) -> DataFrame:
+        """The k nearest rows of every query, as ``knn_exact`` gives them.
+
+        Each query first visits the nearest cells that hold k rows between them; the k-th distance found there
+        and the triangle inequality then name the cells that can still hold a nearer row, and only those are
+        visited as well.
+        """
+        carry = list(carry)
+        queries = queries.select("query_id", "vector")
+        if not self.n_in_cell.any():  # an empty corpus
+            ids = queries.schema["query_id"].dataType.simpleString()
+            kept = [f"`{c}` {self.rows.schema[c].dataType.simpleString()}" for c in ("neighbour_id", *carry)]
+            schema = f"query_id {ids}, {kept[0]}, distance double, {', '.join([*kept[1:], 'rank int'])}"
+            return queries.sparkSession.createDataFrame([], schema)
+        pivots, n_in_cell, radius = self.pivots, self.n_in_cell, self.radius
+        pivot_size = np.linalg.norm(pivots, axis=1).max()
+
+        def plan(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+            """Distances to all pivots and the cells of the first round."""
+            away = np.sqrt(np.maximum(_squared_distances(_matrix(pdf["vector"]), pivots), 0.0))
+            order = np.argsort(away, axis=1, kind="stable")
+            before = np.cumsum(n_in_cell[order], axis=1) - n_in_cell[order]
+            first = np.zeros_like(away, dtype=bool)
+            np.put_along_axis(first, order, (before < k) & (n_in_cell[order] > 0), axis=1)
+            return away, first
+
+        def visits(pdf: pd.DataFrame, mask: np.ndarray) -> pd.DataFrame:
+            row, cell = np.nonzero(mask)
+            return pd.DataFrame(
+                {
+                    "query_id": pdf["query_id"].to_numpy()[row],
+                    "vector": pdf["vector"].to_numpy()[row],
+                    "cell": cell.astype(np.int32),
+                }
+            )
+
+        def first_round(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                if len(pdf):
+                    yield visits(pdf, plan(pdf)[1])
+
+        def second_round(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                if len(pdf):
+                    away, first = plan(pdf)
+                    reach = np.sqrt(pdf["reach"].to_numpy())[:, None]
+                    size = np.linalg.norm(_matrix(pdf["vector"]), axis=1)[:, None]
+                    near = away - radius[None, :] <= reach + _REACH_SLACK * (1.0 + size + pivot_size)
+                    yield visits(pdf, near & ~first & (n_in_cell > 0)[None, :])
+
+        def visited(asked: DataFrame) -> tuple[DataFrame, DataFrame]:
+            """The visits, written once, and the rows of the cells that are visited at all."""
+            asked = cut_lineage(asked, "visits")
+            cells = [r["cell"] for r in asked.select("cell").distinct().collect()]
+            return asked, self.rows.filter(F.col("cell").isin(cells))
+
+        visit_schema = queries.schema.simpleString()[len("struct<") : -1] + ", cell int"
+        found = _search(*visited(queries.mapInPandas(first_round, visit_schema)), k, carry, block_rows)
+        found = cut_lineage(_keep_k(found, k).drop("rank"), "first-round")
+        # fewer than k rows found means the whole corpus was visited
+        reach = found.groupBy("query_id").agg(F.max("distance").alias("reach"))
+        more = queries.join(reach, "query_id").mapInPandas(second_round, visit_schema)
+        return _keep_k(found.unionByName(_search(*visited(more), k, carry, block_rows)), k)
+
+
 def knn_exact(
     queries: DataFrame,
-    corpus: DataFrame,
+    corpus: DataFrame | Cells,
     k: int,
     carry: Sequence[str] = (),
     n_cells: int | None = None,
@@ -182,68 +293,12 @@ def knn_exact(
     """The k nearest corpus rows of every query, ranked from 1; ties go to the smaller id.
 
     ``queries(query_id, vector)``, ``corpus(neighbour_id, vector, *carry)``; the result has
-    ``query_id, neighbour_id, distance, *carry, rank``. The corpus is cut into cells around
-    pivots. Each query first visits the nearest cells that hold k rows between them; the k-th
-    distance found there and the triangle inequality then name the cells that can still hold
-    a nearer row, and only those are visited as well.
+    ``query_id, neighbour_id, distance, *carry, rank``. A corpus that is searched more than once is given as
+    ``Cells``, and is then not cut again.
     """
-    carry = list(carry)
-    queries = queries.select("query_id", "vector")
-    corpus = corpus.select("neighbour_id", "vector", *carry)
-    pivots = _pivots(corpus, n_cells or cells_for(corpus.count()))
-    if not len(pivots):  # an empty corpus
-        ids = queries.schema["query_id"].dataType.simpleString()
-        kept = [f"`{c}` {corpus.schema[c].dataType.simpleString()}" for c in ("neighbour_id", *carry)]
-        schema = f"query_id {ids}, {kept[0]}, distance double, {', '.join([*kept[1:], 'rank int'])}"
-        return queries.sparkSession.createDataFrame([], schema)
-    cells = cut_lineage(_to_cells(corpus, pivots, 1), "cells")
-    sizes = cells.groupBy("cell").agg(F.count("*").alias("n"), F.max("centre_distance").alias("radius")).toPandas()
-    n_in_cell, radius = np.zeros(len(pivots)), np.full(len(pivots), -np.inf)
-    pivot_size = np.linalg.norm(pivots, axis=1).max()
-    n_in_cell[sizes["cell"]], radius[sizes["cell"]] = sizes["n"], sizes["radius"]
-
-    def plan(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        """Distances to all pivots and the cells of the first round."""
-        away = np.sqrt(np.maximum(_squared_distances(_matrix(pdf["vector"]), pivots), 0.0))
-        order = np.argsort(away, axis=1, kind="stable")
-        before = np.cumsum(n_in_cell[order], axis=1) - n_in_cell[order]
-        first = np.zeros_like(away, dtype=bool)
-        np.put_along_axis(first, order, (before < k) & (n_in_cell[order] > 0), axis=1)
-        return away, first
-
-    def visits(pdf: pd.DataFrame, mask: np.ndarray) -> pd.DataFrame:
-        row, cell = np.nonzero(mask)
-        return pd.DataFrame(
-            {
-                "query_id": pdf["query_id"].to_numpy()[row],
-                "vector": pdf["vector"].to_numpy()[row],
-                "cell": cell.astype(np.int32),
-            }
-        )
-
-    def first_round(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if len(pdf):
-                yield visits(pdf, plan(pdf)[1])
-
-    def second_round(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if len(pdf):
-                away, first = plan(pdf)
-                reach = np.sqrt(pdf["reach"].to_numpy())[:, None]
-                size = np.linalg.norm(_matrix(pdf["vector"]), axis=1)[:, None]
-                near = away - radius[None, :] <= reach + _REACH_SLACK * (1.0 + size + pivot_size)
-                yield visits(pdf, near & ~first & (n_in_cell > 0)[None, :])
-
-    visit_schema = queries.schema.simpleString()[len("struct<") : -1] + ", cell int"
-    found = cut_lineage(
-        _keep_k(_search(queries.mapInPandas(first_round, visit_schema), cells, k, carry, block_rows), k).drop("rank"),
-        "first-round",
-    )
-    # fewer than k rows found means the whole corpus was visited
-    reach = found.groupBy("query_id").agg(F.max("distance").alias("reach"))
-    more = queries.join(reach, "query_id").mapInPandas(second_round, visit_schema)
-    return _keep_k(found.unionByName(_search(more, cells, k, carry, block_rows)), k)
+    if not isinstance(corpus, Cells):
+        corpus = Cells.build(corpus.select("neighbour_id", "vector", *carry), n_cells)
+    return corpus.search(queries, k, carry, block_rows)
 
 
 def _fill_up(found: DataFrame, queries: DataFrame, corpus: DataFrame, k: int, carry: list[str], block_rows: int) -> DataFrame:

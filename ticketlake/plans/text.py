@@ -39,9 +39,10 @@ from ticketlake.plans.retrieval import (
     retrieve_sql,
     vector_tickets,
 )
-from ticketlake.schema import MAX_TOKENS, MISSING_DESCRIPTION, OPEN_STATUSES, QUERY_PREFIX
+from ticketlake.schema import MAX_TOKENS, METADATA_FIELDS, MISSING_DESCRIPTION, OPEN_STATUSES, QUERY_PREFIX
 from ticketlake.session import cut_lineage, fresh_path
 from ticketlake.sources import requests
+from ticketlake.sources.index import VectorIndex
 from ticketlake.sources.tickets import load_corpus, tickets
 
 # Tokens and TF-IDF over descriptions.
@@ -146,8 +147,7 @@ def _(spark, d):
     )
 
 
-@query(
-    "embed_search",
+ASKED_SQL = (
     TICKETS
     + encode_sql("c", "SELECT ticket_id, description FROM tickets WHERE status IN ('Closed', 'Resolved')")
     + encode_sql(
@@ -156,6 +156,31 @@ def _(spark, d):
         "WHERE status IN ('Open', 'In Progress', 'Pending')",
         fitted="c",
     )
+)
+
+
+@query(
+    "index_search",
+    ASKED_SQL
+    + ", part AS (SELECT c.* FROM c JOIN tickets t ON t.ticket_id = c.ticket_id WHERE t.department = 'BUILDING')"
+    + knn_sql("h", "o", "part", 5)
+    + """SELECT h.query_id, h.rank, h.ticket_id, t.subject, round(h.distance, 6) AS distance
+    FROM h JOIN tickets t ON t.ticket_id = h.ticket_id""",
+)
+def _(spark, d):
+    """An index is built, opened again and asked with the texts of open tickets, for one department."""
+    rows = cut_lineage(tickets(spark, d, "description", *METADATA_FIELDS), "tickets")
+    path = fresh_path(spark, "vector-index")
+    VectorIndex.build(load_corpus(rows), path)
+    asked = rows.filter(F.col("status").isin(OPEN_STATUSES))
+    queries = asked.select(F.col("ticket_id").alias("query_id"), F.col("description").alias("query"))
+    hits = VectorIndex.open(spark, path).search(queries, 5, where={"department": "BUILDING"})
+    return hits.select("query_id", "rank", "ticket_id", "subject", F.round("distance", 6).alias("distance"))
+
+
+@query(
+    "embed_search",
+    ASKED_SQL
     + knn_sql("h", "o", "c", 5)
     + "SELECT query_id, rank, ticket_id AS neighbour_id, round(distance, 6) AS distance FROM h",
 )

@@ -1,4 +1,4 @@
-"""The vector index: one Parquet table of id, embedding, document and metadata."""
+"""The vector index: records of id, embedding, document and metadata, searched by text, and their upserts."""
 
 from __future__ import annotations
 
@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ticketlake.functions.domain import metadata_text
-from ticketlake.schema import METADATA_FIELDS
-from ticketlake.session import drop_folder, folders
+from ticketlake.operators.features import VECTOR_DIM, HashedTfidf
+from ticketlake.operators.vector import Cells
+from ticketlake.schema import METADATA_FIELDS, QUERY_PREFIX
+from ticketlake.session import cut_lineage, drop_folder, folders
 
 
 def to_records(df: DataFrame) -> DataFrame:
@@ -29,6 +31,38 @@ def open_index(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+class VectorIndex:
+    """A stored index that is asked with texts: records in cells, and the encoder that made their vectors."""
+
+    def __init__(self, cells: Cells, encoder: HashedTfidf):
+        self.cells, self.encoder = cells, encoder
+
+    @classmethod
+    def build(cls, df: DataFrame, path: str, dim: int = VECTOR_DIM) -> VectorIndex:
+        """From tickets, a written table; replaces an index that is already there."""
+        encoder = HashedTfidf.fit(df, "ticket_id", "description", dim)
+        encoder.frequencies.write.mode("overwrite").parquet(f"{path}/encoder")
+        vectors = df.join(encoder.encode(df, "ticket_id", "description"), "ticket_id")
+        records = to_records(vectors).withColumnsRenamed({"id": "neighbour_id", "embedding": "vector"})
+        return cls(Cells.build(cut_lineage(records, "records"), path=f"{path}/cells"), encoder)
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str, dim: int = VECTOR_DIM) -> VectorIndex:
+        return cls(Cells.open(spark, f"{path}/cells"), HashedTfidf(spark.read.parquet(f"{path}/encoder"), dim))
+
+    def search(
+        self, queries: DataFrame, top_k: int = 5, where: dict | None = None, fields: tuple[str, ...] = ("subject",)
+    ) -> DataFrame:
+        """The nearest records of each ``query`` (``query_id, query``): ``query_id, ticket_id, distance, *fields, rank``.
+
+        Queries get the prefix, records have none. ``where`` holds metadata values that records must equal.
+        """
+        asked = queries.select("query_id", F.concat(F.lit(QUERY_PREFIX), "query").alias("query"))
+        vectors = cut_lineage(self.encoder.encode(asked, "query_id", "query"), "query-vectors")
+        hits = self.cells.where(where).search(vectors, top_k, carry=fields)
+        return hits.withColumnRenamed("neighbour_id", "ticket_id")
+
+
 def latest_rows(rows: DataFrame, key: str, *order: str) -> DataFrame:
     """The row of each key that comes last in ``order``.
 
