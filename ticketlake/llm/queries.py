@@ -95,6 +95,18 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = max(doc_id) OVER w AS kept, text_sha256
         FROM d WINDOW w AS (PARTITION BY text_sha256)""",
+    # SHA-1 in base 32: the 40 hexadecimal digits as bits, five to a letter
+    "op8_warc": """
+        WITH d AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS x FROM pages),
+        b AS (SELECT *, array_to_string(list_transform(range(1, 41), lambda i: right('000' ||
+                bin(strpos('0123456789abcdef', substr(x, i, 1)) - 1), 4)), '') AS bits FROM d),
+        m AS (SELECT *, max(page_id) OVER (PARTITION BY x) AS best FROM b)
+        SELECT page_id, payload_bytes, array_to_string(list_transform(range(0, 32), lambda i:
+                 substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + list_sum(list_transform(range(0, 5), lambda k:
+                   cast(substr(bits, 5 * i + k + 1, 1) AS bigint) << cast(4 - k AS bigint)))::bigint, 1)), '') AS payload_digest,
+               CASE WHEN page_id = best THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> best THEN best END AS refers_to
+        FROM m""",
     "op9_line_dedup": r"""
         WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines
                    FROM documents),
