@@ -188,6 +188,11 @@ class Cells:
         path = path or fresh_path(spark, "cells")
         pivots = _pivots(corpus, n_cells or cells_for(corpus.count()))
         placed = _to_cells(corpus, pivots, 1) if len(pivots) else corpus.selectExpr("*", "0 AS cell", "0D AS centre_distance")
+        return cls._write(placed, pivots, path)
+
+    @classmethod
+    def _write(cls, placed: DataFrame, pivots: np.ndarray, path: str) -> "Cells":
+        spark = placed.sparkSession
         # few files a cell; adaptive execution splits the rows of a large one
         placed.hint("rebalance", "cell").write.mode("overwrite").partitionBy("cell").parquet(f"{path}/rows")
         centres = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(pivots)], "cell int, centre array<double>")
@@ -207,6 +212,18 @@ class Cells:
             n_in_cell[sizes["cell"]], radius[sizes["cell"]] = sizes["n"], sizes["radius"]
         return cls(rows, pivots, n_in_cell, radius)
 
+    def upsert(self, updates: DataFrame, path: str) -> "Cells":
+        """The cells in ``path``, with the rows of ``updates`` in place of those of the same id.
+
+        Updates have the corpus' columns, each id once, and go to the cells that are there; when they have
+        become many, ``build`` finds better pivots. The old cells stay as they are.
+        """
+        if not len(self.pivots):
+            return Cells.build(updates, path=path)
+        placed = cut_lineage(_to_cells(updates, self.pivots, 1), "placed")
+        kept = self.rows.join(placed.select("neighbour_id"), "neighbour_id", "left_anti")
+        return self._write(kept.unionByName(placed), self.pivots, path)
+
     def where(self, conditions: dict | None) -> "Cells":
         """Only rows whose columns equal the given values; the radii stay bounds."""
         if not conditions:

@@ -178,6 +178,43 @@ def _(spark, d):
     return hits.select("query_id", "rank", "ticket_id", "subject", F.round("distance", 6).alias("distance"))
 
 
+@query(
+    "index_upsert_records",
+    TICKETS
+    + encode_sql("c", "SELECT ticket_id, description FROM tickets WHERE status = 'Closed'")
+    + encode_sql(
+        "f",
+        """SELECT ticket_id, CASE WHEN status = 'Closed' AND category = 'de' THEN 'revised ' || description
+        ELSE description END AS description FROM tickets WHERE status IN ('Closed', 'Resolved')""",
+        fitted="c",
+    )
+    + encode_sql(
+        "o",
+        f"SELECT ticket_id, '{QUERY_PREFIX}' || description AS description FROM tickets "
+        "WHERE status IN ('Open', 'In Progress', 'Pending')",
+        fitted="c",
+    )
+    + knn_sql("h", "o", "f", 3)
+    + """SELECT h.query_id, h.rank, h.ticket_id, t.subject, coalesce(t.resolution, '') AS resolution,
+      t.status, round(h.distance, 6) AS distance FROM h JOIN tickets t ON t.ticket_id = h.ticket_id""",
+)
+def _(spark, d):
+    """An index of closed tickets takes in the resolved ones and new texts of some closed ones; a search sees both."""
+    rows = cut_lineage(tickets(spark, d, "description", *METADATA_FIELDS), "tickets")
+    closed = rows.filter("status = 'Closed'")
+    index = VectorIndex.build(closed, fresh_path(spark, "vector-index"))
+    revised = closed.filter("category = 'de'").withColumn("description", F.concat(F.lit("revised "), "description"))
+    updates = cut_lineage(rows.filter("status = 'Resolved'").unionByName(revised), "updates")
+    path = fresh_path(spark, "vector-index")
+    index.upsert(updates, path)
+    asked = rows.filter(F.col("status").isin(OPEN_STATUSES))
+    queries = asked.select(F.col("ticket_id").alias("query_id"), F.col("description").alias("query"))
+    hits = VectorIndex.open(spark, path).search(queries, 3, fields=("subject", "resolution", "status"))
+    return hits.select(
+        "query_id", "rank", "ticket_id", "subject", "resolution", "status", F.round("distance", 6).alias("distance")
+    )
+
+
 @query(
     "embed_search",
     ASKED_SQL

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
+# Column names and their order in ticket files, index records and hits.
 TICKET = T.StructType(
     [
         T.StructField("ticket_id", T.StringType(), False),
@@ -41,6 +42,10 @@ METADATA_FIELDS = [
 
 TEXT_FIELDS = ["subject", "description", "resolution"]
 
+# The labels of a source in a prompt.
+CONTEXT_HEAD = "Ticket "
+CONTEXT_LABELS = {"category": "Category", "priority": "Priority", "subject": "Subject", "resolution": "Resolution"}
+
 # Class names, display orders and bounds of the ticket domain.
 PRIORITY_ORDER = ["Critical", "High", "Medium", "Low"]
 RESOLVED_STATUSES = ["Closed", "Resolved"]

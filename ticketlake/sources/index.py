@@ -42,9 +42,18 @@ class VectorIndex:
         """From tickets, a written table; replaces an index that is already there."""
         encoder = HashedTfidf.fit(df, "ticket_id", "description", dim)
         encoder.frequencies.write.mode("overwrite").parquet(f"{path}/encoder")
+        return cls(Cells.build(cls._records(df, encoder), path=f"{path}/cells"), encoder)
+
+    @staticmethod
+    def _records(df: DataFrame, encoder: HashedTfidf) -> DataFrame:
         vectors = df.join(encoder.encode(df, "ticket_id", "description"), "ticket_id")
         records = to_records(vectors).withColumnsRenamed({"id": "neighbour_id", "embedding": "vector"})
-        return cls(Cells.build(cut_lineage(records, "records"), path=f"{path}/cells"), encoder)
+        return cut_lineage(records, "records")
+
+    def upsert(self, df: DataFrame, path: str) -> VectorIndex:
+        """The index in ``path`` with new and changed tickets, each once: whole records, encoded as the others were."""
+        self.encoder.frequencies.write.mode("overwrite").parquet(f"{path}/encoder")
+        return VectorIndex(self.cells.upsert(self._records(df, self.encoder), f"{path}/cells"), self.encoder)
 
     @classmethod
     def open(cls, spark: SparkSession, path: str, dim: int = VECTOR_DIM) -> VectorIndex:
