@@ -6,11 +6,9 @@ from ticketlake.operators.features import (
     HashedTfidf,
     TfidfVocabulary,
     term_counts,
-    term_rows,
     tfidf,
     vocabulary,
     with_vectors,
-    words_of,
 )
 from ticketlake.schema import DATE_FORMAT, URGENCY_PHRASES
 
@@ -80,15 +78,14 @@ DOCS = [("a", "apple pie apple"), ("b", "pie and cake"), ("c", "?"), ("d", "pie"
 
 def test_vocabulary_ties_and_weights(spark):
     df = spark.createDataFrame(DOCS, "id string, t string")
-    words = words_of(df, "id", "t")
-    assert {(r["term"], r["total"], r["df"]) for r in vocabulary(words, "id", 3).collect()} == {
+    counts = term_counts(df, "id", "t")
+    assert {(r["term"], r["total"], r["df"]) for r in vocabulary(counts, 3).collect()} == {
         ("pie", 3, 3),
         ("apple", 2, 1),
         ("and", 1, 1),
     }
-    assert term_rows(words, "id", pairs=False).count() == 7 and term_rows(words, "id").count() == 11
-    terms = vocabulary(words, "id", 3).select("term", F.lit(1.0).alias("idf"))
-    norms = tfidf(term_counts(words, "id", terms), "id").groupBy("id").agg(F.sum(F.col("weight") ** 2).alias("n")).collect()
+    terms = vocabulary(counts, 3).select("term", F.lit(1.0).alias("idf"))
+    norms = tfidf(term_counts(df, "id", "t", terms), "id").groupBy("id").agg(F.sum(F.col("weight") ** 2).alias("n")).collect()
     assert {r["id"] for r in norms} == {"a", "b", "d"}
     assert all(abs(r["n"] - 1) < 1e-12 for r in norms)
 

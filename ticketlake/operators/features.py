@@ -12,11 +12,6 @@ from ticketlake.schema import VOCABULARY_SIZE
 from ticketlake.session import cut_lineage, fresh_path
 
 
-def words_of(df: DataFrame, key: str, text: str) -> DataFrame:
-    """``key, words`` of every text, tokenised once and written, for the passes over it."""
-    return cut_lineage(df.select(key, tokens(text).alias("words")), "words")
-
-
 def term_rows(words: DataFrame, key: str, pairs: bool = True) -> DataFrame:
     """``key, term``: a row for each word and, with ``pairs``, for each two neighbouring words.
 
@@ -26,29 +21,31 @@ def term_rows(words: DataFrame, key: str, pairs: bool = True) -> DataFrame:
     return words.select(key, F.explode_outer(terms).alias("term")).filter(F.col("term").isNotNull())
 
 
-def term_counts(words: DataFrame, key: str, terms: DataFrame) -> DataFrame:
-    """``key, *terms, tf`` of the terms in a vocabulary of bounded size, which is why it is broadcast.
+def term_counts(df: DataFrame, key: str, text: str, terms: DataFrame | None = None) -> DataFrame:
+    """``key, term, tf`` of all terms, or ``key, *terms, tf`` of those in a vocabulary.
 
-    Words are spread by key once and every later step per document stays where it is; terms outside of the
-    vocabulary are gone before anything is counted.
+    Whole texts are spread by key once, and every later step per document stays where it is. A vocabulary has
+    a bounded size, which is why it is broadcast; other terms are gone before anything is counted.
     """
-    known = term_rows(words.repartition(key), key).join(F.broadcast(terms), "term")
-    return known.groupBy(key, *terms.columns).agg(F.count("*").alias("tf"))
+    words = df.select(key, text).repartition(key).select(key, tokens(text).alias("words"))
+    rows = term_rows(words, key)
+    if terms is not None:
+        rows = rows.join(F.broadcast(terms), "term")
+    return rows.groupBy(key, *(terms.columns if terms is not None else ["term"])).agg(F.count("*").alias("tf"))
 
 
 def smooth_idf(n: Column, df: Column) -> Column:
     return F.log((n + 1.0) / (df + 1.0)) + 1.0
 
 
-def vocabulary(words: DataFrame, key: str, size: int = VOCABULARY_SIZE) -> DataFrame:
-    """The ``size`` most frequent terms with total and document counts; ties by term.
-
-    Totals combine on the map side; documents are counted for the chosen terms alone.
-    """
-    totals = term_rows(words, key).groupBy("term").agg(F.count("*").alias("total"))
-    chosen = cut_lineage(totals.orderBy(F.desc("total"), "term").limit(size), "terms")
-    documents = term_counts(words, key, chosen).groupBy("term", "total").agg(F.count("*").alias("df"))
-    return documents.select("term", "total", "df")
+def vocabulary(counts: DataFrame, size: int = VOCABULARY_SIZE) -> DataFrame:
+    """The ``size`` most frequent terms with total and document counts; ties by term."""
+    return (
+        counts.groupBy("term")
+        .agg(F.sum("tf").alias("total"), F.count("*").alias("df"))
+        .orderBy(F.desc("total"), "term")
+        .limit(size)
+    )
 
 
 def _unit_length(weights: DataFrame, key: str) -> DataFrame:
@@ -70,9 +67,8 @@ class TfidfVocabulary:
 
     @classmethod
     def fit(cls, df: DataFrame, key: str, text: str, size: int = VOCABULARY_SIZE) -> "TfidfVocabulary":
-        words = words_of(df, key, text)
-        n = F.lit(words.count())
-        chosen = vocabulary(words, key, size)
+        n = F.lit(df.count())
+        chosen = vocabulary(term_counts(df, key, text), size)
         # at most ``size`` rows, so numbering them in one task is fine
         numbered = chosen.withColumn("idx", F.row_number().over(Window.orderBy("term")) - 1)
         terms = cut_lineage(numbered.select("term", "idx", smooth_idf(n, F.col("df")).alias("idf")), "vocabulary")
@@ -80,8 +76,7 @@ class TfidfVocabulary:
 
     def vectors(self, df: DataFrame, key: str, text: str) -> DataFrame:
         """``df`` with a sparse ``features`` vector in place of the text, written once for the training passes."""
-        words = df.select(key, tokens(text).alias("words"))
-        weights = tfidf(term_counts(words, key, self.terms), key)
+        weights = tfidf(term_counts(df, key, text, self.terms), key)
         by_row = weights.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("idx", "weight"))).alias("cells"))
         empty = F.array().cast("array<struct<idx:int,weight:double>>")
         cells = F.coalesce(F.col("cells"), empty)

@@ -23,7 +23,6 @@ from ticketlake.operators.features import (
     term_counts,
     tfidf,
     vocabulary,
-    words_of,
 )
 from ticketlake.plans.columns import request_bodies
 from ticketlake.plans.profiling import CLEAN_CTE
@@ -101,7 +100,7 @@ def _(spark, d):
 
 @query("vocabulary", TICKETS + GRAMS_CTE + "SELECT term, total, df FROM vocab")
 def _(spark, d):
-    return vocabulary(words_of(descriptions(spark, d), "ticket_id", "description"), "ticket_id")
+    return vocabulary(term_counts(descriptions(spark, d), "ticket_id", "description"))
 
 
 @query(
@@ -115,11 +114,11 @@ def _(spark, d):
     SELECT w.ticket_id, w.term, round(w.w / n.norm, 6) AS weight FROM weights w JOIN norms n ON n.ticket_id = w.ticket_id""",
 )
 def _(spark, d):
-    words = words_of(descriptions(spark, d), "ticket_id", "description")
-    n = words.agg(F.count("*")).scalar()
-    terms = cut_lineage(vocabulary(words, "ticket_id"), "vocabulary")
-    counts = term_counts(words, "ticket_id", terms.select("term", smooth_idf(n, F.col("df")).alias("idf")))
-    return tfidf(counts, "ticket_id").select("ticket_id", "term", F.round("weight", 6).alias("weight"))
+    df = descriptions(spark, d)
+    n = df.agg(F.count("*")).scalar()
+    chosen = vocabulary(term_counts(df, "ticket_id", "description"))
+    terms = cut_lineage(chosen.select("term", smooth_idf(n, F.col("df")).alias("idf")), "vocabulary")
+    return tfidf(term_counts(df, "ticket_id", "description", terms), "ticket_id").select("ticket_id", "term", F.round("weight", 6).alias("weight"))
 
 
 DIM = VECTOR_DIM
