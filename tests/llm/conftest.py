@@ -55,3 +55,17 @@ def edge(stored):
 @pytest.fixture(scope="session")
 def empty(stored):
     return stored([])
+
+
+@pytest.fixture
+def other_splits(spark):
+    """From its call on, files are read in other splits than before, as when executors come or go."""
+    names = ("spark.sql.files.minPartitionNum", "spark.sql.files.openCostInBytes")
+
+    def change():
+        for name, value in zip(names, ("1", "0"), strict=True):
+            spark.conf.set(name, value)
+
+    yield change
+    for name in names:
+        spark.conf.unset(name)

@@ -189,3 +189,13 @@ def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(100)] + [(500, 400), (400, 400), (7, 3)], "a long, b long")
     got = {(r.a, r.b) for r in components(edges).collect()}
     assert got == {(i, 0) for i in range(1, 101)} | {(500, 400)}
+
+
+def test_rows_keep_their_numbers_when_splits_change(stored, other_splits):
+    docs = stored([(i, f"shared\ntext number {i // 2} of many, with words of its own: {'ab' * (i // 2)}") for i in range(60)], files=6)
+    exact, near, lines = exact_dedup.keep_one(docs), simhash.keep_one(docs), line_dedup.line_dedup(docs, min_docs=10)
+    near_before = sorted(r.doc_id for r in simhash.near_duplicates(docs).filter("kept").collect())
+    other_splits()
+    assert sorted(r.doc_id for r in exact.collect()) == list(range(1, 60, 2))
+    assert sorted(r.doc_id for r in near.collect()) == near_before
+    assert Counter((r.n_lines, r.n_dropped) for r in lines.collect()) == {(2, 1): 60}

@@ -182,6 +182,22 @@ def test_bundles_are_seekable_and_records_are_found(spark, crawl, monkeypatch):
         assert sum(1 for _ in warc.read_records(plain)) == index.filter(F.col("bundle") == f.path.rpartition("/")[2]).count()
 
 
+def test_records_keep_their_texts_when_splits_change(spark, stored, other_splits, monkeypatch):
+    pages = stored([(i, f"http://{i}", f"page {i // 2}") for i in range(60)], "page_id long, url string, html string", files=6)
+    before = warc.roles
+
+    def roles(*args):
+        out = before(*args)
+        other_splits()
+        return out
+
+    monkeypatch.setattr(warc, "roles", roles)
+    path = fresh_path(spark, "test-warc")
+    assert warc.write_archives(pages, path).count() == 60
+    rows = warc.read_archives(spark, path).collect()
+    assert Counter((r.url, r.record_type) for r in rows) == {(f"http://{i}", "response" if i % 2 else "revisit"): 1 for i in range(60)}
+
+
 def test_small_payloads_may_all_be_responses(crawl):
     roles = warc.roles(crawl.withColumn("at", F.monotonically_increasing_id()), "at", min_bytes=4).collect()
     assert {r.page_id for r in roles if r.revisits} == {1, 2, 3}

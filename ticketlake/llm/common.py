@@ -39,13 +39,21 @@ def text_of(column: str) -> Column:
 def with_row(docs: DataFrame) -> tuple[DataFrame, str]:
     """Adds a number for each row, so that repeated rows can be told apart.
 
-    The number stands for the place in the stored table; ``docs`` has to be read from one (as every stage's
-    input is), so that reading it again numbers the rows alike.
+    Another read may number the rows otherwise, as file splits follow the cores that are there at the time: what
+    is joined on the number has to come from one read (see ``stored_rows``).
     """
     name = free_name(docs, "_row")
     return docs.withColumn(name, F.monotonically_increasing_id()), name
 
 
+def stored_rows(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``with_row`` written once, so that all reads of it have the same numbers."""
+    numbered, name = with_row(docs)
+    path = fresh_path(docs.sparkSession, "numbered-rows")
+    numbered.write.option("compression", "zstd").parquet(path)  # whole texts
+    return docs.sparkSession.read.schema(numbered.schema).parquet(path), name
+
+
 def small_batches(batches: Iterable[pa.RecordBatch], column: int, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most ``limit`` bytes of one text column; a longer text comes alone.
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ticketlake.llm.common import cut_lineage, text_of, with_row
+from ticketlake.llm.common import cut_lineage, stored_rows, text_of, with_row
 from ticketlake.llm.index import ADD, ReversibleIndex, changes, fold, keys_of, shards_for
 
 DIGEST_BYTES = 32
@@ -28,19 +28,21 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row
     return docs.select(*columns).mapInArrow(run, "doc_id long, row long, key binary")
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def exact_dedup(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None
+) -> DataFrame:
     """One row for each row of ``docs``: ``doc_id``, ``row``, ``keep_id``, ``group_size``, ``kept``, ``text_sha256``.
 
     Texts are equal when identical after lower-casing A-Z; null counts as empty. Of equal texts the largest
     ``doc_id`` stays; of repeated rows with that ``doc_id``, the last one. A null ``doc_id`` is less than any
-    other, and a group with no other has a null ``keep_id``. Empty tables give no rows. ``docs`` is read from a
-    stored table (see ``with_row``); other columns are not read.
+    other, and a group with no other has a null ``keep_id``. Empty tables give no rows. ``row`` is ``row_col``, or
+    else a number given here; other columns are not read.
 
     Digests are combined within tasks, so a text that a third of all rows share costs a few rows for each
     task; each shard of the index takes its digests through its filter. The way back to the rows is one join of
     narrow columns, whose skewed side adaptive execution splits.
     """
-    numbered, row = with_row(docs)
+    numbered, row = (docs, row_col) if row_col else with_row(docs)
     keys = cut_lineage(digests(numbered, id_col, text_col, row), "dedup-digests")
     shards = shards_for(docs.sparkSession, keys.count())
     groups = keys_of(fold(changes(keys, ADD, "doc_id", "row"), DIGEST_BYTES, shards)).select(
@@ -58,8 +60,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that ``exact_dedup`` keeps, with all their columns."""
-    numbered, row = with_row(docs)
-    kept = exact_dedup(docs, id_col, text_col).filter("kept").select(F.col("row").alias(row))
+    numbered, row = stored_rows(docs)
+    kept = exact_dedup(numbered, id_col, text_col, row).filter("kept").select(F.col("row").alias(row))
     return numbered.join(kept, row, "left_semi").drop(row)
 
 

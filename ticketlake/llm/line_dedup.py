@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ticketlake.llm.common import cut_lineage, text_of, with_row
+from ticketlake.llm.common import cut_lineage, stored_rows, text_of
 from ticketlake.llm.index import ReversibleIndex
 
 KEY_BYTES = 16
@@ -63,9 +63,9 @@ def line_dedup(
     Lines whose key (see ``line_key``) has at least ``min_chars`` code points and stands in at least ``min_docs``
     rows of ``docs`` are dropped everywhere. A null text is one empty line; a text that loses all its lines is
     empty; repeated rows count as documents of their own, whatever their ids. Empty tables give no rows.
-    ``docs`` is read from a stored table (see ``with_row``); other columns are not read.
+    Ids and texts are written once with their rows' numbers; other columns are not read.
     """
-    numbered, row = with_row(docs)
+    numbered, row = stored_rows(docs.select(id_col, text_col))
     members = cut_lineage(line_keys(numbered, id_col, text_col, row, min_chars), "line-members")
     index = ReversibleIndex.build(members, KEY_BYTES)
     return drop_lines(numbered, members, index, min_docs, id_col, text_col, row)

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ticketlake.llm.common import cut_lineage, parts_for, text_of, with_row
+from ticketlake.llm.common import cut_lineage, parts_for, stored_rows, text_of, with_row
 from ticketlake.llm.components import components
 
 SEED = 42
@@ -196,17 +196,22 @@ def fingerprint_links(classes: DataFrame, max_bits: int = 2, rows: int | None =
 
 
 def near_duplicates(
-    docs: DataFrame, words: int = 3, max_bits: int = 2, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame,
+    words: int = 3,
+    max_bits: int = 2,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    row_col: str | None = None,
 ) -> DataFrame:
     """One row for each row of ``docs``: ``doc_id``, ``row``, ``fp``, ``component_id`` and ``kept``.
 
     Fingerprints (see ``fingerprint``) within ``max_bits`` bits are linked; a component is all that hangs
     together, ``component_id`` its smallest ``doc_id`` and ``kept`` marks the first row with it. A null text is
     an empty one; a null ``doc_id`` comes after all others, so a component of such rows only has a null id.
-    Rows of one fingerprint are one class from the start, however many they are. ``docs`` is read from a stored
-    table (see ``with_row``); other columns are not read.
+    Rows of one fingerprint are one class from the start, however many they are. ``row`` is ``row_col``, or else
+    a number given here; other columns are not read.
     """
-    numbered, row = with_row(docs)
+    numbered, row = (docs, row_col) if row_col else with_row(docs)
     rows = cut_lineage(fingerprints(numbered, words, id_col, text_col, row), "simhash-rows")
     first = F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "row"))
     classes = cut_lineage(rows.groupBy("fp").agg(first.alias("first")), "simhash-classes")
@@ -228,6 +233,6 @@ def near_duplicates(
 
 def keep_one(docs: DataFrame, words: int = 3, max_bits: int = 2) -> DataFrame:
     """The rows of ``docs`` that ``near_duplicates`` keeps, with all their columns."""
-    numbered, row = with_row(docs)
-    kept = near_duplicates(docs, words, max_bits).filter("kept").select(F.col("row").alias(row))
+    numbered, row = stored_rows(docs)
+    kept = near_duplicates(numbered, words, max_bits, row_col=row).filter("kept").select(F.col("row").alias(row))
     return numbered.join(kept, row, "left_semi").drop(row)

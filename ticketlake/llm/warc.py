@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticketlake.llm.common import cut_lineage, fresh_path, small_batches, with_row
+from ticketlake.llm.common import cut_lineage, fresh_path, small_batches, stored_rows
 
 # Fixed values of the formats: WARC 1.1, and the seek table of seekable Zstandard (a skippable frame).
 VERSION = b"WARC/1.1"
@@ -156,9 +156,10 @@ def write_archives(
     A null payload is an empty one; a null ``url`` is replaced by the record's id. Each partition writes its
     own bundles of bounded size, in order of its rows, so a task that runs again replaces its files by equal
     ones; a file takes its final name when it is whole. ``path`` is a folder that all executors reach through
-    ``pyarrow.fs`` (a shared mount, ``s3://``, ``hdfs://``). ``pages`` is read from a stored table (see ``with_row``).
+    ``pyarrow.fs`` (a shared mount, ``s3://``, ``hdfs://``). The three columns are written once with their rows'
+    numbers, which are part of the records' ids.
     """
-    numbered, row = with_row(pages)
+    numbered, row = stored_rows(pages.select(id_col, url_col, text_col))
     known = roles(numbered, row, min_bytes, id_col, text_col).withColumnRenamed("row", row)
     texts = numbered.select(row, F.col(url_col).alias("url"), F.coalesce(F.col(text_col), F.lit("")).alias("html"))
     records = (
