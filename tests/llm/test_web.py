@@ -14,7 +14,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from ticketlake.llm import extraction, warc
-from ticketlake.llm.dom import N_FEATURES, features, parse
+from ticketlake.llm.dom import N_FEATURES, NUMBERS, features, parse
 from ticketlake.llm.layouts import MARK, Layout
 from ticketlake.llm.trees import BoostedTrees
 from ticketlake.session import fresh_path
@@ -48,6 +48,17 @@ def test_any_markup_gives_a_tree(parts):
     assert all(stays[n.parent] for n, stay in zip(nodes[1:], stays[1:], strict=True) if stay)
 
 
+def test_sibling_statistics_of_a_wide_page():
+    page = "<body>" + "<nav>menu</nav>" * 80 + "<p>text</p>own" * 300 + "<footer>end</footer>" * 20
+    nodes = parse(page)
+    brothers = next(node.children for node in nodes if len(node.children) == 700)
+    x = {name: features(nodes)[:, NUMBERS.index(name)] for name in ("place", "like_siblings", "own_run")}
+    assert np.allclose(x["place"][brothers], np.arange(700) / 700)
+    share = {"nav": 80 / 700, "p": 300 / 700, "#run": 300 / 700, "footer": 20 / 700}
+    assert np.allclose(x["like_siblings"][brothers], [share[nodes[b].tag] for b in brothers])
+    assert x["own_run"][nodes[brothers[0]].parent] == 300
+
+
 def test_deep_and_wide_pages():
     assert texts("<div>" * 20_000 + "x") == ["x"]
     assert len(texts("<li>x" * 20_000)) == 20_000

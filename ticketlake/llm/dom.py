@@ -217,6 +217,10 @@ def features(nodes: list[Node]) -> np.ndarray:
         for a in (chars, links, stops, blocks, tags, heads, paragraphs, items, capitals):
             a[p] += a[i]
         end[p] = max(end[p], end[i])
+    order = np.zeros(n)  # of a node among its siblings
+    kinds = [Counter(nodes[c].tag for c in node.children) for node in nodes]
+    for node in nodes:
+        order[node.children] = np.arange(len(node.children))
     out = np.zeros((n, N_FEATURES), np.float32)
     total = max(chars[0], 1)
     for i, node in enumerate(nodes):
@@ -234,15 +238,15 @@ def features(nodes: list[Node]) -> np.ndarray:
             begin[i] / total,
             end[i] / total,
             np.log1p(len(brothers)),
-            brothers.index(i) / len(brothers) if len(brothers) < 64 else 0.5,
-            sum(nodes[b].tag == node.tag for b in brothers[:64]) / min(len(brothers), 64),
+            order[i] / len(brothers),
+            (kinds[parent][node.tag] if i else 1) / len(brothers),
             own * len(brothers) / max(chars[parent], 1),
             own / max(chars[parent], 1),
             heads[i],
             np.log1p(paragraphs[i]),
             np.log1p(items[i]),
             capitals[i] / max(own, 1),
-            sum(nodes[c].tag == "#run" for c in node.children[:64]),
+            kinds[i]["#run"],
             links[parent] / max(chars[parent], 1),
         )
         base = len(NUMBERS)
