@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ticketlake.llm import exact_dedup, langid, near_copies, packing, quality
+from ticketlake.llm import exact_dedup, langid, packing, quality, simhash
 from ticketlake.llm.common import fold, fresh_path, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -33,8 +33,8 @@ def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """No two documents stay whose sets of five-word shingles have a Jaccard similarity of 0.8 or more."""
-    return near_copies.keep_one(docs, words=5, similarity=0.8)
+    """Of documents whose fingerprints hang together within two bits, one stays."""
+    return simhash.keep_one(docs, words=3, max_bits=2)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
