@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticketlake.llm import bpe, extraction, langid, lm, packing, quality
+from ticketlake.llm import bpe, decontamination, extraction, langid, lm, packing, quality
 from ticketlake.llm.common import fold, table
 from ticketlake.llm.exact_dedup import exact_dedup
 from ticketlake.llm.line_dedup import line_dedup
@@ -73,6 +73,13 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = decontamination.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
+    n_items = F.size("items").cast("long").alias("n_items")
+    items_sha256 = F.sha2(F.array_join("items", ","), 256).alias("items_sha256")
+    return rows.select("doc_id", "n_words", "n_hit", n_items, items_sha256, (F.col("n_hit") > 0).alias("contaminated"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_packing": op1_packing,
     "op2_exact_dedup": op2_exact_dedup,
@@ -84,11 +91,19 @@ QUERIES: dict[str, Query] = {
     "op8_warc": op8_warc,
     "op9_line_dedup": op9_line_dedup,
     "op10_langid": op10_langid,
+    "op13_decontamination": op13_decontamination,
 }
 
 # Equal texts: identical after lower-casing A-Z only.
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+
+def _words(column: str) -> str:
+    """Words of op13: runs of what is not ASCII punctuation, control or white space."""
+    return rf"""regexp_extract_all(translate(coalesce({column}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+
+
 ORACLES: dict[str, str] = {
     "op2_exact_dedup": f"""
         WITH d AS (SELECT doc_id, sha256({_LOWER}) AS text_sha256 FROM documents)
@@ -118,4 +133,19 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, count(*) AS n_lines, count(f.key) AS n_dropped,
                sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (f.key IS NULL), '')) AS kept_sha256
         FROM l LEFT JOIN f USING (key) GROUP BY r, doc_id""",
+    "op13_decontamination": rf"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_words("text")} AS w FROM documents),
+        b AS (SELECT cast(item_id AS varchar) AS item, {_words("text")} AS w FROM benchmark),
+        bw AS (SELECT DISTINCT item, w[i:i + 9] AS win
+               FROM (SELECT item, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM b WHERE len(w) > 0)),
+        k AS (SELECT DISTINCT len(win) AS k FROM bw),
+        dw AS (SELECT r, i, w[i:i + k - 1] AS win
+               FROM (SELECT r, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, k WHERE len(w) >= k)),
+        hit AS (SELECT r, i, len(win) AS k, item FROM dw JOIN bw USING (win)),
+        words AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + k)) AS p FROM hit) GROUP BY r),
+        items AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS s
+                  FROM (SELECT DISTINCT r, item FROM hit) GROUP BY r)
+        SELECT doc_id, cast(len(w) AS bigint) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+               sha256(coalesce(s, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+        FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r)""",
 }
