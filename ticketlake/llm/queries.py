@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticketlake.llm import bpe, decontamination, extraction, langid, lm, packing, quality
+from ticketlake.llm import bpe, decontamination, extraction, langid, lm, merkle, packing, quality, repair
 from ticketlake.llm.common import fold, table
 from ticketlake.llm.exact_dedup import exact_dedup
 from ticketlake.llm.line_dedup import line_dedup
@@ -73,6 +73,22 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, times = repair.damaged(table(spark, sf_dir, "conversations"))
+    return repair.repair(rows, times_col=times)
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    even = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(2)) == 0
+    text = F.when(even, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    rows = merkle.manifest(table(spark, sf_dir, "documents"), {"text": text})
+    folded_root = merkle.folded(F.col("row.now"), F.col("path"))
+    return rows.select(
+        "row.doc_id", "leaf", "subroot", "root", F.sha2(merkle.siblings(F.col("path")), 256).alias("proof_sha256"),
+        folded_root.alias("folded_root"),
+    ).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = decontamination.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
     n_items = F.size("items").cast("long").alias("n_items")
@@ -91,6 +107,8 @@ QUERIES: dict[str, Query] = {
     "op8_warc": op8_warc,
     "op9_line_dedup": op9_line_dedup,
     "op10_langid": op10_langid,
+    "op11_repair": op11_repair,
+    "op12_merkle": op12_merkle,
     "op13_decontamination": op13_decontamination,
 }
 
