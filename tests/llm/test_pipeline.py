@@ -36,7 +36,6 @@ def test_stages_on_supplied_documents(spark, sf_dir):
     roots = dict(zip(texts[3], brute_components(fps, 2), strict=True))
     assert sorted(roots[i] for i in texts[4]) == sorted(set(roots.values()))
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     sizes = {i: len(tokenizer.encode(t, add_special_tokens=False).ids) + 1 for i, t in texts[4].items()}
     packed = Counter()
     for r in rows[5]:

@@ -104,9 +104,19 @@ def test_plan_is_that_of_single_items(case):
     assert len(bins) == item_by_item(histogram, capacity)
 
 
+def test_packing_of_added_tokens(stored):
+    """Their strings in a text are these tokens, as in the tokenizers library's plain call."""
+    tokenizer = Tokenizer.from_file(JSON)
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>x\n<|endoftext|", "<|ENDOFTEXT|> a<|endoftext|>b "]
+    rows = packing.pieces(stored(list(enumerate(texts))), JSON, PATTERN, with_ids=True).collect()
+    assert {r.doc_id: ids_of(r.ids) for r in rows} == {
+        i: [*tokenizer.encode(t, add_special_tokens=False).ids, 0] for i, t in enumerate(texts)
+    }
+    assert [64, 220, 50256, 275, 0] in [ids_of(r.ids) for r in rows]
+
+
 def test_packing_of_edge_rows(edge, empty):
     tokenizer = Tokenizer.from_file(JSON)
-    tokenizer.encode_special_tokens = True
     packed = packing.pack(packing.pieces(edge, JSON, PATTERN, 64, with_ids=True), 64).cache()
     rows = packed.collect()
     expected = Counter()
@@ -212,6 +222,18 @@ def test_words_are_summed_over_all_segmentations():
     assert np.isfinite(langid.log_scores([b"the" * 5000], pieces, p)).all()
 
 
+def test_every_token_is_a_piece():
+    tokens = list(bpe.read_ranks(RANKS))
+    pieces = langid.Pieces(tokens)
+    ids = {t: i for i, t in enumerate(sorted({*tokens} | {bytes([b]) for b in range(256)}))}
+    assert pieces.n == len(ids) >= len(tokens)
+    for size in {len(t) for t in tokens}:
+        some = [t for t in tokens if len(t) == size]
+        words = np.frombuffer(b"".join(some), np.uint8).reshape(-1, size)
+        length, starts = pieces.spans(words)[-1]
+        assert length == size and starts[:, 0].tolist() == [ids[t] for t in some]
+
+
 def test_expected_counts_add_up_to_the_words():
     tokens = [b"ab", b"abc", b"bc", b"a", b"c"]
     pieces = langid.Pieces(tokens)

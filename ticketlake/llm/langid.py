@@ -17,7 +17,6 @@ from ticketlake.llm.common import small_batches
 UNKNOWN = "und"
 WORD = regex.compile(r"[\p{L}\p{M}]+")
 LETTER = regex.compile(r"\p{L}")
-MAX_PIECE = 10  # bytes of a piece; the vocabulary's longer tokens are left out
 CACHE = 300_000  # words whose scores a task holds
 _WAYS = 4
 _BASE = np.uint64(0x100000001B3)
@@ -25,11 +24,12 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Pieces:
-    """The vocabulary's byte strings of bounded length, found by hash; all single bytes are among them."""
+    """The vocabulary's byte strings, found by hash; all single bytes are among them."""
 
     def __init__(self, tokens: list[bytes]):
-        tokens = sorted({t for t in tokens if len(t) <= MAX_PIECE} | {bytes([b]) for b in range(256)})
+        tokens = sorted(set(tokens) | {bytes([b]) for b in range(256)})
         self.n = len(tokens)
+        self.lengths = {len(t) for t in tokens}
         keys = np.array([self._hash(t) for t in tokens], np.uint64)
         self.bits = int(self.n).bit_length()
         while True:
@@ -63,13 +63,14 @@ class Pieces:
             out[hit] = self.ids[at[hit], way]
         return out
 
-    def spans(self, words: np.ndarray) -> list[np.ndarray]:
-        """For each length k from 1, the ids of the pieces that start at each place of equally long words."""
+    def spans(self, words: np.ndarray) -> list[tuple[int, np.ndarray]]:
+        """For each length that a piece may have, from 1, the ids of the pieces that start at each place of equally long words."""
         size = words.shape[1]
         out, h = [], np.zeros(words.shape, np.uint64)
-        for k in range(1, min(MAX_PIECE, size) + 1):
+        for k in range(1, min(max(self.lengths), size) + 1):
             h = h[:, : size - k + 1] * _BASE + words[:, k - 1 :].astype(np.uint64) + np.uint64(1)
-            out.append(self.find(h))
+            if k in self.lengths:
+                out.append((k, self.find(h)))
         return out
 
 
@@ -84,19 +85,20 @@ def _by_length(words: list[bytes], cells: int = 300_000) -> Iterator[tuple[np.nd
             yield some, np.frombuffer(b"".join(words[i] for i in some), np.uint8).reshape(-1, size)
 
 
-def forward(spans: list[np.ndarray], p: np.ndarray) -> np.ndarray:
+def forward(spans: list[tuple[int, np.ndarray]], p: np.ndarray) -> np.ndarray:
     """Logarithms of the forward sums (n, size + 1, languages) of words over all segmentations.
 
     ``p`` holds a row of probabilities for each piece and a last row of zeros. The sums that a step needs are
     kept relative to the latest one, so words of any length stay within a double.
     """
-    n, size = spans[0].shape
+    n, size = spans[0][1].shape
+    reach = spans[-1][0]
     logs = np.zeros((n, size + 1, p.shape[1]))
     near = [np.ones((n, p.shape[1]))]  # the sums at the last places, the latest one last
     for i in range(1, size + 1):
-        total = sum(near[-k] * p[spans[k - 1][:, i - k]] for k in range(1, min(len(spans), i) + 1))
+        total = sum(near[-k] * p[ids[:, i - k]] for k, ids in spans if k <= i)
         logs[:, i] = logs[:, i - 1] + np.log(total)
-        near = [x / total for x in near[-len(spans) + 1 :]] if len(spans) > 1 else []
+        near = [x / total for x in near[-reach + 1 :]] if reach > 1 else []
         near.append(np.ones((n, p.shape[1])))
     return logs
 
@@ -118,12 +120,13 @@ def expected_counts(words: list[bytes], weights: np.ndarray, pieces: Pieces, p:
         size = block.shape[1]
         behind = np.zeros(ahead.shape)
         for i in range(size - 1, -1, -1):
-            ways = range(1, min(len(spans), size - i) + 1)
-            total = sum(p[spans[k - 1][:, i]] * np.exp(behind[:, i + k] - behind[:, i + 1]) for k in ways)
+            total = sum(p[ids[:, i]] * np.exp(behind[:, i + k] - behind[:, i + 1]) for k, ids in spans if k <= size - i)
             behind[:, i] = behind[:, i + 1] + np.log(total)
         for i in range(size):
-            for k in range(1, min(len(spans), size - i) + 1):
-                ids = spans[k - 1][:, i]
+            for k, starts in spans:
+                if k > size - i:
+                    break
+                ids = starts[:, i]
                 used = np.exp(ahead[:, i] + behind[:, i + k] - ahead[:, -1]) * p[ids] * weights[places]
                 for lang in range(p.shape[1]):
                     counts[:, lang] += np.bincount(ids, used[:, lang], minlength=len(p))

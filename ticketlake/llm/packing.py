@@ -20,21 +20,21 @@ ROWS_PER_PART = 1_000_000
 _ROW_BITS = 33  # monotonically_increasing_id: partition above, row below
 
 
-def ranks_of(tokenizer_json: str) -> dict[bytes, int]:
-    """Token bytes and ids of a byte-level BPE file of the tokenizers library, whose ids are its ranks.
+def ranks_of(tokenizer_json: str) -> tuple[dict[bytes, int], dict[str, int]]:
+    """Token bytes and ids of a byte-level BPE file of the tokenizers library, whose ids are its ranks, and its added tokens.
 
     Such files write each byte as a printable character: printable ones as themselves, the others, in order,
-    from code point 256 on. Special tokens are not among them: their strings in a text are ordinary text.
+    from code point 256 on. Added tokens are not among the ranks: a text is cut where it has one of their strings.
     """
     printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
     others = [b for b in range(256) if b not in printable]
     byte_of = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
     file = json.loads(tokenizer_json)
-    special = {t["content"] for t in file.get("added_tokens", ())}
+    special = {t["content"]: t["id"] for t in file.get("added_tokens", ())}
     ranks = {bytes(byte_of[c] for c in token): i for token, i in file["model"]["vocab"].items() if token not in special}
     if sorted(ranks.values()) != list(range(len(ranks))):
         raise ValueError("ids are not ranks")
-    return ranks
+    return ranks, special
 
 
 def pieces(
@@ -49,21 +49,22 @@ def pieces(
 ) -> DataFrame:
     """``doc_id``, ``piece``, ``start``, ``length``, ``ids_crc32`` (and ``ids``) of every document's pieces.
 
-    A document is its ids (of the whole text, cut by ``pattern``) and ``end_id``; only longer ones than ``capacity`` are cut, their first piece being
+    A document is its ids (of the whole text, cut by ``pattern``, an added token's string being that token) and ``end_id``; only longer ones than ``capacity`` are cut, their first piece being
     the shorter one. A null or empty text is one piece of length 1; repeated rows give repeated pieces.
     """
     with open(tokenizer_path, encoding="utf-8") as file:  # a fixed public vocabulary of a few MB
-        ranks = ranks_of(file.read())
+        ranks, special = ranks_of(file.read())
     end = np.array([end_id], "<u4").tobytes()
     names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
     kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()] + [pa.binary()] * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoding = tiktoken.Encoding("bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        encoding = tiktoken.Encoding("bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
         for batch in small_batches(batches, 1):
             rows: list[tuple] = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = np.array(encoding.encode_ordinary(text), "<u4").tobytes() + end
+                found = encoding.encode(text, allowed_special="all") if any(s in text for s in special) else encoding.encode_ordinary(text)
+                ids = np.array(found, "<u4").tobytes() + end
                 total = len(ids) // 4
                 start = 0
                 for piece, to in enumerate(range((total - 1) % capacity + 1, total + 1, capacity)):
