@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 # White space as Python sees it; plain Java \s misses the no-break space and others.
 _SPACES = r"[\s\x0B\x1c-\x1f\x{85}\p{Z}]+"
-_WORD = r"[\p{L}\p{N}_]{2,}"
+_BETWEEN_WORDS = r"[^\p{L}\p{N}_]+"
 
 
 def _col(c: Column | str) -> Column:
@@ -41,8 +41,11 @@ def preview(c: Column | str, n: int) -> Column:
 
 
 def tokens(c: Column | str) -> Column:
-    """Lower-case words of two or more characters, in text order."""
-    return F.regexp_extract_all(F.lower(or_empty(c)), F.lit(_WORD), F.lit(0))
+    """Lower-case words of two or more characters, in text order.
+
+    Texts are split, since extracting all matches copies what is left of the text for each of them.
+    """
+    return F.filter(F.split(F.lower(or_empty(c)), _BETWEEN_WORDS), lambda word: F.char_length(word) >= 2)
 
 
 def ngrams(words: Column | str) -> Column:

@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
+from collections.abc import Iterator
+from functools import cached_property
+
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -100,59 +107,73 @@ class TfidfVocabulary:
 VECTOR_DIM = 256
 
 
+def bucket_counts(words: pa.ListArray, dim: int) -> np.ndarray:
+    """How many words of each text fall into each of ``dim`` buckets; a word is hashed once for all texts."""
+    coded = words.flatten().dictionary_encode()
+    starts = (hashlib.md5(word.encode()).digest()[:4] for word in coded.dictionary.to_pylist())
+    bucket = np.fromiter((int.from_bytes(start, "big") % dim for start in starts), np.int64, len(coded.dictionary))
+    row = np.repeat(np.arange(len(words)), words.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+    cells = row * dim + bucket[coded.indices.to_numpy(zero_copy_only=False)]
+    return np.bincount(cells, minlength=len(words) * dim).reshape(len(words), dim)
+
+
 class HashedTfidf:
-    """Default encoder: TF-IDF of hashed words, ``dim`` numbers of length 1 per text, to six places."""
+    """Default encoder: TF-IDF of hashed words, ``dim`` numbers of length 1 per text, to six places.
+
+    A text's vector hangs on its own words and ``dim`` numbers, so encoding is a pass over the rows where they are.
+    """
 
     def __init__(self, frequencies: DataFrame, dim: int):
         self.frequencies, self.dim = frequencies, dim
 
-    @staticmethod
-    def buckets(df: DataFrame, key: str, text: str, dim: int) -> DataFrame:
-        """``key, term, tf``: how many words of each text fall into each of ``dim`` buckets."""
-        number = F.conv(F.left(F.md5("term"), F.lit(8)), 16, 10).cast("bigint")
-        words = df.select(key, tokens(text).alias("words"))
-        return (
-            term_rows(words, key, pairs=False)
-            .groupBy(key, F.pmod(number, F.lit(dim)).cast("int").alias("term"))
-            .agg(F.count("*").alias("tf"))
-        )
-
-    @classmethod
-    def of_buckets(cls, buckets: DataFrame, n: Column, dim: int) -> "HashedTfidf":
-        """From the buckets of ``n`` texts."""
-        frequencies = buckets.groupBy("term").agg(F.count("*").alias("df"))
-        idf = frequencies.select("term", smooth_idf(n, F.col("df")).alias("idf"))
-        return cls(cut_lineage(idf, "hashed-idf"), dim)  # at most ``dim`` rows
-
     @classmethod
     def fit(cls, df: DataFrame, key: str, text: str, dim: int = VECTOR_DIM) -> "HashedTfidf":
-        return cls.of_buckets(cls.buckets(df, key, text, dim), df.agg(F.count("*")).scalar(), dim)
-
-    def weigh(self, buckets: DataFrame, key: str) -> DataFrame:
-        known = buckets.join(F.broadcast(self.frequencies), "term")
-        return tfidf(known, key).select(key, "term", "weight")
+        """Document counts of the buckets: summed within batches, then over them."""
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                used = (bucket_counts(batch.column(0), dim) > 0).sum(0)
+                yield pa.record_batch([pa.array([[*used.tolist(), batch.num_rows]], pa.list_(pa.int64()))], ["used"])
+
+        used = df.select(tokens(text).alias("words")).mapInArrow(count, "used array<long>")
+        totals = used.select(F.posexplode("used").alias("term", "df")).groupBy("term").agg(F.sum("df").alias("df"))
+        found = dict(map(tuple, totals.collect()))  # ``dim`` rows and one for the number of texts
+        n = found.pop(dim, 0)
+        idf = [(term, math.log((n + 1.0) / (df + 1.0)) + 1.0) for term, df in sorted(found.items()) if df]
+        return cls(df.sparkSession.createDataFrame(idf, "term int, idf double"), dim)
+
+    @cached_property
+    def _idf(self) -> np.ndarray:
+        idf = np.zeros(self.dim)
+        for row in self.frequencies.collect():
+            idf[row["term"]] = row["idf"]
+        return idf
+
+    def column(self, text: str) -> Column:
+        """The vector of a text as doubles; without known words it is the zero vector."""
+        idf, dim = self._idf, self.dim
+
+        @F.arrow_udf("array<double>")
+        def vector(words: pa.Array) -> pa.Array:
+            tf = bucket_counts(words, dim)
+            weights = np.where(tf > 0, 1.0 + np.log(np.maximum(tf, 1)), 0.0) * idf
+            norms = np.sqrt((weights * weights).sum(1, keepdims=True))
+            weights = np.round(weights / np.where(norms > 0, norms, 1.0), 6)
+            return pa.ListArray.from_arrays(pa.array(np.arange(len(words) + 1, dtype=np.int32) * dim), pa.array(weights.ravel()))
+
+        return vector(tokens(text))
 
     def weights(self, df: DataFrame, key: str, text: str) -> DataFrame:
         """``key, term, weight`` with one row per bucket in use."""
-        return self.weigh(self.buckets(df, key, text, self.dim), key)
-
-    def vectors(self, rows: DataFrame, buckets: DataFrame, key: str) -> DataFrame:
-        """``rows`` with ``vector`` from their buckets; without any it is the zero vector."""
-        cells = F.map_from_entries(F.collect_list(F.struct("term", F.round("weight", 6))))
-        by_row = self.weigh(buckets, key).groupBy(key).agg(cells.alias("cells"))
-        value = lambda i: F.coalesce(F.try_element_at(F.col("cells"), i), F.lit(0.0)).cast("float")
-        vector = F.transform(F.sequence(F.lit(0), F.lit(self.dim - 1)), value)
-        return rows.join(by_row, key, "left").withColumn("vector", vector).drop("cells")
+        cells = df.select(key, F.posexplode_outer(self.column(text)).alias("term", "weight"))
+        return cells.filter("weight > 0")
 
     def encode(self, df: DataFrame, key: str, text: str) -> DataFrame:
         """``key, vector`` of every text."""
-        return self.vectors(df.select(key), self.buckets(df, key, text, self.dim), key)
+        return df.select(key, self.column(text).cast("array<float>").alias("vector"))
 
 
 def with_vectors(df: DataFrame, key: str = "ticket_id", text: str = "description", dim: int = VECTOR_DIM) -> DataFrame:
-    """Every row of ``df`` with the default encoder's ``vector`` of its text, the encoder being fitted on them.
-
-    ``df`` is a written table; its texts are tokenised once.
-    """
-    buckets = cut_lineage(HashedTfidf.buckets(df, key, text, dim), "hashed-buckets")
-    return HashedTfidf.of_buckets(buckets, df.agg(F.count("*")).scalar(), dim).vectors(df, buckets, key)
+    """Every row of ``df``, a written table, with the default encoder's ``vector`` of its text, the encoder being fitted on them."""
+    encoder = HashedTfidf.fit(df, key, text, dim)
+    return df.withColumn("vector", encoder.column(text).cast("array<float>"))

@@ -46,8 +46,7 @@ class VectorIndex:
 
     @staticmethod
     def _records(df: DataFrame, encoder: HashedTfidf) -> DataFrame:
-        vectors = df.join(encoder.encode(df, "ticket_id", "description"), "ticket_id")
-        records = to_records(vectors).withColumnsRenamed({"id": "neighbour_id", "embedding": "vector"})
+        records = to_records(df.withColumn("vector", encoder.column("description"))).withColumnsRenamed({"id": "neighbour_id", "embedding": "vector"})
         return cut_lineage(records, "records")
 
     def upsert(self, df: DataFrame, path: str) -> VectorIndex:
