@@ -1,9 +1,9 @@
 """Nearest neighbours by squared Euclidean distance, as shuffles of bounded blocks.
 
 Corpus rows belong to cells and queries visit cells. A cell of any size is cut into blocks of
-a bounded number of rows, its visitors likewise, and each (corpus block, query block) pair is
-one group: the task holds two bounded blocks and returns at most ``k`` rows per query.
-Copies of one vector share a cell but are spread over its blocks by id.
+a bounded number of rows; a task holds one block while the queries that visit its cell come past
+it, and returns at most ``k`` rows per query. Copies of one vector share a cell but are spread
+over its blocks by id.
 """
 
 from __future__ import annotations
@@ -13,13 +13,16 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 from ticketlake.session import cut_lineage, fresh_path
 
-BLOCK_ROWS = 32_768  # rows of either side in one group; what is shuffled shrinks with it
-TILE_ROWS = 2048  # rows of either side in one matrix product within a group
+BLOCK_ROWS = 32_768  # corpus rows that a task holds
+TILE_ROWS = 2048  # rows of either side in one matrix product
 _SLACK = 1e-9  # relative rounding of a squared distance in product form
 _REACH_SLACK = 1e-6  # the same after a square root
 
@@ -42,7 +45,7 @@ def _squared_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def _without_spare_copies(corpus: pd.DataFrame, k: int) -> pd.DataFrame:
     """At most k rows of one vector, those with the smallest ids: more copies never make a list of k."""
     corpus = corpus.sort_values("neighbour_id", kind="stable", ignore_index=True)
-    copies = corpus["corpus_vector"].map(lambda v: v.tobytes())
+    copies = corpus["vector"].map(lambda v: v.tobytes())
     return corpus[copies.groupby(copies).cumcount() < k]
 
 
@@ -69,61 +72,82 @@ def _nearest_rows(q: np.ndarray, c: np.ndarray, k: int) -> tuple[np.ndarray, np.
     return row[keep], col[keep], distance[keep]
 
 
-def _block_top_k(k: int, columns: list[str], carry: list[str]):
-    """Group function: the k nearest rows of one corpus block for each query of one query block."""
+def _top_k_of_block(k: int, carry: list[str]):
+    """Step of ``stream_blocks``: the k nearest rows of a block for each query."""
 
-    def nearest(queries: pd.DataFrame, corpus: pd.DataFrame) -> pd.DataFrame:
-        if queries.empty or corpus.empty:
-            return pd.DataFrame(columns=columns)
+    def block(corpus: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray]:
         corpus = _without_spare_copies(corpus, k)
-        c = _matrix(corpus["corpus_vector"])
-        found = []
-        for start in range(0, len(queries), TILE_ROWS):
-            tile = queries.iloc[start : start + TILE_ROWS]
-            row, col, distance = _nearest_rows(_matrix(tile["vector"]), c, k)
-            out = {
-                "query_id": tile["query_id"].to_numpy()[row],
-                "neighbour_id": corpus["neighbour_id"].to_numpy()[col],
-                "distance": distance,
-            }
-            out.update({name: corpus[name].to_numpy()[col] for name in carry})
-            found.append(pd.DataFrame(out, columns=columns))
-        return pd.concat(found, ignore_index=True)
-
-    return nearest
+        return corpus, _matrix(corpus["vector"])
 
+    def step(queries: pd.DataFrame, held: tuple[pd.DataFrame, np.ndarray]) -> pd.DataFrame:
+        corpus, c = held
+        row, col, distance = _nearest_rows(_matrix(queries["vector"]), c, k)
+        out = {
+            "query_id": queries["query_id"].to_numpy()[row],
+            "neighbour_id": corpus["neighbour_id"].to_numpy()[col],
+            "distance": distance,
+        }
+        return pd.DataFrame(out | {name: corpus[name].to_numpy()[col] for name in carry})
 
-def _search(visits: DataFrame, corpus: DataFrame, k: int, carry: list[str], block_rows: int) -> DataFrame:
-    """The k nearest per query and block; ``visits(query_id, vector, cell)``, ``corpus(neighbour_id, ..., cell)``."""
-    rows = corpus.groupBy("cell").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("parts"))
-    guests = visits.groupBy("cell").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("query_parts"))
-    grid = rows.join(guests, "cell")  # one row per cell
-    return _search_blocks(visits.join(grid, "cell"), corpus.join(grid, "cell"), k, carry)
+    return block, step
 
 
-def _search_blocks(visits: DataFrame, corpus: DataFrame, k: int, carry: list[str]) -> DataFrame:
-    left = (
-        visits.withColumn("query_part", F.pmod(F.xxhash64("query_id"), F.col("query_parts")).cast("int"))
-        .withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .select("cell", "part", "query_part", "query_id", "vector")
-    )
-    right = (
-        corpus.withColumn("part", F.pmod(F.xxhash64("neighbour_id"), F.col("parts")).cast("int"))
-        .withColumn("query_part", F.explode(F.sequence(F.lit(0), F.col("query_parts") - 1)))
-        .select("cell", "part", "query_part", "neighbour_id", F.col("vector").alias("corpus_vector"), *carry)
+def _frame(rows: pa.RecordBatch | pa.Table) -> pd.DataFrame:
+    return rows.to_pandas(integer_object_nulls=True)  # long ids beside nulls stay whole
+
+
+def stream_blocks(visits: DataFrame, corpus: DataFrame, block_rows: int, block, step, schema: str) -> DataFrame:
+    """``step(queries, block(rows))`` for each block of corpus rows and the queries that visit its cell.
+
+    ``visits(query_id, vector, cell)``; a corpus row lies in one block and is moved once, however many queries
+    there are. A task holds one block, and its visitors come past in batches, ``TILE_ROWS`` at a time. All columns of
+    the rows reach ``block`` as a frame, ``query_id`` and ``vector`` of the visitors reach ``step``.
+    """
+    sizes = corpus.groupBy("cell").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("parts"))
+    grid = sizes.join(visits.select("cell").distinct(), "cell")  # one row per visited cell
+    left = visits.join(grid, "cell").select(
+        "cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("asks"), "query_id", "vector"
     )
-    columns = ["query_id", "neighbour_id", "distance", *carry]
+    part = F.pmod(F.xxhash64("neighbour_id"), F.col("parts")).cast("int").alias("part")
+    own = [c for c in corpus.columns if c != "cell"]
+    right = corpus.join(grid, "cell").select("cell", part, F.lit(False).alias("asks"), *own)
+    both = right.unionByName(left, allowMissingColumns=True).select("cell", "part", "asks", "query_id", *dict.fromkeys([*own, "vector"]))
+    both = both.repartition("cell", "part").sortWithinPartitions("cell", "part", "asks")
+
+    fields = to_arrow_schema(_parse_datatype_string(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, rows, held = None, [], None
+        for batch in batches:
+            marks = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3)])
+            starts = np.flatnonzero(np.r_[True, (marks[:, 1:] != marks[:, :-1]).any(0)]) if batch.num_rows else []
+            for first, end in zip(starts, [*starts[1:], batch.num_rows], strict=True):
+                if tuple(marks[:2, first]) != key:
+                    key, rows, held = tuple(marks[:2, first]), [], None
+                some = batch.slice(first, end - first)
+                if not marks[2, first]:
+                    rows.append(some.select(own))
+                    continue
+                if held is None and rows:
+                    held, rows = block(_frame(pa.Table.from_batches(rows))), []
+                for tile in range(0, some.num_rows, TILE_ROWS) if held is not None else ():
+                    found = step(_frame(some.slice(tile, TILE_ROWS).select(["query_id", "vector"])), held)
+                    yield pa.RecordBatch.from_pandas(found, fields, preserve_index=False)
+
+    return both.mapInArrow(run, schema)
+
+
+def _search(visits: DataFrame, corpus: DataFrame, k: int, carry: list[str], block_rows: int) -> DataFrame:
+    """The k nearest per query and block; ``visits(query_id, vector, cell)``, ``corpus(neighbour_id, ..., cell)``."""
     types = {
         "query_id": visits.schema["query_id"].dataType.simpleString(),
+        "neighbour_id": corpus.schema["neighbour_id"].dataType.simpleString(),
         "distance": "double",
-        **{c: corpus.schema[c].dataType.simpleString() for c in ["neighbour_id", *carry]},
+        **{c: corpus.schema[c].dataType.simpleString() for c in carry},
     }
-    keys = ["cell", "part", "query_part"]
-    return (
-        left.groupBy(*keys)
-        .cogroup(right.groupBy(*keys))
-        .applyInPandas(_block_top_k(k, columns, carry), ", ".join(f"{c} {types[c]}" for c in columns))
-    )
+    schema = ", ".join(f"`{c}` {t}" for c, t in types.items())
+    rows = corpus.select("neighbour_id", "vector", "cell", *carry)
+    return stream_blocks(visits.select("query_id", "vector", "cell"), rows, block_rows, *_top_k_of_block(k, carry), schema)
 
 
 def _keep_k(found: DataFrame, k: int) -> DataFrame:
@@ -212,18 +236,6 @@ class Cells:
             n_in_cell[sizes["cell"]], radius[sizes["cell"]] = sizes["n"], sizes["radius"]
         return cls(rows, pivots, n_in_cell, radius)
 
-    def upsert(self, updates: DataFrame, path: str) -> "Cells":
-        """The cells in ``path``, with the rows of ``updates`` in place of those of the same id.
-
-        Updates have the corpus' columns, each id once, and go to the cells that are there; when they have
-        become many, ``build`` finds better pivots. The old cells stay as they are.
-        """
-        if not len(self.pivots):
-            return Cells.build(updates, path=path)
-        placed = cut_lineage(_to_cells(updates, self.pivots, 1), "placed")
-        kept = self.rows.join(placed.select("neighbour_id"), "neighbour_id", "left_anti")
-        return self._write(kept.unionByName(placed), self.pivots, path)
-
     def where(self, conditions: dict | None) -> "Cells":
         """Only rows whose columns equal the given values; the radii stay bounds."""
         if not conditions:
@@ -293,9 +305,11 @@ class Cells:
         visit_schema = queries.schema.simpleString()[len("struct<") : -1] + ", cell int"
         found = _search(*visited(queries.mapInPandas(first_round, visit_schema)), k, carry, block_rows)
         found = cut_lineage(_keep_k(found, k).drop("rank"), "first-round")
-        # fewer than k rows found means the whole corpus was visited
-        reach = found.groupBy("query_id").agg(F.max("distance").alias("reach"))
-        more = queries.join(reach, "query_id").mapInPandas(second_round, visit_schema)
+        # with fewer than k rows found, every cell may hold one more
+        reach = F.when(F.count("*") >= k, F.max("distance")).otherwise(F.lit(float("inf"))).alias("reach")
+        known = queries.join(found.groupBy("query_id").agg(reach), "query_id", "left")
+        known = known.withColumn("reach", F.coalesce("reach", F.lit(float("inf"))))
+        more = known.mapInPandas(second_round, visit_schema)
         return _keep_k(found.unionByName(_search(*visited(more), k, carry, block_rows)), k)
 
 

@@ -201,11 +201,11 @@ def _(spark, d):
     """An index of closed tickets takes in the resolved ones and new texts of some closed ones; a search sees both."""
     rows = cut_lineage(tickets(spark, d, "description", *METADATA_FIELDS), "tickets")
     closed = rows.filter("status = 'Closed'")
-    index = VectorIndex.build(closed, fresh_path(spark, "vector-index"))
+    path = fresh_path(spark, "vector-index")
+    index = VectorIndex.build(closed, path)
     revised = closed.filter("category = 'de'").withColumn("description", F.concat(F.lit("revised "), "description"))
     updates = cut_lineage(rows.filter("status = 'Resolved'").unionByName(revised), "updates")
-    path = fresh_path(spark, "vector-index")
-    index.upsert(updates, path)
+    index.upsert(updates)
     asked = rows.filter(F.col("status").isin(OPEN_STATUSES))
     queries = asked.select(F.col("ticket_id").alias("query_id"), F.col("description").alias("query"))
     hits = VectorIndex.open(spark, path).search(queries, 3, fields=("subject", "resolution", "status"))

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from ticketlake.functions.domain import metadata_text
 from ticketlake.operators.features import VECTOR_DIM, HashedTfidf
-from ticketlake.operators.vector import Cells
 from ticketlake.schema import METADATA_FIELDS, QUERY_PREFIX
 from ticketlake.session import cut_lineage, drop_folder, folders
+from ticketlake.sources.cellstore import CellStore
 
 
 def to_records(df: DataFrame) -> DataFrame:
@@ -32,42 +32,64 @@ def open_index(spark: SparkSession, path: str) -> DataFrame:
 
 
 class VectorIndex:
-    """A stored index that is asked with texts: records in cells, and the encoder that made their vectors."""
+    """A stored index that is asked with texts: records in a store of cells, and the encoder that made their vectors.
 
-    def __init__(self, cells: Cells, encoder: HashedTfidf):
-        self.cells, self.encoder = cells, encoder
+    ``search`` and ``upsert`` work on the version that was opened; each change gives the next one.
+    """
+
+    def __init__(self, store: CellStore, encoder: HashedTfidf):
+        self.store, self.encoder = store, encoder
 
     @classmethod
     def build(cls, df: DataFrame, path: str, dim: int = VECTOR_DIM) -> VectorIndex:
-        """From tickets, a written table; replaces an index that is already there."""
+        """From tickets, a written table; an index that is already there gets a new version of everything."""
         encoder = HashedTfidf.fit(df, "ticket_id", "description", dim)
-        encoder.frequencies.write.mode("overwrite").parquet(f"{path}/encoder")
-        return cls(Cells.build(cls._records(df, encoder), path=f"{path}/cells"), encoder)
+        records = cut_lineage(cls._records(df, encoder), "records")
+        store = CellStore.build(records, f"{path}/cells", before_publishing=lambda v: encoder.frequencies.write.mode("overwrite").parquet(f"{path}/encoder/set={v}"))
+        return cls(store, encoder)
 
     @staticmethod
     def _records(df: DataFrame, encoder: HashedTfidf) -> DataFrame:
-        records = to_records(df.withColumn("vector", encoder.column("description"))).withColumnsRenamed({"id": "neighbour_id", "embedding": "vector"})
-        return cut_lineage(records, "records")
+        records = to_records(df.withColumn("vector", encoder.column("description")))
+        return records.withColumnsRenamed({"id": "neighbour_id", "embedding": "vector"})
+
+    def upsert(self, df: DataFrame, batch: int | None = None) -> VectorIndex:
+        """The next version, with new and changed tickets, each once: whole records, encoded as the others were.
 
-    def upsert(self, df: DataFrame, path: str) -> VectorIndex:
-        """The index in ``path`` with new and changed tickets, each once: whole records, encoded as the others were."""
-        self.encoder.frequencies.write.mode("overwrite").parquet(f"{path}/encoder")
-        return VectorIndex(self.cells.upsert(self._records(df, self.encoder), f"{path}/cells"), self.encoder)
+        The records that are there are neither read nor written. A ``batch`` that is taken in already changes nothing.
+        """
+        return VectorIndex(self.store.upsert(self._records(df, self.encoder), batch), self.encoder)
+
+    def compact(self, share: float = 0.25) -> VectorIndex:
+        """The next version, with the cells written anew that updates have touched most."""
+        return VectorIndex(self.store.compact(share), self.encoder)
 
     @classmethod
     def open(cls, spark: SparkSession, path: str, dim: int = VECTOR_DIM) -> VectorIndex:
-        return cls(Cells.open(spark, f"{path}/cells"), HashedTfidf(spark.read.parquet(f"{path}/encoder"), dim))
+        """The last version."""
+        store = CellStore.open(spark, f"{path}/cells")
+        return cls(store, HashedTfidf(spark.read.parquet(f"{path}/encoder/set={store.centre_set}"), dim))
+
+    def encode(self, queries: DataFrame, prefix: str = QUERY_PREFIX) -> DataFrame:
+        """``query_id, vector`` of each ``query``, which gets the prefix that records do not have; written once."""
+        asked = queries.select("query_id", F.concat(F.lit(prefix), "query").alias("query"))
+        return cut_lineage(self.encoder.encode(asked, "query_id", "query"), "query-vectors")
 
     def search(
-        self, queries: DataFrame, top_k: int = 5, where: dict | None = None, fields: tuple[str, ...] = ("subject",)
+        self,
+        queries: DataFrame,
+        top_k: int = 5,
+        where: dict | None = None,
+        fields: tuple[str, ...] = ("subject",),
+        approximate: bool = False,
     ) -> DataFrame:
         """The nearest records of each ``query`` (``query_id, query``): ``query_id, ticket_id, distance, *fields, rank``.
 
-        Queries get the prefix, records have none. ``where`` holds metadata values that records must equal.
+        ``where`` holds metadata values that records must equal. ``approximate`` asks as many cells as the measured
+        recall curve calls for, codes first; else all that may hold a nearer record.
         """
-        asked = queries.select("query_id", F.concat(F.lit(QUERY_PREFIX), "query").alias("query"))
-        vectors = cut_lineage(self.encoder.encode(asked, "query_id", "query"), "query-vectors")
-        hits = self.cells.where(where).search(vectors, top_k, carry=fields)
+        n_probe = self.store.n_probe() if approximate else None
+        hits = self.store.search(self.encode(queries), top_k, fields, where, n_probe)
         return hits.withColumnRenamed("neighbour_id", "ticket_id")
 
 
