@@ -97,9 +97,9 @@ def test_updates_leave_other_files_alone(spark, points):
     base = files(first.path)
     moved = make(spark, corpus[::-1][:40] + 0.5, "neighbour_id").withColumn("label", F.lit("new"))  # ids n0000 to n0039
     fresh = make(spark, corpus[:30] * 1.01, "neighbour_id").withColumn("label", F.lit("new")).withColumn("neighbour_id", F.concat(F.lit("x"), "neighbour_id"))
-    second = first.upsert(moved.unionByName(fresh), batch=0)
-    assert second.upsert(moved, batch=0) is second  # the batch again
-    third = second.upsert(moved.filter("neighbour_id < 'n0010'").withColumn("label", F.lit("newest")), batch=1)
+    second = first.upsert(moved.unionByName(fresh), batch="s:0")
+    assert second.upsert(moved, batch="s:0") is second  # the batch again
+    third = second.upsert(moved.filter("neighbour_id < 'n0010'").withColumn("label", F.lit("newest")), batch="s:1")
     now = files(first.path)
     assert all(now[f] == t for f, t in base.items())
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ticketlake.functions.text import or_empty, strip
-from ticketlake.operators.vector import Cells, knn_exact, where_equal
+from ticketlake.operators.vector import knn_exact, where_equal
 from ticketlake.schema import HIT_FIELDS
+from ticketlake.sources.cellstore import CellStore
 
 OVERFETCH = 3
 
@@ -45,40 +46,55 @@ def distinct_hits(hits: DataFrame, top_k: int, key: str = "resolution_key") -> D
     )
 
 
+def resolution_key() -> Column:
+    return F.sha2(strip(or_empty("resolution")), 256)
+
+
 def search_rows(corpus: DataFrame, where: dict | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
     """What ``retrieve_ids`` searches; resolutions are compared by digest, so their text does not travel."""
     return where_equal(corpus, where).select(
         F.col("ticket_id").alias("neighbour_id"),
         "vector",
-        F.sha2(strip(or_empty("resolution")), 256).alias("resolution_key"),
+        resolution_key().alias("resolution_key"),
         *carry,
     )
 
 
 def retrieve_ids(
     queries: DataFrame,
-    corpus: DataFrame | Cells,
+    corpus: DataFrame | CellStore,
     top_k: int = 20,
     where: dict | None = None,
     carry: tuple[str, ...] = (),
+    n_probe: int | None = None,
 ) -> DataFrame:
     """``retrieve`` without the ticket fields: ``query_id, ticket_id, distance, *carry, rank``.
 
-    A corpus that is asked again and again is given as ``Cells`` of its ``search_rows``.
+    A corpus that is asked again and again is given as a store of its ``search_rows``, as a ``VectorIndex`` has it;
+    with ``n_probe`` only so many of its cells are asked.
     """
-    rows = corpus if isinstance(corpus, Cells) else search_rows(corpus, where, carry)
-    hits = knn_exact(queries, rows, OVERFETCH * top_k, carry=["resolution_key", *carry])
+    carry = ("resolution_key", *carry)
+    if isinstance(corpus, CellStore):
+        hits = corpus.search(queries, OVERFETCH * top_k, carry, where, n_probe)
+    else:
+        hits = knn_exact(queries, search_rows(corpus, where, carry[1:]), OVERFETCH * top_k, carry=carry)
     return distinct_hits(hits.withColumnRenamed("neighbour_id", "ticket_id"), top_k)
 
 
 def retrieve(
-    queries: DataFrame, corpus: DataFrame, top_k: int = 20, where: dict | None = None, cells: Cells | None = None
+    queries: DataFrame,
+    corpus: DataFrame,
+    top_k: int = 20,
+    where: dict | None = None,
+    index: CellStore | None = None,
+    n_probe: int | None = None,
 ) -> DataFrame:
     """Up to ``top_k`` hits per query with distinct resolutions; fewer is a valid answer.
 
-    ``cells`` are those of the corpus' ``search_rows``, where they are there already.
+    ``index`` is the store of the corpus' ``search_rows``, where there is one; else the corpus is cut for this call.
     """
-    return attach_fields(retrieve_ids(queries, corpus if cells is None else cells, top_k, where), corpus)
+    hits = retrieve_ids(queries, corpus if index is None else index, top_k, where, n_probe=n_probe)
+    return attach_fields(hits, corpus)
 
 
 def flag_relevant(hits: DataFrame, truth: DataFrame, label: str = "topic") -> DataFrame:

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from ticketlake.functions import domain
 from ticketlake.functions import text as tx
 from ticketlake.operators.clean import clean_tickets
+from ticketlake.operators.features import with_vectors
 from ticketlake.plans.profiling import ALL_COLUMNS, CLEAN_CTE, TICKET_ROWS_SQL, printable
 from ticketlake.plans.registry import TICKETS, WS_SQL, query
-from ticketlake.plans.retrieval import VECTORS, _text, vector_tickets
+from ticketlake.plans.retrieval import VECTORS, _text, stored_tickets
 from ticketlake.schema import (
     DATE_FORMAT,
     DEFAULT_BADGE,
@@ -304,7 +305,7 @@ def _(spark, d):
 )
 def _(spark, d):
     path = fresh_path(spark, "index")
-    index.build_index(load_corpus(vector_tickets(spark, d, "description", *METADATA_FIELDS)), path)
+    index.build_index(with_vectors(load_corpus(stored_tickets(spark, d))), path)
     return (
         index.open_index(spark, path)
         .withColumn("dimensions", F.size("embedding").cast("bigint"))
@@ -315,7 +316,7 @@ def _(spark, d):
 @query("index_count", VECTORS + "SELECT count(*) AS n_indexed FROM corpus")
 def _(spark, d):
     path = fresh_path(spark, "index")
-    index.build_index(load_corpus(vector_tickets(spark, d, "description", *METADATA_FIELDS)), path)
+    index.build_index(with_vectors(load_corpus(stored_tickets(spark, d))), path)
     return index.open_index(spark, path).agg(F.count("*").alias("n_indexed"))
 
 

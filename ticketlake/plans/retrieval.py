@@ -9,11 +9,20 @@ from ticketlake.functions import text as tx
 from ticketlake.operators import assemble, metrics, profile, sampling, vector
 from ticketlake.operators import rerank as rr
 from ticketlake.operators import retrieve as rt
-from ticketlake.operators.features import VECTOR_DIM, with_vectors
+from ticketlake.operators.features import VECTOR_DIM
 from ticketlake.plans.profiling import histogram_sql
 from ticketlake.plans.registry import TICKETS, WS_SQL, query, tokens_sql
-from ticketlake.schema import HUMAN_PROMPT, OPEN_STATUSES, QUERY_PREFIX, RESOLVED_STATUSES, SYSTEM_PROMPT
-from ticketlake.session import cut_lineage
+from ticketlake.schema import (
+    HUMAN_PROMPT,
+    METADATA_FIELDS,
+    OPEN_STATUSES,
+    QUERY_PREFIX,
+    RESOLVED_STATUSES,
+    SYSTEM_PROMPT,
+)
+from ticketlake.session import cut_lineage, fresh_path, kept
+from ticketlake.sources.cellstore import CellStore
+from ticketlake.sources.index import VectorIndex
 from ticketlake.sources.tables import table
 from ticketlake.sources.tickets import load_corpus, tickets
 
@@ -22,24 +31,38 @@ TICKET_COLUMNS = [
     "description", "resolution",
 ]
 
+def truth_of(df: DataFrame) -> DataFrame:
+    """``query_id, true_label``: what a relevant answer shares with the question."""
+    return df.select(F.col("ticket_id").alias("query_id"), tx.default_when_empty("sub_category", "category").alias("true_label"))
 
-def vector_tickets(spark, d, *columns: str) -> DataFrame:
-    """All tickets with their vectors as a written table, since search and scoring read it several times.
 
-    ``topic`` is what a relevant answer shares with the question: the sub-category, or else the category.
-    """
-    columns = tuple(dict.fromkeys(("doc_id", "ticket_id", "status", *(columns or TICKET_COLUMNS))))
-    needed = dict.fromkeys((*columns, "description", "category", "sub_category"))
-    rows = with_vectors(cut_lineage(tickets(spark, d, *needed), "tickets"))
-    topic = tx.default_when_empty("sub_category", "category").alias("topic")
-    return cut_lineage(rows.select(*columns, "vector", topic), "vector-tickets")
+def stored_tickets(spark, d) -> DataFrame:
+    """All tickets as a written table, once for a session and data folder."""
+    columns = dict.fromkeys([*TICKET_COLUMNS, *METADATA_FIELDS])
+    return kept(spark, "tickets", d, make=lambda: cut_lineage(tickets(spark, d, *columns), "tickets"))
+
+
+def ticket_index(spark, d) -> VectorIndex:
+    """The index of the resolved tickets, built once for a session and data folder and then opened and asked."""
+    make = lambda: VectorIndex.build(load_corpus(stored_tickets(spark, d)), fresh_path(spark, "ticket-index"))
+    return kept(spark, "ticket-index", d, make=make)
+
+
+def asked_tickets(spark, d, statuses: list[str] | None = None) -> DataFrame:
+    """Tickets as queries: ``query_id, query, vector`` of the text with the query prefix, written once."""
 
+    def make() -> DataFrame:
+        rows = stored_tickets(spark, d)
+        texts = rows.select(F.col("ticket_id").alias("query_id"), "status", tx.or_empty("description").alias("query"))
+        return ticket_index(spark, d).encode(texts)
 
-def as_queries(df: DataFrame) -> DataFrame:
-    fields = [F.col("ticket_id").alias("query_id"), "vector"]
-    if "description" in df.columns:
-        fields.append(tx.or_empty("description").alias("query"))
-    return df.select(*fields)
+    asked = kept(spark, "asked-tickets", d, make=make)
+    return (asked.filter(F.col("status").isin(statuses)) if statuses else asked).drop("status")
+
+
+def open_tickets(spark, d) -> tuple[DataFrame, DataFrame, CellStore]:
+    """Open tickets as queries, the resolved ones, and their stored index."""
+    return asked_tickets(spark, d, OPEN_STATUSES), load_corpus(stored_tickets(spark, d)), ticket_index(spark, d).store
 
 
 # SQL side: tickets with the default encoder's vectors, the searchable corpus, and exact search between two of them.
@@ -63,12 +86,20 @@ def encode_sql(name: str, texts: str, fitted: str | None = None) -> str:
     """
 
 
+def _text(value: str) -> str:
+    return "'" + value.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+
+
+# Resolved tickets with the vectors of the index, and all tickets with those of their prefixed texts as questions.
 VECTORS = (
     TICKETS
-    + encode_sql("enc", "SELECT ticket_id, description FROM tickets")
-    + """, vt AS MATERIALIZED (SELECT t.*, e.vector, coalesce(nullif(t.sub_category, ''), t.category) AS topic
+    + encode_sql("enc", "SELECT ticket_id, description FROM tickets WHERE status IN ('Closed', 'Resolved')")
+    + encode_sql("ask", f"SELECT ticket_id, {_text(QUERY_PREFIX)} || description AS description FROM tickets", fitted="enc")
+    + """, vt AS MATERIALIZED (SELECT t.*, a.vector, coalesce(nullif(t.sub_category, ''), t.category) AS topic
+      FROM tickets t JOIN ask a ON a.ticket_id = t.ticket_id),
+    corpus AS MATERIALIZED (SELECT t.*, e.vector, coalesce(nullif(t.sub_category, ''), t.category) AS topic
       FROM tickets t JOIN enc e ON e.ticket_id = t.ticket_id),
-    corpus AS (SELECT * FROM vt WHERE status IN ('Closed', 'Resolved')),
+    asking AS (SELECT * FROM vt WHERE status IN ('Closed', 'Resolved')),
     opened AS (SELECT * FROM vt WHERE status IN ('Open', 'In Progress', 'Pending'))
     """
 )
@@ -160,6 +191,17 @@ def _(spark, d):
     return both.select("method", (F.col("recall") >= 0.95).alias("enough"), "n_pairs")
 
 
+@query(
+    "index_recall",
+    """SELECT m.measure, true AS holds FROM (VALUES ('recall of 0.95'), ('a quarter of the vectors')) AS m(measure)""",
+)
+def _(spark, d):
+    """Open tickets ask the stored index approximately: what is found, and how many vectors are compared for it."""
+    asked, _corpus, index = open_tickets(spark, d)
+    recall, share = index.measured(asked, 10, index.n_probe())
+    return spark.createDataFrame([("recall of 0.95", recall >= 0.95), ("a quarter of the vectors", share <= 0.25)], "measure string, holds boolean")
+
+
 @query(
     "knn_where",
     VECTORS
@@ -168,8 +210,9 @@ def _(spark, d):
     + f"SELECT {HIT_COLUMNS_SQL} FROM h JOIN corpus c ON c.ticket_id = h.ticket_id",
 )
 def _(spark, d):
-    rows = vector_tickets(spark, d)
-    return rt.search(as_queries(rows), load_corpus(rows), 5, where={"department": "BUILDING"}).transform(with_distance)
+    _asked, corpus, index = open_tickets(spark, d)
+    hits = index.search(asked_tickets(spark, d), 5, where={"department": "BUILDING"})
+    return rt.attach_fields(hits.withColumnRenamed("neighbour_id", "ticket_id"), corpus).transform(with_distance)
 
 
 @query(
@@ -179,9 +222,9 @@ def _(spark, d):
     + f"SELECT {HIT_COLUMNS_SQL} FROM h JOIN corpus c ON c.ticket_id = h.ticket_id",
 )
 def _(spark, d):
-    rows = vector_tickets(spark, d)
-    asked = as_queries(rows.filter(F.col("status").isin(OPEN_STATUSES)))
-    return rt.search(asked, load_corpus(rows), 5).transform(with_distance)
+    asked, corpus, index = open_tickets(spark, d)
+    hits = index.search(asked, 5).withColumnRenamed("neighbour_id", "ticket_id")
+    return rt.attach_fields(hits, corpus).transform(with_distance)
 
 
 @query(
@@ -191,8 +234,8 @@ def _(spark, d):
     + f"SELECT {HIT_COLUMNS_SQL} FROM h JOIN corpus c ON c.ticket_id = h.ticket_id",
 )
 def _(spark, d):
-    rows = vector_tickets(spark, d)
-    return rt.retrieve(as_queries(rows), load_corpus(rows), 20).transform(with_distance)
+    _asked, corpus, index = open_tickets(spark, d)
+    return rt.retrieve(asked_tickets(spark, d), corpus, 20, index=index).transform(with_distance)
 
 
 @query(
@@ -202,9 +245,8 @@ def _(spark, d):
     + "SELECT query_id, rank, ticket_id, round(distance, 6) AS distance FROM h",
 )
 def _(spark, d):
-    rows = vector_tickets(spark, d, "resolution")
-    asked = as_queries(rows.filter(F.col("status").isin(OPEN_STATUSES)))
-    hits = rt.retrieve_ids(asked, load_corpus(rows), 10)
+    asked, _corpus, index = open_tickets(spark, d)
+    hits = rt.retrieve_ids(asked, index, 10)
     return hits.select("query_id", "rank", "ticket_id", F.round("distance", 6).alias("distance"))
 
 
@@ -243,10 +285,8 @@ RERANK_COLUMNS = ["query_id", "ticket_id", "retrieval_rank", "rerank_score", "ra
     + "SELECT query_id, ticket_id, retrieval_rank, rerank_score, rank FROM reranked",
 )
 def _(spark, d):
-    rows = vector_tickets(spark, d, "description", "resolution")
-    corpus = load_corpus(rows)
-    asked = as_queries(rows.filter(F.col("status").isin(OPEN_STATUSES)))
-    return rr.rerank(rt.retrieve_ids(asked, corpus, 20), asked, corpus, 5).select(*RERANK_COLUMNS)
+    asked, corpus, index = open_tickets(spark, d)
+    return rr.rerank(rt.retrieve_ids(asked, index, 20), asked, corpus, 5).select(*RERANK_COLUMNS)
 
 
 @query(
@@ -258,10 +298,8 @@ def _(spark, d):
     FROM reranked""",
 )
 def _(spark, d):
-    rows = vector_tickets(spark, d, "description", "resolution")
-    corpus = load_corpus(rows)
-    asked = as_queries(rows.filter(F.col("status").isin(OPEN_STATUSES)))
-    ranked = rr.rerank(rt.retrieve_ids(asked, corpus, 20), asked, corpus, 20)
+    asked, corpus, index = open_tickets(spark, d)
+    ranked = rr.rerank(rt.retrieve_ids(asked, index, 20), asked, corpus, 20)
     return ranked.select(
         "query_id",
         "ticket_id",
@@ -273,11 +311,6 @@ def _(spark, d):
 
 # Assembly.
 
-
-def _text(value: str) -> str:
-    return "'" + value.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
-
-
 SOURCES = (
     VECTORS
     + retrieve_sql("h", "opened", "corpus", 20)
@@ -304,10 +337,8 @@ PROMPT_SQL = (
 
 
 def open_sources(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
-    rows = vector_tickets(spark, d)
-    corpus = load_corpus(rows)
-    asked = as_queries(rows.filter(F.col("status").isin(OPEN_STATUSES)))
-    return asked, corpus, assemble.rank_sources(asked, corpus)
+    asked, corpus, index = open_tickets(spark, d)
+    return asked, corpus, assemble.rank_sources(asked, corpus, index=index)
 
 
 @query("format_context", SOURCES + CONTEXT_SQL + "SELECT query_id, n_context, context FROM context")
@@ -320,9 +351,8 @@ def _(spark, d):
 
 @query("render_prompt", SOURCES + PROMPT_SQL + f"SELECT query_id, {_text(SYSTEM_PROMPT)} AS system, prompt FROM prompts")
 def _(spark, d):
-    rows = vector_tickets(spark, d)
-    asked = as_queries(rows.filter(F.col("status").isin(OPEN_STATUSES)))
-    return assemble.resolve(asked, load_corpus(rows)).select("query_id", "system", "prompt")
+    asked, corpus, index = open_tickets(spark, d)
+    return assemble.resolve(asked, corpus, index=index).select("query_id", "system", "prompt")
 
 
 @query(
@@ -334,9 +364,8 @@ def _(spark, d):
     FROM prompts p LEFT JOIN sources s ON s.query_id = p.query_id GROUP BY p.query_id, p.prompt""",
 )
 def _(spark, d):
-    rows = vector_tickets(spark, d)
-    asked = as_queries(rows.filter(F.col("status").isin(OPEN_STATUSES)))
-    return assemble.resolve(asked, load_corpus(rows)).select(
+    asked, corpus, index = open_tickets(spark, d)
+    return assemble.resolve(asked, corpus, index=index).select(
         "query_id",
         "prompt",
         "response",
@@ -381,8 +410,8 @@ def _(spark, d):
 @query(
     "judge_samples",
     VECTORS
-    + retrieve_sql("h", "corpus", "corpus", 20)
-    + bm25_sql("h", "corpus", 5)
+    + retrieve_sql("h", "asking", "corpus", 20)
+    + bm25_sql("h", "asking", 5)
     + """, contexts AS (SELECT r.query_id, r.rank, coalesce(c.resolution, '') AS resolution
       FROM reranked r JOIN corpus c ON c.ticket_id = r.ticket_id)
     SELECT q.ticket_id AS query_id, q.description AS user_input,
@@ -393,8 +422,8 @@ def _(spark, d):
     GROUP BY q.ticket_id, q.description, q.resolution""",
 )
 def _(spark, d):
-    corpus = load_corpus(vector_tickets(spark, d))
-    answers = assemble.resolve(as_queries(corpus), corpus)
+    _asked, corpus, index = open_tickets(spark, d)
+    answers = assemble.resolve(asked_tickets(spark, d, RESOLVED_STATUSES), corpus, index=index)
     truth = corpus.select(F.col("ticket_id").alias("query_id"), F.col("resolution").alias("reference"))
     samples = assemble.judge_samples(answers, truth)
     return samples.withColumn("retrieved_contexts", F.array_join("retrieved_contexts", " | "))
@@ -414,7 +443,7 @@ def _(spark, d):
 
 FLAGS = (
     VECTORS
-    + retrieve_sql("h", "corpus", "corpus", 10)
+    + retrieve_sql("h", "asking", "corpus", 10)
     + """, flags AS (SELECT h.query_id, h.rank, h.ticket_id, cast(h.topic = q.topic AS integer) AS relevance
       FROM h JOIN corpus q ON q.ticket_id = h.query_id)
     """
@@ -430,9 +459,9 @@ FIRST_SQL = """, firsts AS (SELECT c.ticket_id AS query_id, min(f.rank) FILTER (
 
 
 def in_index_flags(spark, d) -> tuple[DataFrame, DataFrame]:
-    corpus = load_corpus(vector_tickets(spark, d, "resolution"))
-    hits = rt.retrieve_ids(as_queries(corpus), corpus, 10, carry=("topic",))
-    truth = corpus.select(F.col("ticket_id").alias("query_id"), F.col("topic").alias("true_label"))
+    _asked, corpus, index = open_tickets(spark, d)
+    hits = rt.retrieve_ids(asked_tickets(spark, d, RESOLVED_STATUSES), index, 10, carry=("topic",))
+    truth = truth_of(corpus)
     return rt.flag_relevant(hits, truth), truth
 
 
@@ -540,10 +569,14 @@ def _(spark, d):
 
 @query(
     "eval_heldout",
-    VECTORS
+    TICKETS
     + """, held AS (SELECT *, row_number() OVER (ORDER BY md5(concat(ticket_id, '-99')), ticket_id)
-      <= ceil(0.2e0 * count(*) OVER ()) AS is_test FROM corpus),
-    asked_rows AS (SELECT * FROM held WHERE is_test), index_rows AS (SELECT * FROM held WHERE NOT is_test)
+      <= ceil(0.2e0 * count(*) OVER ()) AS is_test, coalesce(nullif(sub_category, ''), category) AS topic
+      FROM tickets WHERE status IN ('Closed', 'Resolved'))"""
+    + encode_sql("enc", "SELECT ticket_id, description FROM held WHERE NOT is_test")
+    + encode_sql("ask", f"SELECT ticket_id, {_text(QUERY_PREFIX)} || description AS description FROM held WHERE is_test", fitted="enc")
+    + """, asked_rows AS (SELECT h.*, a.vector FROM held h JOIN ask a ON a.ticket_id = h.ticket_id),
+    index_rows AS (SELECT h.*, e.vector FROM held h JOIN enc e ON e.ticket_id = h.ticket_id)
     """
     + retrieve_sql("h", "asked_rows", "index_rows", 10)
     + """, flags AS (SELECT h.query_id, h.rank, cast(h.topic = q.topic AS integer) AS relevance
@@ -552,11 +585,14 @@ def _(spark, d):
     + summary_sql(),
 )
 def _(spark, d):
-    corpus = load_corpus(vector_tickets(spark, d, "resolution"))
-    held = sampling.split(corpus, 0.2, seed=99).filter("is_test").drop("is_test")
-    index = corpus.join(held.select("ticket_id"), "ticket_id", "left_anti")
-    hits = rt.retrieve_ids(as_queries(held), index, 10, carry=("topic",))
-    truth = held.select(F.col("ticket_id").alias("query_id"), F.col("topic").alias("true_label"))
+    """A fifth of the resolved tickets asks an index, and an encoder, that knows the others only."""
+    corpus = load_corpus(stored_tickets(spark, d))
+    held = cut_lineage(sampling.split(corpus, 0.2, seed=99).filter("is_test").drop("is_test"), "held-out")
+    others = cut_lineage(corpus.join(held.select("ticket_id"), "ticket_id", "left_anti"), "index-rows")
+    index = VectorIndex.build(others, fresh_path(spark, "held-out-index"))
+    asked = index.encode(held.select(F.col("ticket_id").alias("query_id"), F.col("description").alias("query")))
+    hits = rt.retrieve_ids(asked, index.store, 10, carry=("topic",))
+    truth = truth_of(held)
     return metrics.retrieval_summary(rt.flag_relevant(hits, truth), truth)
 
 
@@ -569,10 +605,8 @@ def _(spark, d):
     UNION ALL SELECT 'faithfulness', round(avg(CASE WHEN rank <= 3 THEN rerank_score / rank END), 6) FROM reranked""",
 )
 def _(spark, d):
-    rows = vector_tickets(spark, d, "description", "resolution")
-    corpus = load_corpus(rows)
-    asked = as_queries(rows.filter(F.col("status").isin(OPEN_STATUSES)))
-    ranked = rr.rerank(rt.retrieve_ids(asked, corpus, 20), asked, corpus, 5)
+    asked, corpus, index = open_tickets(spark, d)
+    ranked = rr.rerank(rt.retrieve_ids(asked, index, 20), asked, corpus, 5)
     # scores a judge could not read are NaN
     scored = ranked.select(
         F.col("rerank_score").alias("relevancy"),

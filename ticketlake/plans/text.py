@@ -31,12 +31,13 @@ from ticketlake.plans.retrieval import (
     PROMPT_SQL,
     SOURCES,
     VECTORS,
-    as_queries,
     bm25_sql,
     encode_sql,
     knn_sql,
+    open_tickets,
     retrieve_sql,
-    vector_tickets,
+    stored_tickets,
+    ticket_index,
 )
 from ticketlake.schema import MAX_TOKENS, METADATA_FIELDS, MISSING_DESCRIPTION, OPEN_STATUSES, QUERY_PREFIX
 from ticketlake.session import cut_lineage, fresh_path
@@ -288,11 +289,9 @@ def load_overlap_scorer():
     SELECT query_id, ticket_id, retrieval_rank, round(rerank_score, 6) AS rerank_score, rank FROM ranked WHERE rank <= 5""",
 )
 def _(spark, d):
-    rows = vector_tickets(spark, d, "description", "resolution")
-    corpus = load_corpus(rows)
-    asked = as_queries(rows.filter(F.col("status").isin(OPEN_STATUSES)))
+    asked, corpus, index = open_tickets(spark, d)
     scorer = hooks.pair_scorer(load_overlap_scorer)
-    best = rr.rerank(rt.retrieve_ids(asked, corpus, 20), asked, corpus, 5, scorer=scorer)
+    best = rr.rerank(rt.retrieve_ids(asked, index, 20), asked, corpus, 5, scorer=scorer)
     score = F.round("rerank_score", 6).alias("rerank_score")
     return best.select("query_id", "ticket_id", "retrieval_rank", score, "rank")
 
@@ -312,10 +311,9 @@ def load_confidence_writer():
     || ' (' || length(prompt) || ' characters)' AS response FROM prompts""",
 )
 def _(spark, d):
-    rows = vector_tickets(spark, d)
-    asked = as_queries(rows.filter(F.col("status").isin(OPEN_STATUSES)))
+    asked, corpus, index = open_tickets(spark, d)
     generate = hooks.text_generator(load_confidence_writer)
-    return assemble.resolve(asked, load_corpus(rows), generate=generate).select("query_id", "response")
+    return assemble.resolve(asked, corpus, generate=generate, index=index).select("query_id", "response")
 
 
 # Labels and predictions.
@@ -634,7 +632,9 @@ def _(spark, d):
     "resolve_requests",
     VECTORS
     + REQUESTS_SQL
-    + encode_sql("rq", "SELECT request_id AS ticket_id, description FROM parsed WHERE error IS NULL", fitted="enc")
+    + encode_sql(
+        "rq", f"SELECT request_id AS ticket_id, '{QUERY_PREFIX}' || description AS description FROM parsed WHERE error IS NULL", fitted="enc"
+    )
     + """, rqv AS (SELECT r.ticket_id, r.vector, p.description FROM rq r JOIN parsed p ON p.request_id = r.ticket_id)"""
     + retrieve_sql("h", "rqv", "corpus", 20)
     + bm25_sql("h", "rqv", 5)
@@ -646,13 +646,12 @@ def _(spark, d):
     FROM parsed p LEFT JOIN best b ON b.query_id = p.request_id GROUP BY p.request_id, p.error""",
 )
 def _(spark, d):
-    """Every request answered from the resolved tickets; the texts are encoded as the tickets were."""
-    rows = vector_tickets(spark, d)
-    encoder = HashedTfidf.fit(rows, "ticket_id", "description")
+    """Every request answered from the index of the resolved tickets, asked with the request's prefixed text."""
+    index = ticket_index(spark, d)
     asked = asked_requests(spark, d)
     texts = asked.filter("error IS NULL").select(F.col("request_id").alias("query_id"), F.col("description").alias("query"))
-    queries = cut_lineage(encoder.encode(texts, "query_id", "query").join(texts, "query_id"), "request-vectors")
-    answers = assemble.resolve(queries, load_corpus(rows)).select(
+    corpus = load_corpus(stored_tickets(spark, d))
+    answers = assemble.resolve(index.encode(texts), corpus, index=index.store).select(
         F.col("query_id").alias("request_id"),
         "response",
         F.size("sources").alias("n_sources"),

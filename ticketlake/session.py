@@ -6,7 +6,9 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 from functools import cache
+from typing import Any
 
 from pyspark.sql import SparkSession
 
@@ -69,11 +71,23 @@ def drop_folder(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+_KEPT: dict[tuple, Any] = {}
+
+
+def kept(spark: SparkSession, name: str, *of: str, make: Callable[[], Any]) -> Any:
+    """What ``make`` wrote, made once for a session, ``name`` and what it is ``of``, until ``release``."""
+    key = (spark.sparkContext.applicationId, name, *of)
+    if key not in _KEPT:
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
 def release(spark: SparkSession) -> None:
     """Drop every table that this process wrote below the shared folder.
 
     Results are read from these tables, so call it when they have been used or written elsewhere.
     """
+    _KEPT.clear()
     drop_folder(spark, f"{shared_dir(spark)}/ticketlake/{_RUN}")
 
 

@@ -23,7 +23,7 @@ SAMPLE_ROWS = 20_000  # rows, those of least hash, on which centres are trained
 TRAINING_ROUNDS = 8
 PROBES = 200  # rows, those of least hash, whose neighbours are looked up for the recall curve
 TARGET = 0.95  # recall that the number of probed cells is chosen for
-_MANIFEST = "kind string, cell int, segment int, n long, radius double, batch long, centres int"
+_MANIFEST = "kind string, cell int, segment int, n long, radius double, batch string, centres int"
 
 
 def train_centres(sample: np.ndarray, n: int, rounds: int = TRAINING_ROUNDS) -> np.ndarray:
@@ -73,7 +73,8 @@ class CellStore:
         names = [f.split()[0] for f in _MANIFEST.split(", ")]
         filled = manifest.reindex(columns=names).astype(object)
         rows = filled.where(filled.notna(), None).values.tolist()
-        typed = [(k, *(None if x is None else int(x) for x in (c, s, n)), r, *(None if x is None else int(x) for x in (b, e))) for k, c, s, n, r, b, e in rows]
+        whole = lambda x: None if x is None else int(x)
+        typed = [(kind, whole(cell), whole(segment), whole(n), radius, batch, whole(centres)) for kind, cell, segment, n, radius, batch, centres in rows]
         spark.createDataFrame(typed, _MANIFEST).coalesce(1).write.mode("overwrite").parquet(f"{path}/versions/v={version}")
         return cls(spark, path, version)
 
@@ -106,7 +107,7 @@ class CellStore:
         return cls._write_version(spark, path, version, pd.concat([head, entries], ignore_index=True))
 
     @staticmethod
-    def _write_segment(rows: DataFrame, path: str, centres: np.ndarray, segment: int, batch: int | None = None) -> pd.DataFrame:
+    def _write_segment(rows: DataFrame, path: str, centres: np.ndarray, segment: int, batch: str | None = None) -> pd.DataFrame:
         """Rows with their cells and codes, written; the manifest's entries for them."""
         spark = rows.sparkSession
         place = f"{path}/rows/segment={segment}"
@@ -129,7 +130,7 @@ class CellStore:
         sizes = stored.groupBy("cell").agg(F.count("*").alias("n"), F.max("centre_distance").alias("radius")).toPandas()
         return sizes.assign(kind="rows", segment=segment, batch=batch)
 
-    def upsert(self, updates: DataFrame, batch: int | None = None) -> CellStore:
+    def upsert(self, updates: DataFrame, batch: str | None = None) -> CellStore:
         """The next version, with the rows of ``updates`` (the corpus' columns, each id once) in place of those of the same id.
 
         Only the updates are read and written. A ``batch`` that is in this version already changes nothing.
@@ -272,13 +273,29 @@ class CellStore:
         if n_probe is None or not len(self.centres):
             return self.cells().where(where).search(queries, k, carry, block_rows)
         asked = queries.select("query_id", "vector")
-        visits = cut_lineage(_to_cells(asked, self.centres, min(n_probe, len(self.centres))).drop("centre_distance"), "visits")
-        seen = [r["cell"] for r in visits.select("cell").distinct().collect()]
-        rows = where_equal(self.rows().filter(F.col("cell").isin(seen)), where)
-        few = codes.candidates(visits, rows.select("neighbour_id", "code", "step", "lost", "cell"), self.centres, k, block_rows)
-        few = cut_lineage(few, "survivors")
+        few, rows = self._survivors(asked, k, where, n_probe, block_rows)
         pairs = few.join(rows.select("neighbour_id", "cell", "vector", *carry), ["cell", "neighbour_id"]).drop("cell")
         pairs = pairs.join(asked.withColumnRenamed("vector", "asked"), "query_id")
         nearest = Window.partitionBy("query_id").orderBy("distance", "neighbour_id")
         ranked = codes.distances(pairs).withColumn("rank", F.row_number().over(nearest)).filter(F.col("rank") <= k)
         return ranked.select("query_id", "neighbour_id", "distance", *carry, "rank")
+
+    def _survivors(
+        self, asked: DataFrame, k: int, where: dict | None, n_probe: int, block_rows: int = BLOCK_ROWS
+    ) -> tuple[DataFrame, DataFrame]:
+        """``query_id, neighbour_id, cell`` of the rows whose vectors are needed, by their codes, and the rows asked."""
+        visits = cut_lineage(_to_cells(asked, self.centres, min(n_probe, len(self.centres))).drop("centre_distance"), "visits")
+        seen = [r["cell"] for r in visits.select("cell").distinct().collect()]
+        rows = where_equal(self.rows().filter(F.col("cell").isin(seen)), where)
+        few = codes.candidates(visits, rows.select("neighbour_id", "code", "step", "lost", "cell"), self.centres, k, block_rows)
+        return cut_lineage(few, "survivors"), rows
+
+    def measured(self, queries: DataFrame, k: int, n_probe: int) -> tuple[float, float]:
+        """Recall of an approximate search, and the share of all pairs whose vectors it compares."""
+        asked = queries.select("query_id", "vector")
+        exact = self.search(asked, k).select("query_id", "neighbour_id")
+        few, _rows = self._survivors(asked, k, None, n_probe)
+        # codes lose no row of the cells that are asked, so the rows found are the true ones among the survivors
+        found = exact.join(few.select("query_id", "neighbour_id"), ["query_id", "neighbour_id"], "left_semi").count()
+        pairs = asked.count() * self.count()
+        return found / max(exact.count(), 1), few.count() / max(pairs, 1)

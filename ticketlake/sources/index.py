@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ticketlake.functions.domain import metadata_text
+from ticketlake.functions.text import default_when_empty, strip
 from ticketlake.operators.features import VECTOR_DIM, HashedTfidf
 from ticketlake.schema import METADATA_FIELDS, QUERY_PREFIX
 from ticketlake.session import cut_lineage, drop_folder, folders
@@ -50,10 +51,13 @@ class VectorIndex:
 
     @staticmethod
     def _records(df: DataFrame, encoder: HashedTfidf) -> DataFrame:
+        """Records with what searches carry: the digest of the resolution, and ``topic``, the sub-category or else the category."""
         records = to_records(df.withColumn("vector", encoder.column("description")))
+        topic = default_when_empty("sub_category", "category")
+        records = records.withColumns({"resolution_key": F.sha2(strip("resolution"), 256), "topic": topic})
         return records.withColumnsRenamed({"id": "neighbour_id", "embedding": "vector"})
 
-    def upsert(self, df: DataFrame, batch: int | None = None) -> VectorIndex:
+    def upsert(self, df: DataFrame, batch: str | None = None) -> VectorIndex:
         """The next version, with new and changed tickets, each once: whole records, encoded as the others were.
 
         The records that are there are neither read nor written. A ``batch`` that is taken in already changes nothing.
@@ -71,9 +75,10 @@ class VectorIndex:
         return cls(store, HashedTfidf(spark.read.parquet(f"{path}/encoder/set={store.centre_set}"), dim))
 
     def encode(self, queries: DataFrame, prefix: str = QUERY_PREFIX) -> DataFrame:
-        """``query_id, vector`` of each ``query``, which gets the prefix that records do not have; written once."""
-        asked = queries.select("query_id", F.concat(F.lit(prefix), "query").alias("query"))
-        return cut_lineage(self.encoder.encode(asked, "query_id", "query"), "query-vectors")
+        """``queries`` with the ``vector`` of each ``query``, which gets the prefix that records do not have; written once."""
+        asked = queries.withColumn("_asked", F.concat(F.lit(prefix), "query"))
+        vectors = asked.withColumn("vector", self.encoder.column("_asked").cast("array<float>")).drop("_asked")
+        return cut_lineage(vectors, "query-vectors")
 
     def search(
         self,
@@ -89,7 +94,7 @@ class VectorIndex:
         recall curve calls for, codes first; else all that may hold a nearer record.
         """
         n_probe = self.store.n_probe() if approximate else None
-        hits = self.store.search(self.encode(queries), top_k, fields, where, n_probe)
+        hits = self.store.search(self.encode(queries.select("query_id", "query")), top_k, fields, where, n_probe)
         return hits.withColumnRenamed("neighbour_id", "ticket_id")
 
 
