@@ -1,6 +1,7 @@
 import datetime
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -109,3 +110,42 @@ def test_quantiles_of_skewed_groups(spark):
         q1, q2, q3 = np.quantile(v, [0.25, 0.5, 0.75])
         assert medians[g] == (pytest.approx(q2), len(v))
         assert (boxes[g]["q1"], boxes[g]["q3"]) == (pytest.approx(q1), pytest.approx(q3))
+
+
+def test_no_outlier_gathers_the_values(spark):
+    """One value of 1e300 among 300,000: the ranges that are put in order stay small, and the quartiles are exact."""
+    rng = np.random.default_rng(4)
+    values = np.r_[rng.normal(50, 5, 299_990), [1e300, -1e300, 0.0, -0.0, 5e-324, -5e-324, 1.0, -1.0, 2.0, 3.0]]
+    df = spark.createDataFrame(pd.DataFrame({"g": "x", "v": values}))
+    per = profile.cut_lineage(profile._per_value(df, "g", "v"), "test-values")
+    rows = per.select("g", "n", F.col("v").alias("_v"), profile._order_keys(F.col("v")).alias("_k"))
+    keys = [r["_v"] for r in rows.orderBy("_k").select("_v").collect()]
+    assert keys == sorted(keys)
+    wanted, shift = profile._wanted_ranges(rows, "g", [0.25, 0.5, 0.75])
+    largest = max(r["_values"] for r in wanted.collect())
+    assert largest <= profile.ORDERED < 290_000 and shift < 52
+    box = profile.boxplot(df, "g", "v").first()
+    assert [box["q1"], box["median"], box["q3"]] == [pytest.approx(x, abs=1e-12) for x in np.quantile(values, [0.25, 0.5, 0.75])]
+
+
+def test_quantiles_of_all_ranges(spark):
+    """Values over the whole range of doubles, ties, and groups of one."""
+    rng = np.random.default_rng(5)
+    spread = rng.choice([-1, 1], 400) * 10.0 ** rng.uniform(-300, 300, 400)
+    groups = {"spread": spread, "ties": np.repeat([-3.5, 0.0, 7.25], [5, 1, 5]), "one": np.array([-1e-310])}
+    df = spark.createDataFrame([(g, float(x)) for g, v in groups.items() for x in v], "g string, v double")
+    for r in profile.boxplot(df, "g", "v").collect():
+        assert [r["q1"], r["median"], r["q3"]] == [pytest.approx(x, rel=1e-12) for x in np.quantile(groups[r["g"]], [0.25, 0.5, 0.75])]
+
+
+def test_dates_have_a_mean(spark):
+    days = [datetime.datetime(2024, 1, 1), datetime.datetime(2024, 1, 2), datetime.datetime(2024, 1, 2, 1)]
+    out = profile.describe_dates(spark.createDataFrame([(d,) for d in days], "d timestamp_ntz"), "d").first()
+    assert (out["mean_date"], out["p50_date"]) == ("2024-01-01 16:20:00", "2024-01-02 00:00:00")
+
+
+def test_crosstab_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(profile, "_PART_VALUES", 2)
+    df = spark.createDataFrame([(str(i % 3), str(i % 7)) for i in range(9)], "r string, c string")
+    got = {(r["r"], r["c"]): r["n"] for r in profile.crosstab_long(df, "r", "c").collect()}
+    assert len(got) == 21 and sum(got.values()) == 9 and got["0", "6"] == 1

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ticketlake.functions.text import clean_text
 from ticketlake.schema import MIN_DESCRIPTION, TEXT_FIELDS
+from ticketlake.session import cut_lineage
 
 
 def clean_columns(df: DataFrame, columns: list[str] = TEXT_FIELDS) -> DataFrame:
@@ -25,20 +26,16 @@ def drop_duplicate_text(df: DataFrame, column: str = "description", order: str =
     """One row per text: the one with the smallest ``order``, which must be unique.
 
     Only digests and order keys are grouped, with a map-side minimum, so many copies of one
-    text cost one row per task; whole rows move once, on the unique key.
+    text cost one row per task; whole rows move once, on the unique key. ``df`` is read twice.
     """
     first = df.groupBy(_digest(column).alias("digest")).agg(F.min(order).alias(order)).select(order)
     return df.join(first, order, "left_semi")
 
 
 def clean_tickets(df: DataFrame) -> DataFrame:
-    """Normalise text, drop analysis columns and short descriptions, then duplicates."""
-    return (
-        df.transform(clean_columns)
-        .drop("desc_length", "resolution_length")
-        .transform(longer_than)
-        .transform(drop_duplicate_text)
-    )
+    """Normalise text, drop analysis columns and short descriptions, then duplicates; the cleaned rows are written once."""
+    cleaned = df.transform(clean_columns).drop("desc_length", "resolution_length").transform(longer_than)
+    return cut_lineage(cleaned, "cleaned").transform(drop_duplicate_text)
 
 
 def drop_counts(df: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ Every grouped result is pre-aggregated on the map side. Exact quantiles run over
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,7 +15,9 @@ from pyspark.sql import types as T
 from ticketlake.session import cut_lineage
 
 _QUARTILES = [0.25, 0.5, 0.75]
-_STEPS = 4096
+_SHIFTS = (52, 40, 28, 16, 4, 0)  # what is left of a 64-bit key below the digits read so far
+ORDERED = 65_536  # different values that one task puts in order
+_PART_VALUES = 10_000  # column values of a cross-tabulation that meet the row values together
 
 
 def _r6(c: Column) -> Column:
@@ -94,9 +98,13 @@ def crosstab_long(df: DataFrame, rows: str, columns: str) -> DataFrame:
 
     No value becomes a column name. The zero cells are the feature: every row value meets every column value.
     """
-    counts = df.filter(F.col(rows).isNotNull() & F.col(columns).isNotNull()).groupBy(rows, columns).agg(F.count("*").alias("n"))
-    values = counts.agg(F.collect_set(columns)).scalar()  # one array of the different column values
-    cells = counts.select(rows).distinct().select(rows, F.explode(values).alias(columns))
+    present = df.filter(F.col(rows).isNotNull() & F.col(columns).isNotNull())
+    counts = cut_lineage(present.groupBy(rows, columns).agg(F.count("*").alias("n")), "cells")
+    # the column values come in parts of bounded size, and each row value meets every part
+    parts = 1 + counts.select(F.count_distinct(columns)).first()[0] // _PART_VALUES
+    heads = counts.select(columns).distinct().withColumn("_part", F.pmod(F.xxhash64(columns), F.lit(parts)).cast("int"))
+    asked = counts.select(rows).distinct().withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    cells = asked.join(heads, "_part").drop("_part")
     return cells.join(counts, [rows, columns], "left").select(rows, columns, F.coalesce("n", F.lit(0).cast("bigint")).alias("n"))
 
 
@@ -104,33 +112,62 @@ def _per_value(df: DataFrame, group: str, value: str) -> DataFrame:
     return df.filter(~_is_missing(df, value)).groupBy(group, value).agg(F.count("*").alias("n"))
 
 
+def _order_keys(values: Column) -> Column:
+    """A long for each double, in the same order: the bits of the number, the others turned round below zero."""
+
+    @F.arrow_udf("long")
+    def keys(v: pa.Array) -> pa.Array:
+        bits = v.to_numpy(zero_copy_only=False).view(np.int64)
+        return pa.array(bits ^ ((bits >> 63) & np.int64(2**63 - 1)))
+
+    return keys(values)
+
+
+def _wanted_ranges(rows: DataFrame, group: str, shares: list[float]) -> tuple[DataFrame, int]:
+    """For each wanted rank of each group, the keys among which it lies: those of one ``_prefix`` above ``shift`` bits.
+
+    ``rows(group, n, _v, _k)``. A round reads twelve more bits of the keys, of those only that still may hold a wanted
+    rank, and counts them; six rounds reach the last bit, whatever the values are. It ends when no range has more
+    than ``ORDERED`` different values.
+    """
+    places = [(F.col("_total") - 1) * F.lit(s) for s in shares]
+    ranks = F.array(*[F.struct(F.lit(i).alias("_i"), up(x).cast("long").alias("_r")) for i, x in enumerate(places) for up in (F.floor, F.ceil)])
+    totals = rows.groupBy(group).agg(F.sum("n").alias("_total"))
+    wanted = totals.select(group, "_total", F.inline(F.array_distinct(ranks)), F.lit(0).cast("long").alias("_prefix"), F.lit(0).cast("long").alias("_before"))
+    above = None
+    for shift in _SHIFTS:
+        prefix = F.lit(0).cast("long") if above is None else F.shiftright("_k", above)
+        left = rows.withColumn("_prefix", prefix)
+        if above is not None:
+            left = left.join(wanted.select(group, "_prefix").distinct(), [group, "_prefix"])
+        counts = left.groupBy(group, "_prefix", F.shiftright("_k", shift).alias("_next")).agg(
+            F.sum("n").alias("_in"), F.count("*").alias("_values")
+        )
+        inside = Window.partitionBy(group, "_prefix").orderBy("_next")  # 4,096 rows at most
+        counts = counts.withColumn("_first", F.sum("_in").over(inside) - F.col("_in"))
+        start = F.col("_before") + F.col("_first")
+        hit = (start <= F.col("_r")) & (F.col("_r") < start + F.col("_in"))
+        found = wanted.drop("_values").join(counts, [group, "_prefix"]).filter(hit)
+        found = found.select(group, "_total", "_i", "_r", F.col("_next").alias("_prefix"), start.alias("_before"), "_values")
+        wanted, above = cut_lineage(found, "ranges"), shift
+        if (wanted.agg(F.max("_values")).first()[0] or 0) <= ORDERED:
+            break
+    return wanted, above
+
+
 def _quantiles(per: DataFrame, group: str, value: str, shares: list[float]) -> DataFrame:
     """``group, q``: exact, linearly interpolated quantiles of ``per(group, value, n)``, a written table.
 
-    Values fall into equal steps between their group's least and largest one. Counts of the steps tell in which
-    ones the wanted ranks lie, and only those steps' values are put in order.
+    Only the values near the wanted ranks are put in order, ``ORDERED`` at most in one place, however they are spread.
     """
     v = F.col(value).cast("double")
-    span = per.groupBy(group).agg(F.min(v).alias("_lo"), F.max(v).alias("_hi"), F.sum("n").alias("_total"))
-    step = F.floor((v - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * _STEPS).cast("int")
-    step = F.when(F.col("_hi") > F.col("_lo"), F.least(F.lit(_STEPS - 1), step)).otherwise(0)
-    stepped = per.join(span, group).select(group, "_total", "n", v.alias("_v"), step.alias("_step"))
-    counts = stepped.groupBy(group, "_total", "_step").agg(F.sum("n").alias("_in"))
-    before = F.sum("_in").over(Window.partitionBy(group).orderBy("_step")) - F.col("_in")  # _STEPS rows at most
-    places = [(F.col("_total") - 1) * F.lit(s) for s in shares]
-    ranks = F.array(*[F.struct(F.lit(i).alias("i"), up(x).cast("long").alias("r")) for i, x in enumerate(places) for up in (F.floor, F.ceil)])
-    wanted = (
-        counts.select(group, "_total", "_step", "_in", before.alias("_before"))
-        .withColumn("_w", F.explode(F.array_distinct(ranks)))
-        .filter((F.col("_before") <= F.col("_w.r")) & (F.col("_w.r") < F.col("_before") + F.col("_in")))
-        .select(group, "_total", "_step", "_before", F.col("_w.i").alias("_i"), F.col("_w.r").alias("_r"))
-    )
-    steps = wanted.select(group, "_step", "_before").distinct()
-    inside = Window.partitionBy(group, "_step").orderBy("_v")
-    ordered = stepped.drop("_total").join(steps, [group, "_step"]).withColumn(
-        "_from", F.col("_before") + F.sum("n").over(inside) - F.col("n")
-    )
-    found = ordered.drop("_before").join(wanted, [group, "_step"]).filter(
+    rows = cut_lineage(per.select(group, "n", v.alias("_v"), _order_keys(v).alias("_k")), "ordered-values")
+    wanted, shift = _wanted_ranges(rows, group, shares)
+    ranges = wanted.select(group, "_prefix", "_before").distinct()
+    inside = Window.partitionBy(group, "_prefix").orderBy("_k")
+    ordered = rows.withColumn("_prefix", F.shiftright("_k", shift)).join(ranges, [group, "_prefix"])
+    ordered = ordered.withColumn("_from", F.col("_before") + F.sum("n").over(inside) - F.col("n")).drop("_before")
+    found = ordered.join(wanted.drop("_before", "_values"), [group, "_prefix"]).filter(
         (F.col("_from") <= F.col("_r")) & (F.col("_r") < F.col("_from") + F.col("n"))
     )
     place = (F.col("_total") - 1) * F.element_at(F.array(*[F.lit(s) for s in shares]), F.col("_i") + 1)
@@ -172,22 +209,22 @@ def describe(df: DataFrame, *columns: str) -> DataFrame:
     )
 
 
-def describe_text(df: DataFrame, *columns: str) -> DataFrame:
+def describe_text(df: DataFrame, *columns: str, digests: DataFrame | None = None) -> DataFrame:
     """Count, distinct values, the most common value and its frequency; ties by value.
 
     Digests are counted, so long texts are not shuffled; only the texts of a column's most frequent digests
-    are compared, and within a digest there is one text.
+    are compared, and within a digest there is one text. ``digests`` are those of the columns, if they are there.
     """
-    entry = F.struct(F.sha2(F.col("v"), 256).alias("d"), F.col("v"))
-    long = df.select(*columns).unpivot([], list(columns), "column_name", "v").filter(F.col("v").isNotNull())
-    long = long.select("column_name", entry.alias("e"))
-    per = long.groupBy("column_name", F.col("e.d").alias("d")).agg(F.count("*").alias("n"))
-    per = cut_lineage(per, "digests")
+    if digests is None:
+        digests = df.select(*[F.sha2(c, 256).alias(c) for c in columns])
+    long = digests.select(*columns).unpivot([], list(columns), "column_name", "d").filter(F.col("d").isNotNull())
+    per = cut_lineage(long.groupBy("column_name", "d").agg(F.count("*").alias("n")), "digests")
     stats = per.groupBy("column_name").agg(
         F.sum("n").alias("count"), F.count("*").alias("unique"), F.max("n").alias("freq")
     )
     often = per.join(stats.select("column_name", F.col("freq").alias("n")), ["column_name", "n"]).select("column_name", "d")
-    texts = long.select("column_name", F.col("e.d").alias("d"), F.col("e.v").alias("v")).join(often, ["column_name", "d"])
+    texts = df.select(*columns).unpivot([], list(columns), "column_name", "v").filter(F.col("v").isNotNull())
+    texts = texts.withColumn("d", F.sha2("v", 256)).join(often, ["column_name", "d"])
     top = texts.groupBy("column_name").agg(F.min("v").alias("top"))
     return stats.join(top, "column_name").select("column_name", "count", "unique", "top", "freq")
 
@@ -197,15 +234,21 @@ def describe_dates(df: DataFrame, *columns: str) -> DataFrame:
     seconds = [F.unix_seconds(F.col(c).cast("timestamp")).cast("double").alias(c) for c in columns]
     shown = lambda c: F.date_format(F.timestamp_seconds(F.floor(c)), "yyyy-MM-dd HH:mm:ss")
     numbers = describe(df.select(*seconds), *columns)
-    return numbers.select("column_name", "count", *(shown(c).alias(f"{c}_date") for c in ("min", "p25", "p50", "p75", "max")))
+    parts = ("mean", "min", "p25", "p50", "p75", "max")
+    return numbers.select("column_name", "count", *(shown(c).alias(f"{c}_date") for c in parts))
 
 
 def describe_all(df: DataFrame) -> DataFrame:
-    """All descriptions in one table, unfilled statistics null."""
+    """All descriptions in one table, unfilled statistics null.
+
+    Digests, numbers and dates are written once, and all passes but that for the most common texts read these.
+    """
     of = lambda *kinds: [f.name for f in df.schema if isinstance(f.dataType, kinds)]
-    texts = describe_text(df, *of(T.StringType))
-    numbers = describe(df, *of(T.NumericType))
-    dates = describe_dates(df, *of(T.TimestampNTZType, T.TimestampType, T.DateType))
+    text, number = of(T.StringType), of(T.NumericType)
+    date = of(T.TimestampNTZType, T.TimestampType, T.DateType)
+    narrow = cut_lineage(df.select(*[F.sha2(c, 256).alias(c) for c in text], *number, *date), "described")
+    texts = describe_text(df, *text, digests=narrow)
+    numbers, dates = describe(narrow, *number), describe_dates(narrow, *date)
     return texts.unionByName(numbers, allowMissingColumns=True).unionByName(dates, allowMissingColumns=True)
 
 

@@ -264,7 +264,7 @@ _TEXT_SQL = " UNION ALL ".join(
 def _dates_sql(column: str) -> str:
     seconds = f"cast(epoch({column}) AS double)"
     shown = lambda x, name: f"strftime(make_timestamp(cast(floor({x}) AS bigint) * 1000000), '%Y-%m-%d %H:%M:%S') AS {name}_date"
-    parts = [shown(f"min({seconds})", "min")]
+    parts = [shown(f"avg({seconds})", "mean"), shown(f"min({seconds})", "min")]
     parts += [shown(f"quantile_cont({seconds}, {q})", n) for q, n in ((0.25, "p25"), (0.5, "p50"), (0.75, "p75"))]
     parts.append(shown(f"max({seconds})", "max"))
     return f"SELECT '{column}' AS column_name, count({column}) AS \"count\", {', '.join(parts)} FROM tickets"
@@ -277,12 +277,12 @@ def _dates_sql(column: str) -> str:
     dates AS ({' UNION ALL '.join(_dates_sql(c) for c in DATE_COLUMNS)})
     SELECT column_name, "count", "unique", top, freq, NULL::double AS mean, NULL::double AS std, NULL::double AS min,
       NULL::double AS p25, NULL::double AS p50, NULL::double AS p75, NULL::double AS max,
-      NULL::varchar AS min_date, NULL::varchar AS p25_date, NULL::varchar AS p50_date, NULL::varchar AS p75_date,
+      NULL::varchar AS mean_date, NULL::varchar AS min_date, NULL::varchar AS p25_date, NULL::varchar AS p50_date, NULL::varchar AS p75_date,
       NULL::varchar AS max_date FROM strings
     UNION ALL SELECT column_name, "count", NULL, NULL, NULL, mean, std, min, p25, p50, p75, max,
-      NULL, NULL, NULL, NULL, NULL FROM numbers
+      NULL, NULL, NULL, NULL, NULL, NULL FROM numbers
     UNION ALL SELECT column_name, "count", NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL,
-      min_date, p25_date, p50_date, p75_date, max_date FROM dates""",
+      mean_date, min_date, p25_date, p50_date, p75_date, max_date FROM dates""",
 )
 def _(spark, d):
     return profile.describe_all(tickets(spark, d, *TEXT_COLUMNS, *NUMBER_COLUMNS, *DATE_COLUMNS))
