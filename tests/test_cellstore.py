@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ticketlake.operators import codes
 from ticketlake.operators.vector import knn_exact, recall_at_k
-from ticketlake.session import folders, fresh_path
+from ticketlake.session import cut_lineage, folders, fresh_path
 from ticketlake.sources.cellstore import CellStore, train_centres
 
 from test_vector import got, make
@@ -150,3 +150,36 @@ def test_empty_store_and_first_rows(spark, points):
     assert CellStore.open(spark, store.path).count() == 20
     with pytest.raises(ValueError):
         CellStore.open(spark, fresh_path(spark, "nothing"))
+
+
+def test_postings_follow_the_index(spark):
+    """Scores from stored postings, also after updates, equal those of the texts."""
+    from ticketlake.operators.rerank import bm25
+    from ticketlake.schema import METADATA_FIELDS
+    from ticketlake.sources.index import VectorIndex
+
+    words = "reset the router cable then restart mail client and check vpn".split()
+    rng = np.random.default_rng(3)
+
+    def tickets(ids):
+        rows = [(f"T{i}", " ".join(rng.choice(words, 6)), " ".join(rng.choice(words, rng.integers(0, 9)))) for i in ids]
+        df = spark.createDataFrame(rows, "ticket_id string, description string, resolution string")
+        for c in METADATA_FIELDS:
+            if c not in df.columns:
+                df = df.withColumn(c, F.lit(1.0) if c == "satisfaction_rating" else F.lit(c))
+        return cut_lineage(df, "tickets")
+
+    first, second, third = tickets(range(40)), tickets([*range(5, 15), 50, 51]), tickets([6, 50, 60])
+    index = VectorIndex.build(first, fresh_path(spark, "postings-index"))
+    pairs = spark.createDataFrame([(q, f"T{i}") for q in "ab" for i in range(70)], "query_id string, ticket_id string")
+    queries = spark.createDataFrame([("a", "reset the mail client"), ("b", "vpn vpn nothing")], "query_id string, query string")
+    same = lambda index, rows: sorted(index.postings.score(pairs, queries, None).collect()) == sorted(bm25(pairs, queries, rows).collect())
+    assert same(index, first)
+    now = first
+    for n, updates in enumerate((second, third)):
+        now = now.join(updates.select("ticket_id"), "ticket_id", "left_anti").unionByName(updates)
+        before, index = index, index.upsert(updates, batch=f"s:{n}")
+        assert same(VectorIndex.open(spark, index.path), now)
+        assert index.upsert(updates, batch=f"s:{n}") is index
+    assert same(before, first.join(second.select("ticket_id"), "ticket_id", "left_anti").unionByName(second))
+    assert same(index.compact(share=0.0), now)

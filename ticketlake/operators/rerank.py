@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ticketlake.functions.text import tokens
-from ticketlake.session import cut_lineage
+from ticketlake.session import cut_lineage, folders
 
 K1 = 1.2
 B = 0.75
@@ -17,21 +17,27 @@ B = 0.75
 PairScorer = Callable[[DataFrame, DataFrame, DataFrame, str], DataFrame]
 
 
-def bm25(pairs: DataFrame, queries: DataFrame, corpus: DataFrame, document_key: str = "resolution") -> DataFrame:
-    """BM25 of each pair that shares a term; statistics come from the whole corpus column.
+def document_terms(docs: DataFrame, text: str) -> DataFrame:
+    """``ticket_id, dl, term, tf`` of each text: its length in words and how often it has each of them.
 
-    ``queries(query_id, query)``. Terms stay in long form; where a join meets a hot key (a ticket in very many
-    lists, a common term), adaptive execution splits its rows. The corpus is tokenised once and written.
+    A text without words has one row, with a null term.
     """
-    docs = corpus.select("ticket_id", tokens(document_key).alias("words")).withColumn("dl", F.size("words"))
-    docs = cut_lineage(docs, "bm25-words")
-    terms = (
-        docs.select("ticket_id", "dl", F.explode("words").alias("term"))
-        .groupBy("ticket_id", "dl", "term")
-        .agg(F.count("*").alias("tf"))
-    )
-    frequency = terms.groupBy("term").agg(F.count("*").alias("df"))
-    totals = docs.agg(F.struct(F.count("*").alias("n"), F.avg("dl").alias("mean"))).scalar()
+    words = docs.select("ticket_id", tokens(text).alias("words")).select("ticket_id", F.size("words").alias("dl"), "words")
+    each = words.select("ticket_id", "dl", F.explode_outer("words").alias("term"))
+    return each.groupBy("ticket_id", "dl", "term").agg(F.count("term").alias("tf"))
+
+
+def term_statistics(terms: DataFrame) -> DataFrame:
+    """``term, df, dl`` of ``document_terms``: texts by term; the null term stands for all texts and their words."""
+    by_term = terms.filter("term IS NOT NULL").groupBy("term").agg(F.count("*").alias("df"), F.lit(0).cast("long").alias("dl"))
+    once = terms.groupBy("ticket_id").agg(F.max("dl").alias("dl"))
+    all_ = once.agg(F.lit(None).cast("string").alias("term"), F.count("*").alias("df"), F.coalesce(F.sum("dl"), F.lit(0)).alias("dl"))
+    return by_term.unionByName(all_)
+
+
+def _scores(pairs: DataFrame, queries: DataFrame, terms: DataFrame, statistics: DataFrame) -> DataFrame:
+    totals = statistics.filter("term IS NULL").agg(F.struct(F.sum("df").alias("n"), (F.sum("dl") / F.sum("df")).alias("mean"))).scalar()
+    frequency = statistics.filter("term IS NOT NULL").select("term", "df")
     asked = queries.select("query_id", F.explode(F.array_distinct(tokens("query"))).alias("term"))
     shared = pairs.select("query_id", "ticket_id").join(terms, "ticket_id").join(asked, ["query_id", "term"])
     idf = F.log1p((totals["n"] - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -43,6 +49,16 @@ def bm25(pairs: DataFrame, queries: DataFrame, corpus: DataFrame, document_key:
     )
 
 
+def bm25(pairs: DataFrame, queries: DataFrame, corpus: DataFrame, document_key: str = "resolution") -> DataFrame:
+    """BM25 of each pair that shares a term; statistics come from the whole corpus column.
+
+    ``queries(query_id, query)``. Terms stay in long form; where a join meets a hot key (a ticket in very many
+    lists, a common term), adaptive execution splits its rows. The corpus is tokenised once and written.
+    """
+    terms = cut_lineage(document_terms(corpus, document_key), "bm25-terms")
+    return _scores(pairs, queries, terms, term_statistics(terms))
+
+
 def rerank(
     candidates: DataFrame,
     queries: DataFrame,
@@ -65,3 +81,50 @@ def rerank(
         .withColumn("rank", F.row_number().over(best))
         .filter(F.col("rank") <= top_k)
     )
+
+
+class Postings:
+    """The terms of a text column and their statistics, stored in segments from ``base`` up to ``last``.
+
+    A later segment's texts replace those of the same ids. It also holds by how much it changes the statistics, so
+    these are summed and never counted anew, and neither are the texts.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, base: int, last: int):
+        self.spark, self.path = spark, path
+        found = [int(n.removeprefix("segment=")) for n in folders(spark, f"{path}/changes") if n.startswith("segment=")]
+        self.segments = sorted(n for n in found if base <= n <= last)
+
+    def _read(self, kind: str) -> DataFrame:
+        places = [f"{self.path}/{kind}/segment={n}" for n in self.segments]
+        return self.spark.read.option("basePath", f"{self.path}/{kind}").parquet(*places)
+
+    def add(self, docs: DataFrame, text: str, segment: int) -> None:
+        """Write ``docs`` (each ``ticket_id`` once) as a segment; one of that number that is there is replaced."""
+        place = f"{self.path}/terms/segment={segment}"
+        document_terms(docs, text).write.mode("overwrite").parquet(place)
+        new = self.spark.read.parquet(place)
+        changes = term_statistics(new)
+        if self.segments:
+            gone = term_statistics(self.terms().join(new.select("ticket_id").distinct(), "ticket_id", "left_semi"))
+            changes = changes.unionByName(gone.select("term", (-F.col("df")).alias("df"), (-F.col("dl")).alias("dl")))
+        changes = changes.groupBy("term").agg(F.sum("df").alias("df"), F.sum("dl").alias("dl")).filter("df <> 0 OR dl <> 0")
+        changes.write.mode("overwrite").parquet(f"{self.path}/changes/segment={segment}")
+
+    def terms(self) -> DataFrame:
+        """``document_terms`` of the texts as they are now."""
+        stored = self._read("terms")
+        if len(self.segments) > 1:
+            last = stored.groupBy("ticket_id").agg(F.max("segment").alias("segment"))
+            stored = stored.join(last, ["ticket_id", "segment"])
+        return stored.drop("segment")
+
+    def statistics(self) -> DataFrame:
+        """``term_statistics`` of the texts as they are now."""
+        return self._read("changes").groupBy("term").agg(F.sum("df").alias("df"), F.sum("dl").alias("dl")).filter("df > 0")
+
+    def score(self, pairs: DataFrame, queries: DataFrame, corpus: DataFrame, document_key: str = "resolution") -> DataFrame:
+        """``bm25`` from what is stored; neither the corpus nor its column is read. The terms of the candidates only are."""
+        wanted = pairs.select("ticket_id").distinct()
+        terms = self.terms().filter("term IS NOT NULL").join(wanted, "ticket_id", "left_semi")
+        return _scores(pairs, queries, terms, self.statistics())

@@ -60,6 +60,10 @@ def asked_tickets(spark, d, statuses: list[str] | None = None) -> DataFrame:
     return (asked.filter(F.col("status").isin(statuses)) if statuses else asked).drop("status")
 
 
+def stored_scorer(spark, d) -> rr.PairScorer:
+    return ticket_index(spark, d).postings.score
+
+
 def open_tickets(spark, d) -> tuple[DataFrame, DataFrame, CellStore]:
     """Open tickets as queries, the resolved ones, and their stored index."""
     return asked_tickets(spark, d, OPEN_STATUSES), load_corpus(stored_tickets(spark, d)), ticket_index(spark, d).store
@@ -286,7 +290,7 @@ RERANK_COLUMNS = ["query_id", "ticket_id", "retrieval_rank", "rerank_score", "ra
 )
 def _(spark, d):
     asked, corpus, index = open_tickets(spark, d)
-    return rr.rerank(rt.retrieve_ids(asked, index, 20), asked, corpus, 5).select(*RERANK_COLUMNS)
+    return rr.rerank(rt.retrieve_ids(asked, index, 20), asked, corpus, 5, scorer=stored_scorer(spark, d)).select(*RERANK_COLUMNS)
 
 
 @query(
@@ -299,7 +303,7 @@ def _(spark, d):
 )
 def _(spark, d):
     asked, corpus, index = open_tickets(spark, d)
-    ranked = rr.rerank(rt.retrieve_ids(asked, index, 20), asked, corpus, 20)
+    ranked = rr.rerank(rt.retrieve_ids(asked, index, 20), asked, corpus, 20, scorer=stored_scorer(spark, d))
     return ranked.select(
         "query_id",
         "ticket_id",
@@ -338,7 +342,7 @@ PROMPT_SQL = (
 
 def open_sources(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
     asked, corpus, index = open_tickets(spark, d)
-    return asked, corpus, assemble.rank_sources(asked, corpus, index=index)
+    return asked, corpus, assemble.rank_sources(asked, corpus, index=index, scorer=stored_scorer(spark, d))
 
 
 @query("format_context", SOURCES + CONTEXT_SQL + "SELECT query_id, n_context, context FROM context")
@@ -352,7 +356,7 @@ def _(spark, d):
 @query("render_prompt", SOURCES + PROMPT_SQL + f"SELECT query_id, {_text(SYSTEM_PROMPT)} AS system, prompt FROM prompts")
 def _(spark, d):
     asked, corpus, index = open_tickets(spark, d)
-    return assemble.resolve(asked, corpus, index=index).select("query_id", "system", "prompt")
+    return assemble.resolve(asked, corpus, index=index, scorer=stored_scorer(spark, d)).select("query_id", "system", "prompt")
 
 
 @query(
@@ -365,7 +369,7 @@ def _(spark, d):
 )
 def _(spark, d):
     asked, corpus, index = open_tickets(spark, d)
-    return assemble.resolve(asked, corpus, index=index).select(
+    return assemble.resolve(asked, corpus, index=index, scorer=stored_scorer(spark, d)).select(
         "query_id",
         "prompt",
         "response",
@@ -423,7 +427,7 @@ def _(spark, d):
 )
 def _(spark, d):
     _asked, corpus, index = open_tickets(spark, d)
-    answers = assemble.resolve(asked_tickets(spark, d, RESOLVED_STATUSES), corpus, index=index)
+    answers = assemble.resolve(asked_tickets(spark, d, RESOLVED_STATUSES), corpus, index=index, scorer=stored_scorer(spark, d))
     truth = corpus.select(F.col("ticket_id").alias("query_id"), F.col("resolution").alias("reference"))
     samples = assemble.judge_samples(answers, truth)
     return samples.withColumn("retrieved_contexts", F.array_join("retrieved_contexts", " | "))
@@ -606,7 +610,7 @@ def _(spark, d):
 )
 def _(spark, d):
     asked, corpus, index = open_tickets(spark, d)
-    ranked = rr.rerank(rt.retrieve_ids(asked, index, 20), asked, corpus, 5)
+    ranked = rr.rerank(rt.retrieve_ids(asked, index, 20), asked, corpus, 5, scorer=stored_scorer(spark, d))
     # scores a judge could not read are NaN
     scored = ranked.select(
         F.col("rerank_score").alias("relevancy"),

@@ -651,7 +651,7 @@ def _(spark, d):
     asked = asked_requests(spark, d)
     texts = asked.filter("error IS NULL").select(F.col("request_id").alias("query_id"), F.col("description").alias("query"))
     corpus = load_corpus(stored_tickets(spark, d))
-    answers = assemble.resolve(index.encode(texts), corpus, index=index.store).select(
+    answers = assemble.resolve(index.encode(texts), corpus, index=index.store, scorer=index.postings.score).select(
         F.col("query_id").alias("request_id"),
         "response",
         F.size("sources").alias("n_sources"),

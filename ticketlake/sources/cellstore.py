@@ -130,12 +130,15 @@ class CellStore:
         sizes = stored.groupBy("cell").agg(F.count("*").alias("n"), F.max("centre_distance").alias("radius")).toPandas()
         return sizes.assign(kind="rows", segment=segment, batch=batch)
 
+    def has(self, batch: str | None) -> bool:
+        return batch is not None and bool((self.manifest["batch"] == batch).any())
+
     def upsert(self, updates: DataFrame, batch: str | None = None) -> CellStore:
         """The next version, with the rows of ``updates`` (the corpus' columns, each id once) in place of those of the same id.
 
         Only the updates are read and written. A ``batch`` that is in this version already changes nothing.
         """
-        if batch is not None and (self.manifest["batch"] == batch).any():
+        if self.has(batch):
             return self
         if not len(self.centres):
             return CellStore.build(updates, self.path)

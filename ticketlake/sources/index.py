@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ticketlake.functions.domain import metadata_text
 from ticketlake.functions.text import default_when_empty, strip
 from ticketlake.operators.features import VECTOR_DIM, HashedTfidf
+from ticketlake.operators.rerank import Postings
 from ticketlake.schema import METADATA_FIELDS, QUERY_PREFIX
 from ticketlake.session import cut_lineage, drop_folder, folders
 from ticketlake.sources.cellstore import CellStore
@@ -38,16 +39,26 @@ class VectorIndex:
     ``search`` and ``upsert`` work on the version that was opened; each change gives the next one.
     """
 
-    def __init__(self, store: CellStore, encoder: HashedTfidf):
-        self.store, self.encoder = store, encoder
+    def __init__(self, store: CellStore, encoder: HashedTfidf, path: str):
+        self.store, self.encoder, self.path = store, encoder, path
+
+    @property
+    def postings(self) -> Postings:
+        """Terms of the resolutions, for reranking: ``postings.score``."""
+        return Postings(self.store.spark, f"{self.path}/postings", self.store.centre_set, self.store.version)
 
     @classmethod
     def build(cls, df: DataFrame, path: str, dim: int = VECTOR_DIM) -> VectorIndex:
         """From tickets, a written table; an index that is already there gets a new version of everything."""
         encoder = HashedTfidf.fit(df, "ticket_id", "description", dim)
         records = cut_lineage(cls._records(df, encoder), "records")
-        store = CellStore.build(records, f"{path}/cells", before_publishing=lambda v: encoder.frequencies.write.mode("overwrite").parquet(f"{path}/encoder/set={v}"))
-        return cls(store, encoder)
+
+        def rest(version: int) -> None:
+            encoder.frequencies.write.mode("overwrite").parquet(f"{path}/encoder/set={version}")
+            documents = records.select(F.col("neighbour_id").alias("ticket_id"), "resolution")
+            Postings(df.sparkSession, f"{path}/postings", version, version - 1).add(documents, "resolution", version)
+
+        return cls(CellStore.build(records, f"{path}/cells", before_publishing=rest), encoder, path)
 
     @staticmethod
     def _records(df: DataFrame, encoder: HashedTfidf) -> DataFrame:
@@ -62,17 +73,22 @@ class VectorIndex:
 
         The records that are there are neither read nor written. A ``batch`` that is taken in already changes nothing.
         """
-        return VectorIndex(self.store.upsert(self._records(df, self.encoder), batch), self.encoder)
+        if self.store.has(batch):
+            return self
+        records = cut_lineage(self._records(df, self.encoder), "records")
+        documents = records.select(F.col("neighbour_id").alias("ticket_id"), "resolution")
+        self.postings.add(documents, "resolution", self.store.version + 1)  # counts once the version is there
+        return VectorIndex(self.store.upsert(records, batch), self.encoder, self.path)
 
     def compact(self, share: float = 0.25) -> VectorIndex:
         """The next version, with the cells written anew that updates have touched most."""
-        return VectorIndex(self.store.compact(share), self.encoder)
+        return VectorIndex(self.store.compact(share), self.encoder, self.path)
 
     @classmethod
     def open(cls, spark: SparkSession, path: str, dim: int = VECTOR_DIM) -> VectorIndex:
         """The last version."""
         store = CellStore.open(spark, f"{path}/cells")
-        return cls(store, HashedTfidf(spark.read.parquet(f"{path}/encoder/set={store.centre_set}"), dim))
+        return cls(store, HashedTfidf(spark.read.parquet(f"{path}/encoder/set={store.centre_set}"), dim), path)
 
     def encode(self, queries: DataFrame, prefix: str = QUERY_PREFIX) -> DataFrame:
         """``queries`` with the ``vector`` of each ``query``, which gets the prefix that records do not have; written once."""
