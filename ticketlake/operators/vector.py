@@ -49,9 +49,14 @@ def _without_spare_copies(corpus: pd.DataFrame, k: int) -> pd.DataFrame:
     return corpus[copies.groupby(copies).cumcount() < k]
 
 
-def _nearest_rows(q: np.ndarray, c: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row of ``q``, row of ``c`` and distance of the k nearest; equal distances in the order of ``c``."""
-    bound = np.full(len(q), np.inf)  # no more than k rows can be nearer than this
+def _nearest_rows(
+    q: np.ndarray, c: np.ndarray, k: int, reach: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row of ``q``, row of ``c`` and distance of the k nearest; equal distances in the order of ``c``.
+
+    Rows beyond ``reach``, if it is given, are not wanted.
+    """
+    bound = np.full(len(q), np.inf) if reach is None else reach  # no more than k rows can be nearer than this
     slack = _SLACK * (1.0 + (q * q).sum(1) + (c * c).sum(1).max())
     near = []
     for start in range(0, len(c), TILE_ROWS):
@@ -63,8 +68,8 @@ def _nearest_rows(q: np.ndarray, c: np.ndarray, k: int) -> tuple[np.ndarray, np.
         near.append((row, col + start))
     row, col = (np.concatenate(side) for side in zip(*near))
     distance = np.zeros(len(row))
-    for i in range(q.shape[1]):
-        step = q[row, i] - c[col, i]
+    for x, y in zip(np.ascontiguousarray(q.T), np.ascontiguousarray(c.T), strict=True):
+        step = x[row] - y[col]
         distance += step * step
     order = np.lexsort((col, distance, row))
     row, col, distance = row[order], col[order], distance[order]
@@ -81,7 +86,8 @@ def _top_k_of_block(k: int, carry: list[str]):
 
     def step(queries: pd.DataFrame, held: tuple[pd.DataFrame, np.ndarray]) -> pd.DataFrame:
         corpus, c = held
-        row, col, distance = _nearest_rows(_matrix(queries["vector"]), c, k)
+        reach = queries["reach"].to_numpy() if "reach" in queries.columns else None
+        row, col, distance = _nearest_rows(_matrix(queries["vector"]), c, k, reach)
         out = {
             "query_id": queries["query_id"].to_numpy()[row],
             "neighbour_id": corpus["neighbour_id"].to_numpy()[col],
@@ -101,17 +107,18 @@ def stream_blocks(visits: DataFrame, corpus: DataFrame, block_rows: int, block,
 
     ``visits(query_id, vector, cell)``; a corpus row lies in one block and is moved once, however many queries
     there are. A task holds one block, and its visitors come past in batches, ``TILE_ROWS`` at a time. All columns of
-    the rows reach ``block`` as a frame, ``query_id`` and ``vector`` of the visitors reach ``step``.
+    the rows reach ``block`` as a frame, all of the visitors reach ``step``.
     """
     sizes = corpus.groupBy("cell").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("parts"))
     grid = sizes.join(visits.select("cell").distinct(), "cell")  # one row per visited cell
+    asked = [c for c in visits.columns if c != "cell"]
     left = visits.join(grid, "cell").select(
-        "cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("asks"), "query_id", "vector"
+        "cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("asks"), *asked
     )
     part = F.pmod(F.xxhash64("neighbour_id"), F.col("parts")).cast("int").alias("part")
     own = [c for c in corpus.columns if c != "cell"]
     right = corpus.join(grid, "cell").select("cell", part, F.lit(False).alias("asks"), *own)
-    both = right.unionByName(left, allowMissingColumns=True).select("cell", "part", "asks", "query_id", *dict.fromkeys([*own, "vector"]))
+    both = right.unionByName(left, allowMissingColumns=True).select("cell", "part", "asks", *dict.fromkeys([*asked, *own]))
     both = both.repartition("cell", "part").sortWithinPartitions("cell", "part", "asks")
 
     fields = to_arrow_schema(_parse_datatype_string(schema))
@@ -131,7 +138,7 @@ def stream_blocks(visits: DataFrame, corpus: DataFrame, block_rows: int, block,
                 if held is None and rows:
                     held, rows = block(_frame(pa.Table.from_batches(rows))), []
                 for tile in range(0, some.num_rows, TILE_ROWS) if held is not None else ():
-                    found = step(_frame(some.slice(tile, TILE_ROWS).select(["query_id", "vector"])), held)
+                    found = step(_frame(some.slice(tile, TILE_ROWS).select(asked)), held)
                     yield pa.RecordBatch.from_pandas(found, fields, preserve_index=False)
 
     return both.mapInArrow(run, schema)
@@ -147,7 +154,8 @@ def _search(visits: DataFrame, corpus: DataFrame, k: int, carry: list[str], bloc
     }
     schema = ", ".join(f"`{c}` {t}" for c, t in types.items())
     rows = corpus.select("neighbour_id", "vector", "cell", *carry)
-    return stream_blocks(visits.select("query_id", "vector", "cell"), rows, block_rows, *_top_k_of_block(k, carry), schema)
+    asked = [c for c in ("query_id", "vector", "reach", "cell") if c in visits.columns]
+    return stream_blocks(visits.select(*asked), rows, block_rows, *_top_k_of_block(k, carry), schema)
 
 
 def _keep_k(found: DataFrame, k: int) -> DataFrame:
@@ -251,7 +259,7 @@ class Cells:
 
         Each query first visits the nearest cells that hold k rows between them; the k-th distance found there
         and the triangle inequality then name the cells that can still hold a nearer row, and only those are
-        visited as well.
+        visited as well, and only rows within that distance compared.
         """
         carry = list(carry)
         queries = queries.select("query_id", "vector")
@@ -274,13 +282,7 @@ class Cells:
 
         def visits(pdf: pd.DataFrame, mask: np.ndarray) -> pd.DataFrame:
             row, cell = np.nonzero(mask)
-            return pd.DataFrame(
-                {
-                    "query_id": pdf["query_id"].to_numpy()[row],
-                    "vector": pdf["vector"].to_numpy()[row],
-                    "cell": cell.astype(np.int32),
-                }
-            )
+            return pd.DataFrame({c: pdf[c].to_numpy()[row] for c in pdf.columns} | {"cell": cell.astype(np.int32)})
 
         def first_round(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
@@ -309,7 +311,7 @@ class Cells:
         reach = F.when(F.count("*") >= k, F.max("distance")).otherwise(F.lit(float("inf"))).alias("reach")
         known = queries.join(found.groupBy("query_id").agg(reach), "query_id", "left")
         known = known.withColumn("reach", F.coalesce("reach", F.lit(float("inf"))))
-        more = known.mapInPandas(second_round, visit_schema)
+        more = known.mapInPandas(second_round, known.schema.simpleString()[len("struct<") : -1] + ", cell int")
         return _keep_k(found.unionByName(_search(*visited(more), k, carry, block_rows)), k)
 
 

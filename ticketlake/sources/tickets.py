@@ -22,7 +22,8 @@ def tickets(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     The two optional joins are left joins on unique keys, so leaving them out when none of
     their columns is asked for changes no row.
     """
-    docs = table(spark, sf_dir, "documents")
+    # dealt by the key that the first join needs anyway; a file of one row group would be one task to the end
+    docs = table(spark, sf_dir, "documents").repartition("doc_id")
     orders = table(spark, sf_dir, "orders")
     customer = table(spark, sf_dir, "customer")
     passages = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("passage"))
