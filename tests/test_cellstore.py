@@ -79,7 +79,7 @@ def test_probes_come_from_the_measured_curve(spark, points):
     n_probe = store.tune()
     curve = store.recall_curve()
     assert (curve["recall"].diff().dropna() >= 0).all() and curve["recall"].iloc[-1] == 1
-    assert curve.loc[n_probe - 1, "recall"] >= 0.95 and (n_probe == 1 or curve.loc[n_probe - 2, "recall"] < 0.95)
+    assert curve.loc[n_probe - 1, "sure"] >= 0.95 and (n_probe == 1 or curve.loc[n_probe - 2, "sure"] < 0.95)
     assert curve.loc[n_probe - 1, "rows"] <= 0.3
     again = CellStore.open(spark, store.path)
     assert again.n_probe() == n_probe

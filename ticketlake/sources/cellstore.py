@@ -219,7 +219,7 @@ class CellStore:
     def recall_curve(self, k: int = 10) -> pd.DataFrame:
         """For each number of probed cells, which share of the true neighbours they hold (``recall``) and of the rows (``rows``).
 
-        Measured on ``PROBES`` rows of the corpus, each asked without itself.
+        ``sure`` is two standard errors below ``recall``, as other queries will not be those that were measured. Measured on ``PROBES`` rows of the corpus, each asked without itself.
         """
         rows = self.rows()
         asked = rows.orderBy(F.xxhash64("neighbour_id"), "neighbour_id").limit(PROBES)
@@ -230,7 +230,7 @@ class CellStore:
         hits = hits.filter("query_id <> neighbour_id").toPandas()
         probes = asked.toPandas().set_index("query_id")["vector"]
         if not len(hits):
-            return pd.DataFrame({"n_probe": [1], "recall": [1.0], "rows": [1.0]})
+            return pd.DataFrame({"n_probe": [1], "recall": [1.0], "sure": [1.0], "rows": [1.0]})
         order = np.argsort(_squared_distances(_matrix(probes), self.centres), axis=1, kind="stable")
         rank = np.empty_like(order)
         np.put_along_axis(rank, order, np.arange(order.shape[1])[None, :], axis=1)
@@ -238,14 +238,16 @@ class CellStore:
         at = rank[place[hits["query_id"]].to_numpy(), hits["at"].to_numpy()]
         share = cells.n_in_cell / max(cells.n_in_cell.sum(), 1)
         probed = np.arange(1, len(self.centres) + 1)
-        recall = [(at < p).mean() for p in probed]
+        each = pd.DataFrame(at[:, None] < probed[None, :]).groupby(hits["query_id"].to_numpy()).mean()
+        recall = each.mean().to_numpy()
+        sure = recall - 2 * each.std(ddof=0).to_numpy() / np.sqrt(len(each))
         seen = [np.take(share, order[:, :p]).sum(1).mean() for p in probed]
-        return pd.DataFrame({"n_probe": probed, "recall": recall, "rows": seen})
+        return pd.DataFrame({"n_probe": probed, "recall": recall, "sure": sure, "rows": seen})
 
     def tune(self, k: int = 10, target: float = TARGET) -> int:
-        """The least number of probed cells whose measured recall reaches ``target``; kept beside this version."""
+        """The least number of probed cells that surely reach ``target``; the curve is kept beside this version."""
         curve = self.recall_curve(k)
-        enough = curve.loc[curve["recall"] >= target, "n_probe"]
+        enough = curve.loc[curve["sure"] >= target, "n_probe"]
         n_probe = int(enough.iloc[0]) if len(enough) else int(curve["n_probe"].iloc[-1])
         self.spark.createDataFrame(curve).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/curves/set={self.centre_set}")
         return n_probe
@@ -255,7 +257,7 @@ class CellStore:
         if f"set={self.centre_set}" not in folders(self.spark, f"{self.path}/curves"):
             return self.tune(target=target)
         curve = self.spark.read.parquet(f"{self.path}/curves/set={self.centre_set}").toPandas().sort_values("n_probe")
-        enough = curve.loc[curve["recall"] >= target, "n_probe"]
+        enough = curve.loc[curve["sure"] >= target, "n_probe"]
         return int(enough.iloc[0]) if len(enough) else int(curve["n_probe"].iloc[-1])
 
     def search(
