@@ -1,12 +1,16 @@
+import itertools
+from collections import Counter
+
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ticketlake.functions import domain
 from ticketlake.functions import text as tx
+from ticketlake.operators import features
 from ticketlake.operators.features import (
     HashedTfidf,
     TfidfVocabulary,
-    term_counts,
-    tfidf,
+    term_totals,
     vocabulary,
     with_vectors,
 )
@@ -78,24 +82,54 @@ DOCS = [("a", "apple pie apple"), ("b", "pie and cake"), ("c", "?"), ("d", "pie"
 
 def test_vocabulary_ties_and_weights(spark):
     df = spark.createDataFrame(DOCS, "id string, t string")
-    counts = term_counts(df, "id", "t")
-    assert {(r["term"], r["total"], r["df"]) for r in vocabulary(counts, 3).collect()} == {
+    totals = term_totals(df, "t")
+    assert {(r["term"], r["total"], r["df"]) for r in vocabulary(totals, 3).collect()} == {
         ("pie", 3, 3),
         ("apple", 2, 1),
         ("and", 1, 1),
     }
-    terms = vocabulary(counts, 3).select("term", F.lit(1.0).alias("idf"))
-    norms = tfidf(term_counts(df, "id", "t", terms), "id").groupBy("id").agg(F.sum(F.col("weight") ** 2).alias("n")).collect()
+    norms = TfidfVocabulary.fit(df, "t", 3).weights(df, "id", "t").groupBy("id").agg(F.sum(F.col("weight") ** 2).alias("n")).collect()
     assert {r["id"] for r in norms} == {"a", "b", "d"}
     assert all(abs(r["n"] - 1) < 1e-12 for r in norms)
 
 
-def test_vectors_keep_documents_without_terms(spark):
+def tx_words(text):
+    return [w for w in (text or "").replace("?", " ").split() if len(w) > 1]
+
+
+def test_counting_by_runs_of_texts_equals_counting_by_hand(spark, monkeypatch):
+    texts = ["", None, "ab cd ab cd ab", "cd", "ab " * 9, "?", "ef ab cd ef", "x y"]  # one-letter words are none
+    words = [tx_words(t) for t in texts]
+    expected = [Counter(w + [" ".join(p) for p in itertools.pairwise(w)]) for w in words]
+    for at_once in (1, 4, 1000):
+        monkeypatch.setattr(features, "WORDS_AT_ONCE", at_once)
+        found = [Counter() for _ in texts]
+        for first, terms, row, term, tf in features.term_cells(pa.array([w or None for w in words], pa.list_(pa.string()))):
+            for r, t, n in zip(row, term, tf, strict=True):
+                found[first + r][terms[int(t)].as_py()] += int(n)
+        assert found == expected
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    totals = {r["term"]: (r["total"], r["df"]) for r in term_totals(df, "t").collect()}
+    assert totals == {t: (sum(c[t] for c in expected), sum(t in c for c in expected)) for t in set().union(*expected)}
+    assert term_totals(df.filter("false"), "t").count() == 0
+
+
+def test_texts_are_not_shuffled_for_terms(spark):
     df = spark.createDataFrame(DOCS, "id string, t string")
-    words = TfidfVocabulary.fit(df, "id", "t", 4)
-    vectors = {r["id"]: r["features"] for r in words.vectors(df, "id", "t").collect()}
-    assert words.size == 4 and len(vectors) == 4
-    assert vectors["c"].numNonzeros() == 0 and abs(vectors["a"].norm(2) - 1) < 1e-12
+    plan = term_totals(df, "t")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "hashpartitioning(term" in plan
+    words = TfidfVocabulary.fit(df, "t", 4)
+    assert "Exchange" not in df.select(words.column("t"))._jdf.queryExecution().executedPlan().toString()
+
+
+def test_vectors_keep_documents_without_terms(spark):
+    df = spark.createDataFrame([*DOCS, ("e", None), ("a", "pie")], "id string, t string")  # an id may repeat
+    words = TfidfVocabulary.fit(df, "t", 4)
+    vectors = [(r["id"], r["features"]) for r in words.vectors(df, "t").collect()]
+    assert words.size == 4 and sorted(i for i, _ in vectors) == ["a", "a", "b", "c", "d", "e"]
+    assert all(abs(v.norm(2) - (i not in "ce")) < 1e-12 for i, v in vectors)
+    assert sorted(v.numNonzeros() for i, v in vectors if i == "a") == [1, 2]  # pie, apple; pie
+    assert words.vectors(df.filter("false"), "t").count() == 0
 
 
 def test_default_encoder(spark):

@@ -38,7 +38,6 @@ class TicketClassifier:
         cls,
         train: DataFrame,
         label: str,
-        key: str = "ticket_id",
         text: str = "description",
         c: float = 1.0,
         max_iter: int = 1000,
@@ -52,8 +51,8 @@ class TicketClassifier:
         Every iteration is a job, so few rows should not be cut into many tasks: tasks hold ``rows_per_task``.
         """
         if features is None:
-            words = words or TfidfVocabulary.fit(train, key, text)
-            features = words.vectors(train.select(key, text, label), key, text)
+            words = words or TfidfVocabulary.fit(train, text)
+            features = words.vectors(train.select(text, label), text)
         rows = features.select("features", F.col(label).alias("truth"))
         n_rows = rows.count()
         rows = rows.coalesce(-(-n_rows // rows_per_task) or 1)
@@ -92,8 +91,8 @@ class TicketClassifier:
             .drop("rawPrediction", "probability", "prediction", "_probabilities")
         )
 
-    def predict(self, df: DataFrame, prefix: str, key: str = "ticket_id", text: str = "description") -> DataFrame:
-        return self.score(self.words.vectors(df, key, text), prefix).drop("features")
+    def predict(self, df: DataFrame, prefix: str, text: str = "description") -> DataFrame:
+        return self.score(self.words.vectors(df, text), prefix).drop("features")
 
     def save(self, path: str) -> None:
         self.words.terms.write.mode("overwrite").parquet(f"{path}/vocabulary")

@@ -1,4 +1,4 @@
-"""TF-IDF features in long form: one row per document and term."""
+"""TF-IDF features, made row by row where the texts are."""
 
 from __future__ import annotations
 
@@ -9,61 +9,71 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ticketlake.functions.text import ngrams, tokens
+from ticketlake.functions.text import tokens
 from ticketlake.schema import VOCABULARY_SIZE
 from ticketlake.session import cut_lineage, fresh_path
 
 
-def term_rows(words: DataFrame, key: str, pairs: bool = True) -> DataFrame:
-    """``key, term``: a row for each word and, with ``pairs``, for each two neighbouring words.
-
-    ``explode_outer`` keeps the optimizer from building the terms a second time just to skip empty texts.
-    """
-    terms = ngrams("words") if pairs else F.col("words")
-    return words.select(key, F.explode_outer(terms).alias("term")).filter(F.col("term").isNotNull())
+WORDS_AT_ONCE = 1 << 20
 
 
-def term_counts(df: DataFrame, key: str, text: str, terms: DataFrame | None = None) -> DataFrame:
-    """``key, term, tf`` of all terms, or ``key, *terms, tf`` of those in a vocabulary.
+def term_cells(words: pa.ListArray) -> Iterator[tuple[int, pa.Array, np.ndarray, np.ndarray, np.ndarray]]:
+    """Terms of texts given as word lists: each word and each pair of neighbours, counted within their text.
 
-    Whole texts are spread by key once, and every later step per document stays where it is. A vocabulary has
-    a bounded size, which is why it is broadcast; other terms are gone before anything is counted.
+    Yields ``first, terms, row, term, tf`` for runs of texts that begin at ``first`` and hold about
+    ``WORDS_AT_ONCE`` words (one longer text is a run of its own): the run's different terms, and a cell for
+    each text and term, in that order. A null list has no words.
     """
-    words = df.select(key, text).repartition(key).select(key, tokens(text).alias("words"))
-    rows = term_rows(words, key)
-    if terms is not None:
-        rows = rows.join(F.broadcast(terms), "term")
-    return rows.groupBy(key, *(terms.columns if terms is not None else ["term"])).agg(F.count("*").alias("tf"))
+    sizes = words.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = sizes.cumsum()
+    first = 0
+    while first < len(words):
+        before = ends[first] - sizes[first]
+        last = max(first + 1, int(np.searchsorted(ends, before + WORDS_AT_ONCE, "right")))
+        coded = words.slice(first, last - first).flatten().dictionary_encode()
+        n, names = len(coded.dictionary), coded.dictionary
+        code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        row = np.repeat(np.arange(last - first), sizes[first:last])
+        inside = row[1:] == row[:-1]
+        pairs, pair = np.unique((code[:-1] * n + code[1:])[inside], return_inverse=True)
+        joined = pc.binary_join_element_wise(names.take(pa.array(pairs // max(n, 1))), names.take(pa.array(pairs % max(n, 1))), " ")
+        terms = pa.concat_arrays([names, joined])
+        cells = np.concatenate([row, row[1:][inside]]) * len(terms) + np.concatenate([code, pair + n])
+        cells, tf = np.unique(cells, return_counts=True)
+        yield first, terms, cells // max(len(terms), 1), cells % max(len(terms), 1), tf
+        first = last
+
+
+def term_totals(df: DataFrame, text: str) -> DataFrame:
+    """``term, total, df`` of every term: how often it occurs and in how many rows.
+
+    Texts are counted where they are and merged by term; neither texts nor counts by row are shuffled.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _first, terms, _row, term, tf in term_cells(batch.column(0)):
+                total = np.bincount(term, weights=tf, minlength=len(terms)).astype(np.int64)
+                used = np.bincount(term, minlength=len(terms))
+                yield pa.record_batch([terms, pa.array(total), pa.array(used)], ["term", "total", "df"])
+
+    counted = df.select(tokens(text).alias("words")).mapInArrow(count, "term string, total long, df long")
+    return counted.groupBy("term").agg(F.sum("total").alias("total"), F.sum("df").alias("df"))
 
 
 def smooth_idf(n: Column, df: Column) -> Column:
     return F.log((n + 1.0) / (df + 1.0)) + 1.0
 
 
-def vocabulary(counts: DataFrame, size: int = VOCABULARY_SIZE) -> DataFrame:
+def vocabulary(totals: DataFrame, size: int = VOCABULARY_SIZE) -> DataFrame:
     """The ``size`` most frequent terms with total and document counts; ties by term."""
-    return (
-        counts.groupBy("term")
-        .agg(F.sum("tf").alias("total"), F.count("*").alias("df"))
-        .orderBy(F.desc("total"), "term")
-        .limit(size)
-    )
-
-
-def _unit_length(weights: DataFrame, key: str) -> DataFrame:
-    norm = F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(Window.partitionBy(key)))
-    return weights.withColumn("weight", F.try_divide(F.col("weight"), norm))
-
-
-def tfidf(counts: DataFrame, key: str) -> DataFrame:
-    """``counts(key, ..., idf, tf)`` with ``weight``: (1 + ln tf) * idf, each document scaled to length 1."""
-    weight = (F.lit(1.0) + F.log(F.col("tf").cast("double"))) * F.col("idf")
-    return _unit_length(counts.withColumn("weight", weight), key)
+    return totals.orderBy(F.desc("total"), "term").limit(size)
 
 
 class TfidfVocabulary:
@@ -73,31 +83,62 @@ class TfidfVocabulary:
         self.terms, self.size = terms, size
 
     @classmethod
-    def fit(cls, df: DataFrame, key: str, text: str, size: int = VOCABULARY_SIZE) -> "TfidfVocabulary":
+    def fit(cls, df: DataFrame, text: str, size: int = VOCABULARY_SIZE) -> "TfidfVocabulary":
         n = F.lit(df.count())
-        chosen = vocabulary(term_counts(df, key, text), size)
+        chosen = vocabulary(term_totals(df, text), size)
         # at most ``size`` rows, so numbering them in one task is fine
         numbered = chosen.withColumn("idx", F.row_number().over(Window.orderBy("term")) - 1)
         terms = cut_lineage(numbered.select("term", "idx", smooth_idf(n, F.col("df")).alias("idf")), "vocabulary")
         return cls(terms, terms.count())
 
-    def vectors(self, df: DataFrame, key: str, text: str) -> DataFrame:
+    @cached_property
+    def _known(self) -> tuple[list[str], np.ndarray]:
+        rows = self.terms.orderBy("idx").collect()  # at most ``size`` rows
+        return [r["term"] for r in rows], np.array([r["idf"] for r in rows], float)
+
+    def column(self, text: str) -> Column:
+        """``indices`` and ``values`` of a text's known terms: (1 + ln tf) * idf, scaled to length 1.
+
+        A pass over the rows where they are; without known terms both are empty.
+        """
+        known, idf = self._known
+
+        @F.arrow_udf("struct<indices:array<int>,values:array<double>>")
+        def weigh(words: pa.Array) -> pa.Array:
+            sizes, indices, values = np.zeros(len(words), np.int64), [np.zeros(0, np.int32)], [np.zeros(0)]
+            for first, terms, row, term, tf in term_cells(words):
+                index = pc.index_in(terms, value_set=pa.array(known, pa.string())).fill_null(-1).to_numpy(zero_copy_only=False)[term]
+                row, index, tf = row[index >= 0], index[index >= 0], tf[index >= 0]
+                order = np.lexsort((index, row))
+                row, index, tf = row[order], index[order], tf[order]
+                weight = (1.0 + np.log(tf)) * idf[index]
+                values.append(weight / np.sqrt(np.bincount(row, weights=weight * weight))[row] if len(row) else weight)
+                indices.append(index.astype(np.int32))
+                np.add.at(sizes, row + first, 1)
+            offsets = pa.array(np.concatenate([[0], sizes.cumsum()]).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(x))) for x in (indices, values)]
+            return pa.StructArray.from_arrays(lists, ["indices", "values"])
+
+        return weigh(tokens(text))
+
+    def weights(self, df: DataFrame, key: str, text: str) -> DataFrame:
+        """``key, term, weight`` with one row per known term of a row."""
+        cells = df.select(key, self.column(text).alias("cells"))
+        cells = cells.select(key, F.inline(F.arrays_zip(F.col("cells.indices").alias("idx"), F.col("cells.values").alias("weight"))))
+        return cells.join(F.broadcast(self.terms.select("idx", "term")), "idx").select(key, "term", "weight")
+
+    def vectors(self, df: DataFrame, text: str) -> DataFrame:
         """``df`` with a sparse ``features`` vector in place of the text, written once for the training passes."""
-        weights = tfidf(term_counts(df, key, text, self.terms), key)
-        by_row = weights.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("idx", "weight"))).alias("cells"))
-        empty = F.array().cast("array<struct<idx:int,weight:double>>")
-        cells = F.coalesce(F.col("cells"), empty)
         rest = df.drop(text)
-        packed = rest.join(by_row, key, "left").withColumn(
-            "features",
+        rows = df.withColumn("cells", self.column(text)).select(
+            *rest.columns,
             F.struct(
                 F.lit(0).cast("tinyint").alias("type"),
                 F.lit(self.size).alias("size"),
-                F.transform(cells, lambda c: c["idx"]).alias("indices"),
-                F.transform(cells, lambda c: c["weight"]).alias("values"),
-            ),
+                F.col("cells.indices").alias("indices"),
+                F.col("cells.values").alias("values"),
+            ).alias("features"),
         )
-        rows = packed.select(*rest.columns, "features")
         path = fresh_path(df.sparkSession, "features")
         rows.write.parquet(path)
         schema = T.StructType([*rest.schema.fields, T.StructField("features", VectorUDT())])

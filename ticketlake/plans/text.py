@@ -19,9 +19,7 @@ from ticketlake.operators.features import (
     VECTOR_DIM,
     HashedTfidf,
     TfidfVocabulary,
-    smooth_idf,
-    term_counts,
-    tfidf,
+    term_totals,
     vocabulary,
 )
 from ticketlake.plans.columns import request_bodies
@@ -101,7 +99,7 @@ def _(spark, d):
 
 @query("vocabulary", TICKETS + GRAMS_CTE + "SELECT term, total, df FROM vocab")
 def _(spark, d):
-    return vocabulary(term_counts(descriptions(spark, d), "ticket_id", "description"))
+    return vocabulary(term_totals(descriptions(spark, d), "description"))
 
 
 @query(
@@ -115,11 +113,9 @@ def _(spark, d):
     SELECT w.ticket_id, w.term, round(w.w / n.norm, 6) AS weight FROM weights w JOIN norms n ON n.ticket_id = w.ticket_id""",
 )
 def _(spark, d):
-    df = descriptions(spark, d)
-    n = df.agg(F.count("*")).scalar()
-    chosen = vocabulary(term_counts(df, "ticket_id", "description"))
-    terms = cut_lineage(chosen.select("term", smooth_idf(n, F.col("df")).alias("idf")), "vocabulary")
-    return tfidf(term_counts(df, "ticket_id", "description", terms), "ticket_id").select("ticket_id", "term", F.round("weight", 6).alias("weight"))
+    df = cut_lineage(descriptions(spark, d), "descriptions")
+    weights = TfidfVocabulary.fit(df, "description").weights(df, "ticket_id", "description")
+    return weights.withColumn("weight", F.round("weight", 6))
 
 
 DIM = VECTOR_DIM
@@ -451,8 +447,8 @@ def training_tables(spark, d) -> tuple[DataFrame, DataFrame, TfidfVocabulary]:
     rows = clean_tickets(tickets(spark, d, "doc_id", "ticket_id", "description", "category", "priority", "status", "subject", "resolution"))
     rows = cut_lineage(rows.select("ticket_id", "description", "category", "priority", "status"), "clean-tickets")
     split = cut_lineage(sampling.split(rows), "split")
-    words = TfidfVocabulary.fit(split.filter("NOT is_test"), "ticket_id", "description")
-    features = words.vectors(split, "ticket_id", "description")
+    words = TfidfVocabulary.fit(split.filter("NOT is_test"), "description")
+    features = words.vectors(split, "description")
     return features.filter("NOT is_test"), features, words
 
 
@@ -601,7 +597,7 @@ def asked_requests(spark, d) -> DataFrame:
 def classify_requests(asked: DataFrame, words: TfidfVocabulary, models: list[TicketClassifier]) -> DataFrame:
     """``request_id, description, error`` with both labels and ``result``: scores as JSON, or the error as JSON."""
     texts = asked.filter("error IS NULL").select(F.col("request_id").alias("ticket_id"), tx.clean_text("description").alias("description"))
-    found = score_both(words.vectors(texts, "ticket_id", "description"), *models).withColumnRenamed("ticket_id", "request_id")
+    found = score_both(words.vectors(texts, "description"), *models).withColumnRenamed("ticket_id", "request_id")
     joined = asked.join(found.drop("features"), "request_id", "left")
     return requests.render_results(joined, *[f"{label}{part}" for label in LABELS for part in ("", "_confidence", "_scores")])
 
