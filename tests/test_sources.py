@@ -1,8 +1,15 @@
+import csv
 import datetime
+import gzip
+import io
 import json
 
+import pyarrow as pa
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ticketlake import session
 from ticketlake.plans.text import DIM  # noqa: F401  (the plans import without a session)
@@ -20,6 +27,50 @@ def test_csv_keeps_quotes_breaks_and_blanks_and_reads_empty_as_null(spark):
     assert tuple(csvfiles.read_tickets(spark, path).first()) == (*row[:7], None, *row[8:])
 
 
+@settings(max_examples=60, deadline=None)
+@given(
+    st.lists(st.lists(st.text('a",\n\r é', max_size=9), min_size=2, max_size=2), max_size=6),
+    st.integers(1, 40),
+    st.sampled_from(["\n", "\r\n"]),
+    st.booleans(),
+)
+def test_csv_ranges_hold_each_record_once(tmp_path_factory, rows, step, line_end, closed):
+    out = io.StringIO()
+    csv.writer(out, quoting=csv.QUOTE_ALL, lineterminator=line_end).writerows([["h", "i"], *rows])
+    data = out.getvalue().encode()
+    data = data if closed else data.removesuffix(line_end.encode())
+    path = tmp_path_factory.mktemp("csv") / "with a blank.csv"
+    path.write_bytes(data)
+    ranges = [
+        {"path": f"file://{path}", "size": len(data), "first": i, "last": min(i + step, len(data)), "quoted": data[:i].count(b'"') % 2 == 1}
+        for i in range(0, len(data), step)
+    ]
+    chunk, csvfiles._CHUNK = csvfiles._CHUNK, 7
+    try:
+        cut = [r for b in csvfiles._cut_records(iter([pa.RecordBatch.from_pylist(ranges)])) for r in b.column(0).to_pylist()]
+    finally:
+        csvfiles._CHUNK = chunk
+    assert [next(csv.reader(io.StringIO(r, newline=""))) for r in cut] == rows
+
+
+def test_one_large_quoted_file_is_read_in_many_tasks(spark, tmp_path):
+    schema = T.StructType.fromDDL("id int, t string")
+    texts = [f'line {i}\nsaid ""x, y""\r\n' * (i % 7) + "end" * (400 if i == 30 else 1) for i in range(60)]
+    body = "id,t\r\n" + "".join(f'{i},"{t}"\r\n' for i, t in enumerate(texts))
+    (tmp_path / "a file.csv").write_bytes(body.encode())
+    (tmp_path / "none.csv").write_bytes(b"")
+    (tmp_path / "head.csv").write_bytes(b"id,t\n")
+    with gzip.open(tmp_path / "b.csv.gz", "wb") as packed:
+        packed.write(b'id,t\n100,"x\ny"\n\n101,\nbad,z')
+    rows = [(i, t.replace('""', '"')) for i, t in enumerate(texts)]  # line breaks of a field stay as they are
+    expected = sorted([*rows, (100, "x\ny"), (101, None), (None, "z")], key=str)
+    for range_bytes in (97, 1000, 1 << 20):
+        found = csvfiles.read_csv(spark, str(tmp_path), schema, range_bytes)
+        assert sorted(map(tuple, found.collect()), key=str) == expected
+    counted = csvfiles.read_csv(spark, str(tmp_path / "a file.csv"), schema, 500).groupBy(F.spark_partition_id()).count().collect()
+    assert len(counted) > len(body) // 500 // 2 and max(r["count"] for r in counted) < 40
+
+
 def test_requests(spark):
     bodies = ['{"description": "vpn"}', '{"text": "vpn"}', '{"description": " \\n"}', "not json", None, '{"description": null}']
     df = spark.createDataFrame([(i, b) for i, b in enumerate(bodies)], "i int, body string")
