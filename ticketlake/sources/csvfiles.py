@@ -96,8 +96,9 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType, range_bytes:
     give no rows. The tasks read with ``pyarrow.fs`` (a shared mount, ``s3://``, ``hdfs://``). Compressed files
     have no ranges; Spark's own reader takes each of them in one task.
     """
-    files = spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("size"))
-    files = files.withColumn("path", F.regexp_replace("path", "^file:/+", "file:///"))
+    listed = spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("size"))
+    # as pyarrow.fs names the same places
+    files = listed.withColumn("path", F.regexp_replace(F.regexp_replace("path", "^file:/+", "file:///"), "^s3[an]:", "s3:"))
     compressed = F.col("path").rlike(_COMPRESSED)
     last = F.least(F.col("first") + range_bytes, F.col("size")).alias("last")
     ranges = (
@@ -118,7 +119,7 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType, range_bytes:
     options = {k: str(v).lower() if isinstance(v, bool) else v for k, v in _FORMAT.items() if k != "header"}
     parsed = records.select(F.from_csv("record", F.lit(schema.simpleString()), {**options, "multiLine": "true"}).alias("row"))
     rows = parsed.select("row.*")
-    packed = [r["path"] for r in files.filter(compressed).select("path").toLocalIterator()]
+    packed = [r["path"] for r in listed.filter(compressed).select("path").toLocalIterator()]
     if packed:
         rows = rows.unionByName(spark.read.schema(schema).options(multiLine=True, **_FORMAT).csv(packed))
     return rows
