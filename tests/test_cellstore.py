@@ -1,6 +1,7 @@
 """The stored corpus: codes, versions, updates that leave other files alone, and what it is asked for."""
 
 import os
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -183,3 +184,19 @@ def test_postings_follow_the_index(spark):
         assert index.upsert(updates, batch=f"s:{n}") is index
     assert same(before, first.join(second.select("ticket_id"), "ticket_id", "left_anti").unionByName(second))
     assert same(index.compact(share=0.0), now)
+
+
+def test_codes_are_compared_in_tiles():
+    """A block of any size costs the memory of a tile, not a matrix of all pairs."""
+    rng = np.random.default_rng(4)
+    q, c, lost = rng.normal(size=(256, 8)), rng.normal(size=(codes.BLOCK_ROWS, 8)), rng.random(codes.BLOCK_ROWS) * 0.01
+    tracemalloc.start()
+    row, col, _low, _high = codes.near(q, c, lost, 10)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150e6, peak
+    away = np.linalg.norm(q[:5, None, :] - c[None, :, :], axis=2)
+    for i in range(5):
+        bound = np.sort(away[i] + lost)[9]
+        assert set(np.flatnonzero(away[i] - lost <= bound - 1e-6)) <= set(col[row == i].tolist())
+        assert set(col[row == i].tolist()) <= set(np.flatnonzero(away[i] - lost <= bound + 1e-6))

@@ -179,3 +179,38 @@ def test_hot_keys_are_split_by_adaptive_execution(spark):
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     assert sum(counts.values()) == 200_000 and counts["T1"] > 130_000
+
+
+def test_visits_are_a_list_for_each_query(spark, points, monkeypatch):
+    """A query that may visit every cell is written once, not once for each cell."""
+    rows = {}
+
+    def counted(df, name):
+        written = cut_lineage(df, name)
+        rows.setdefault(name, []).append(written.count())
+        return written
+
+    monkeypatch.setattr(vector, "cut_lineage", counted)
+    queries, corpus = points
+    hits = vector.knn_exact(make(spark, queries, "query_id"), make(spark, corpus, "neighbour_id"), 7, n_cells=40)
+    assert got(hits) == brute(queries, corpus, 7)
+    assert rows["visits"] == [len(queries)] * 2
+
+
+@pytest.mark.parametrize("spans", [None, [(0, 0, 900), (1, 900, 1500)]])
+def test_nearest_rows_by_runs_and_few_pairs_at_once(points, monkeypatch, spans):
+    """Ties, runs of rows that not all are compared with, and pruning after every tile give the same rows."""
+    rng = np.random.default_rng(5)
+    q, c = rng.integers(0, 3, (30, 4)).astype(float), rng.integers(0, 3, (1500, 4)).astype(float)
+    monkeypatch.setattr(vector, "TILE_ROWS", 64)
+    monkeypatch.setattr(vector, "PAIRS_AT_ONCE", 50)
+    order = rng.permutation(1500)
+    # the first run is asked by the even rows, the second by all but row 0
+    asking = None if spans is None else [(np.arange(first, 30, 2 - first), a, b) for first, a, b in spans]
+    row, col, distance = vector._nearest_rows(q, c, 9, None, order, asking)
+    away = ((q[:, None, :] - c[None, :, :]) ** 2).sum(2)
+    if spans is not None:
+        away[1::2, :900] = away[0, 900:] = np.inf
+    for i in range(30):
+        best = np.lexsort((order, away[i]))[:9]
+        assert col[row == i].tolist() == best.tolist() and distance[row == i].tolist() == away[i][best].tolist()
