@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ticketlake.operators.features import TfidfVocabulary
 
 TOLERANCE = 1e-4
+TASKS_PER_CORE = 4
 
 
 def class_weights(df: DataFrame, label: str) -> DataFrame:
@@ -48,16 +49,18 @@ class TicketClassifier:
     ) -> "TicketClassifier":
         """``words`` and ``features`` of the same rows may be shared between targets.
 
-        Every iteration is a job, so few rows should not be cut into many tasks: tasks hold ``rows_per_task``.
+        Every iteration is a job in which each task sends sums as large as the model, so rows are cut into few tasks:
+        of ``rows_per_task``, and no more than ``TASKS_PER_CORE`` for each core, however many rows there are.
         """
         if features is None:
             words = words or TfidfVocabulary.fit(train, text)
             features = words.vectors(train.select(text, label), text)
         rows = features.select("features", F.col(label).alias("truth"))
         n_rows = rows.count()
-        rows = rows.coalesce(-(-n_rows // rows_per_task) or 1)
-        if balanced:
-            rows = rows.join(class_weights(rows, "truth").select("truth", "weight"), "truth")
+        most = TASKS_PER_CORE * rows.sparkSession.sparkContext.defaultParallelism
+        if balanced:  # a row for each class; rows are not dealt by class, as few tasks would then hold them all
+            rows = rows.join(F.broadcast(class_weights(rows, "truth").select("truth", "weight")), "truth")
+        rows = rows.coalesce(min(-(-n_rows // rows_per_task), most) or 1)
         regression = LogisticRegression(
             featuresCol="features",
             labelCol="code",
