@@ -48,6 +48,20 @@ def test_codes_bound_the_distance():
         assert all((i, j) in found for i in range(len(q)) for j in np.argsort(true[i], kind="stable")[:k])
 
 
+def test_rows_are_coded_once(spark, points, tmp_path, monkeypatch):
+    """Spark does not call the coding a second time to find out which rows have none."""
+
+    def counted(vectors, centres, cell, encode=codes.encode):
+        with open(tmp_path / "coded", "a") as log:
+            log.write("x" * len(vectors))
+        return encode(vectors, centres, cell)
+
+    monkeypatch.setattr(codes, "encode", counted)
+    store = CellStore.build(make(spark, points[1], "neighbour_id"), fresh_path(spark, "coded-once"))
+    assert store.count() == len(points[1])
+    assert (tmp_path / "coded").stat().st_size == len(points[1])
+
+
 def test_few_pairs_are_left_on_ticket_vectors(spark, sf_dir):
     """High-dimensional vectors, where no cell can be ruled out: the codes leave under a tenth of the pairs."""
     from ticketlake.operators.features import with_vectors

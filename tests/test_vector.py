@@ -197,6 +197,14 @@ def test_visits_are_a_list_for_each_query(spark, points, monkeypatch):
     assert rows["visits"] == [len(queries)] * 2
 
 
+def test_rows_are_placed_in_one_pass(spark, points):
+    """Looking for the nearest centres is one Python step, though every row becomes several."""
+    queries, _corpus = points
+    placed = vector._to_cells(make(spark, queries, "query_id"), queries[:5], 3)
+    assert placed.count() == 3 * len(queries)
+    assert placed._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+
+
 @pytest.mark.parametrize("spans", [None, [(0, 0, 900), (1, 900, 1500)]])
 def test_nearest_rows_by_runs_and_few_pairs_at_once(points, monkeypatch, spans):
     """Ties, runs of rows that not all are compared with, and pruning after every tile give the same rows."""
