@@ -6,6 +6,7 @@ from __spark_entry__ import queries
 from ticketlake import session
 from ticketlake.operators import metrics
 from ticketlake.operators.classify import TicketClassifier, class_weights, label_encode
+from ticketlake.plans import text
 from ticketlake.plans.text import classify_requests
 
 
@@ -30,6 +31,23 @@ def test_fit_predict_save_load(spark):
     assert {r["ticket_id"]: r["p"] for r in again} == {r["ticket_id"]: r["label_"] for r in out.collect()}
 
 
+def test_texts_are_written_once_for_training(spark, monkeypatch):
+    made = [(i, f"T{i}", f"printer {i} prints no page of {'tray ' * 20}", "print", "Low", "Open", "s", "r") for i in range(23)]
+    names = "doc_id long, ticket_id string, description string, category string, priority string, status string, subject string, resolution string"
+    written = []
+
+    def noted(df, name):
+        written.extend([name] * ("description" in df.columns))
+        return session.cut_lineage(df, name)
+
+    monkeypatch.setattr(text, "tickets", lambda spark, d, *columns: spark.createDataFrame(made, names))
+    monkeypatch.setattr(text, "cut_lineage", noted)
+    train, features, _words = text.training_tables(spark, "nowhere")
+    assert written == ["clean-tickets"]
+    assert (features.count(), train.count()) == (23, 18)  # ceil(4.6) are for the test
+    assert {r["ticket_id"] for r in train.collect()} == {r["ticket_id"] for r in features.filter("NOT is_test").collect()}
+
+
 def test_unknown_words_still_get_a_class(spark):
     model = TicketClassifier.fit(rows(spark), "category", max_iter=20)
     odd = spark.createDataFrame([("X", "zzz qqq"), ("Y", "")], "ticket_id string, description string")

@@ -446,7 +446,7 @@ def training_tables(spark, d) -> tuple[DataFrame, DataFrame, TfidfVocabulary]:
     """Clean tickets split 80/20, with features from the training words only."""
     rows = clean_tickets(tickets(spark, d, "doc_id", "ticket_id", "description", "category", "priority", "status", "subject", "resolution"))
     rows = cut_lineage(rows.select("ticket_id", "description", "category", "priority", "status"), "clean-tickets")
-    split = cut_lineage(sampling.split(rows), "split")
+    split = sampling.split(rows)  # a comparison with the cut, row by row, so the texts are not written again
     words = TfidfVocabulary.fit(split.filter("NOT is_test"), "description")
     features = words.vectors(split, "description")
     return features.filter("NOT is_test"), features, words
