@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ticketlake.operators import retrieve as rt
 from ticketlake.operators import vector
+from ticketlake.plans import QUERIES
 from ticketlake.session import cut_lineage, drop_folder, fresh_path
 from ticketlake.sources.index import VectorIndex
 
@@ -222,3 +223,15 @@ def test_nearest_rows_by_runs_and_few_pairs_at_once(points, monkeypatch, spans):
     for i in range(30):
         best = np.lexsort((order, away[i]))[:9]
         assert col[row == i].tolist() == best.tolist() and distance[row == i].tolist() == away[i][best].tolist()
+
+
+def test_lsh_is_asked_by_every_twentieth_id_over_all_rows(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    points = rng.normal(size=(400, 64))
+    points = (points / np.linalg.norm(points, axis=1, keepdims=True)).astype(np.float32)
+    points[1::20] = points[::20]  # each asks for a copy that does not ask
+    rows = [(i, p.tolist(), 0) for i, p in enumerate(points)] + [(None, points[0].tolist(), 0)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    hits = QUERIES["knn_lsh"](spark, str(tmp_path)).collect()
+    assert sorted(r["query_id"] for r in hits) == sorted(list(range(0, 400, 20)) * 10)
+    assert {(r["query_id"], r["neighbour_id"]) for r in hits if r["distance"] == 0} >= {(i, i + 1) for i in range(0, 400, 20)}
