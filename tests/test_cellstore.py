@@ -214,3 +214,17 @@ def test_codes_are_compared_in_tiles():
         bound = np.sort(away[i] + lost)[9]
         assert set(np.flatnonzero(away[i] - lost <= bound - 1e-6)) <= set(col[row == i].tolist())
         assert set(col[row == i].tolist()) <= set(np.flatnonzero(away[i] - lost <= bound + 1e-6))
+
+
+def test_copies_of_a_vector_leave_few_pairs(spark):
+    """Rows of one text ask and are asked: no more than k of them are left for each, not all."""
+    rng = np.random.default_rng(3)
+    one = rng.normal(size=16)
+    corpus = np.vstack([rng.normal(size=(200, 16)) + 9, np.tile(one, (600, 1)), one + rng.normal(size=(5, 16)) * 1e-4])
+    queries = np.vstack([np.tile(one, (40, 1)), rng.normal(size=(10, 16)) + 9])
+    rows = make(spark, corpus, "neighbour_id")
+    store = CellStore.build(rows, fresh_path(spark, "copies-store"), n_cells=4)
+    asked, n = make(spark, queries, "query_id"), len(store.centres)
+    few, _rows = store._survivors(asked, 7, None, n)
+    assert few.count() <= 50 * 20
+    assert got(store.search(asked, 7, n_probe=n)) == rebuilt(spark, rows, queries, 7)

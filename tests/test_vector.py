@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -225,6 +227,17 @@ def test_nearest_rows_by_runs_and_few_pairs_at_once(points, monkeypatch, spans):
         assert col[row == i].tolist() == best.tolist() and distance[row == i].tolist() == away[i][best].tolist()
 
 
+def test_pairs_are_measured_in_small_runs():
+    q, c = np.random.default_rng(0).normal(size=(2, 64, 256))
+    row, col = (x.ravel() for x in np.indices((64, 64)))
+    tracemalloc.start()
+    found = vector._measured(q, c, np.tile(row, 4), np.tile(col, 4))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20e6
+    assert (found.reshape(4, 64, 64) == np.cumsum((q[:, None] - c[None]) ** 2, axis=2)[:, :, -1]).all()
+
+
 def test_lsh_is_asked_by_every_twentieth_id_over_all_rows(spark, tmp_path):
     rng = np.random.default_rng(2)
     points = rng.normal(size=(400, 64))
