@@ -238,13 +238,53 @@ def test_pairs_are_measured_in_small_runs():
     assert (found.reshape(4, 64, 64) == np.cumsum((q[:, None] - c[None]) ** 2, axis=2)[:, :, -1]).all()
 
 
-def test_lsh_is_asked_by_every_twentieth_id_over_all_rows(spark, tmp_path):
+def test_lsh_is_asked_by_every_row_over_all_rows(spark, tmp_path):
     rng = np.random.default_rng(2)
     points = rng.normal(size=(400, 64))
     points = (points / np.linalg.norm(points, axis=1, keepdims=True)).astype(np.float32)
-    points[1::20] = points[::20]  # each asks for a copy that does not ask
+    points[1::20] = points[::20]  # copies that ask as well
     rows = [(i, p.tolist(), 0) for i, p in enumerate(points)] + [(None, points[0].tolist(), 0)]
     spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
     hits = QUERIES["knn_lsh"](spark, str(tmp_path)).collect()
-    assert sorted(r["query_id"] for r in hits) == sorted(list(range(0, 400, 20)) * 10)
-    assert {(r["query_id"], r["neighbour_id"]) for r in hits if r["distance"] == 0} >= {(i, i + 1) for i in range(0, 400, 20)}
+    asked = [-1 if r["query_id"] is None else r["query_id"] for r in hits]
+    assert sorted(asked) == sorted(list(range(-1, 400)) * 10)
+    copies = {(i, i + 1) for i in range(0, 400, 20)}
+    assert {(r["query_id"], r["neighbour_id"]) for r in hits if r["distance"] == 0} >= copies | {(b, a) for a, b in copies}
+
+
+def test_search_shuffles_neither_vectors_nor_hits(spark, points, monkeypatch):
+    """Exact search reads written tables only; what it finds needs no exchange, and distinct hits need none either."""
+    queries, corpus = points
+    rows = make(spark, corpus, "neighbour_id").withColumn("key", F.substring("neighbour_id", -1, 1))
+    cells = vector.Cells.build(rows, 10)
+    asked = make(spark, queries, "query_id")
+    hits = cells.search(asked, 30, ("key",), distinct=("key", 4))
+    assert "Exchange" not in hits._jdf.queryExecution().executedPlan().toString()
+    plain = cells.search(asked, 30, ("key",))
+    want = vector.first_of_each(plain, "key", 4)
+    assert got(hits) == got(want) and got(plain) == brute(queries, corpus, 30)
+
+
+def test_parts_of_a_corpus_and_repeated_queries(spark, points, monkeypatch):
+    """Few queries over many rows are asked in parts; a repeated id has one list."""
+    monkeypatch.setattr(vector, "parts_for", lambda *_: 3)
+    queries, corpus = points
+    rows, asked = make(spark, corpus, "neighbour_id"), make(spark, queries, "query_id")
+    assert got(vector.knn_exact(asked, rows, 7, n_cells=10, block_rows=11)) == brute(queries, corpus, 7)
+    monkeypatch.undo()
+    twice = got(vector.knn_exact(asked.unionByName(asked), rows, 8, n_cells=10))
+    assert [x[1] for x in twice] == [x[1] for x in brute(queries, corpus, 8)]
+    assert {(x[0], x[2]) for x in twice} == {(x[0], x[2]) for x in brute(queries, corpus, 4)}
+
+
+@pytest.mark.parametrize("scale, kind", [(1.0, np.float32), (1e3, np.float32), (1e20, np.float64)])
+def test_rough_distances_drop_no_near_row(scale, kind):
+    """Far from the origin and beyond what single precision holds, all rows within the bound are among the pairs."""
+    rng = np.random.default_rng(1)
+    q, c = rng.normal(size=(2, 300, 16)) * scale + 50 * scale
+    side = vector._Side(c, c[0])
+    assert side.kind == kind
+    away = ((q[:, None] - c[None]) ** 2).sum(2)
+    bound = np.sort(away, axis=1)[:, 9]
+    row, col, _bound = side.near(q, bound, 10)
+    assert set(zip(*np.nonzero(away <= bound[:, None]))) <= set(zip(row, col)) and len(row) < 3200
