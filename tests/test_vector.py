@@ -277,6 +277,24 @@ def test_parts_of_a_corpus_and_repeated_queries(spark, points, monkeypatch):
     assert {(x[0], x[2]) for x in twice} == {(x[0], x[2]) for x in brute(queries, corpus, 4)}
 
 
+@pytest.mark.parametrize("width", [0.5, 30.0])
+def test_lsh_in_small_and_in_large_buckets(spark, points, width):
+    """Rows of a query's buckets, by distance, whether buckets are dealt out or each pair is looked at once."""
+    queries, corpus = points
+    rows, asked = make(spark, corpus, "neighbour_id"), make(spark, queries, "query_id")
+    hits = got(vector.knn_lsh(asked, rows, 5, width, tables=3, projections=2))
+    draw = np.random.default_rng(7)
+    lines, shift = draw.standard_normal((8, 6)), draw.random(6)
+    steps = [np.floor((x.astype(np.float32).astype(float) @ lines) / width + shift).reshape(-1, 3, 2) for x in (queries, corpus)]
+    meet = (steps[0][:, None] == steps[1][None]).all(3).any(2)
+    exact = brute(queries, corpus, len(corpus))
+    for i in range(len(queries)):
+        mine = [x for x in exact if x[0] == f"q{i:04d}"]
+        met = [x for x in mine if meet[i, int(x[2][1:])]][:5]
+        want = met if len(met) == 5 else mine[:5]
+        assert [(x[2], x[3]) for x in hits if x[0] == f"q{i:04d}"] == [(x[2], x[3]) for x in want]
+
+
 @pytest.mark.parametrize("scale, kind", [(1.0, np.float32), (1e3, np.float32), (1e20, np.float64)])
 def test_rough_distances_drop_no_near_row(scale, kind):
     """Far from the origin and beyond what single precision holds, all rows within the bound are among the pairs."""
