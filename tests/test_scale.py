@@ -1,11 +1,14 @@
 """What must not grow with the tables: texts in a model call, moves of a text, tasks of a training pass."""
 
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ticketlake.operators import classify, hooks
+from ticketlake.operators import classify, hooks, rerank
 from ticketlake.operators.features import TfidfVocabulary
+from ticketlake.session import cut_lineage
 from ticketlake.sources.tickets import tickets
 
 
@@ -29,6 +32,41 @@ def test_hooks_get_bounded_runs(spark):
     assert {(r["query_id"], r["response"]) for r in answers(asked).collect()} == {(str(i), "x" * (i % 7) + "!") for i in range(5000)}
 
 
+def test_scores_deal_out_no_terms_with_the_pairs(spark):
+    """Pairs meet the terms of their documents where the queries are held; repeated pairs and queries count as often."""
+    corpus = spark.createDataFrame([("T1", "red blue red"), ("T2", "green red"), ("T3", ""), (None, "red")], "ticket_id string, text string")
+    queries = spark.createDataFrame([("a", "red blue"), ("b", "green"), ("c", "none"), (None, "red")], "query_id string, query string")
+    pairs = [("a", "T1"), ("a", "T2"), ("a", "T2"), ("b", "T1"), ("b", "T2"), ("c", "T1"), (None, "T1"), ("a", None), ("a", "T9")]
+    pairs = spark.createDataFrame(pairs, "query_id string, ticket_id string")
+    scores = rerank.bm25(pairs, queries, corpus, "text")
+    plan = scores._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
+    # four texts of 6 words in all, one of them without an id; red is in three of them, blue and green in one
+    idf = {"red": np.log(1 + 1.5 / 3.5), "blue": np.log(1 + 3.5 / 1.5), "green": np.log(1 + 3.5 / 1.5)}
+    weight = lambda term, tf, dl: idf[term] * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / 1.5))
+    want = {
+        ("a", "T1"): round(weight("red", 2, 3) + weight("blue", 1, 3), 6),
+        ("a", "T2"): round(2 * weight("red", 1, 2), 6),
+        ("b", "T2"): round(weight("green", 1, 2), 6),
+    }
+    found = {(r["query_id"], r["ticket_id"]): r["rerank_score"] for r in scores.collect()}
+    assert found.keys() == want.keys() and all(abs(found[x] - want[x]) < 2e-6 for x in want)
+    twice = rerank.bm25(pairs, queries.unionByName(queries), corpus, "text").collect()
+    assert {(r["query_id"], r["ticket_id"]) for r in twice} == want.keys()
+    assert all(abs(r["rerank_score"] - 2 * found[r["query_id"], r["ticket_id"]]) < 4e-6 for r in twice)
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    files = lambda: spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().size()
+    before = files()
+    written = cut_lineage(spark.range(20_000).repartition(40, "id"), "shuffled")
+    for _ in range(20):
+        if files() <= before:
+            break
+        time.sleep(0.5)
+    assert files() <= before and written.count() == 20_000
+
+
 def test_texts_of_tickets_move_once(spark, sf_dir):
     """Without broadcasts the texts are dealt by document, and once more to meet the passages."""
     kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
